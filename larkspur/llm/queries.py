@@ -6,11 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, license_scan
+from larkspur.llm import bpe, chat, divergence, forest, langid, license_scan, mixing, vafile
+from larkspur.llm.common import remainder
+from larkspur.session import ship
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return ship(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,6 +30,93 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe)}
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th vector with all others."""
+    return vafile.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
-SQL: dict[str, str] = {}
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document; what is held out isn't learned from."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    model = langid.fit(documents, F.coalesce(~held_out, F.lit(True)))
+    found = langid.predict(documents.select("doc_id", "text"), model).withColumn("doc_id", F.col("row.doc_id"))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of each document: 5-grams of words, similarity 0.8 or more."""
+    return forest.join(read(spark, sf_dir, "documents"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of what is read back from each formatted conversation."""
+    turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), "role", "text")
+    control = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("seq"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    events = turns.unionByName(control).withColumns({"kind": F.lit("message"), "message": F.monotonically_increasing_id()})
+    out = chat.render(chat.fold_events(events))
+    out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss"))
+    whole = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document the mix of sources takes."""
+    out = mixing.mixed(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of each document."""
+    out = divergence.measured(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_language_id, op5_ngram_join, op8_chat_format, op9_mix, op10_quality_rules)}
+
+ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
+
+SQL = {
+    "op3_exact_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20""",
+    "op8_chat_format": f"""
+        WITH a AS (
+            SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+        g AS (
+            SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+                coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+                sum(length({ESCAPED.format("replace(role, chr(10), '')")}) + 5 * (length(role) - length(replace(role, chr(10), ''))) + length({ESCAPED.format('text')}) + 8)::BIGINT AS formatted_chars
+            FROM a GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g""",
+    "op9_mix": """
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, length(coalesce(text, '')) AS chars FROM documents),
+        k AS (
+            SELECT *, -ln((('0x' || substr(md5('mix' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5) / 281474976710656.0::DOUBLE)
+                * (1 + abs(chars / greatest(size, 1) - 7) / 7) AS draw, coalesce(doc_id::VARCHAR, 'null') AS key FROM d),
+        s AS (
+            SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1]::DOUBLE AS weight
+            FROM d GROUP BY source),
+        l AS (
+            SELECT *, 3 * source_size AS cap, 3 * source_size / weight AS a,
+                (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY 3 * source_size / weight, source NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                / sum(weight) OVER (ORDER BY 3 * source_size / weight, source NULLS FIRST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s),
+        t AS (
+            SELECT source, source_size, least(cap::DOUBLE, coalesce((SELECT arg_min(level, a) FROM l WHERE level <= a), 0) * weight) AS target FROM l),
+        b AS (
+            SELECT k.*, t.source_size, t.target, coalesce(floor(t.target / nullif(t.source_size, 0)), 0)::BIGINT AS epochs,
+                sum(size) OVER (PARTITION BY k.source ORDER BY draw, key, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before
+            FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target,
+            (size * (epochs + CASE WHEN before + size / 2 <= target - epochs * source_size AND size > 0 THEN 1 ELSE 0 END))::BIGINT AS taken FROM b""",
+}
