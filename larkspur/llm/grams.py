@@ -1,0 +1,140 @@
+"""Byte n-grams: counting them over a table, tables of figures by n-gram, and their sums over texts.
+
+A text is its UTF-8 bytes, A-Z lower-cased, after `order - 1` zero bytes and before one. An n-gram is an integer: its
+bytes, the last one lowest. Counts are combined in each task before they are dealt out, so a common n-gram is a row a
+task at most. A table of figures goes to the workers in shards of SHARD rows: one scan of the texts for each shard.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from larkspur.llm.common import fold, saved
+
+ORDER = 5
+SHARD = 4_000_000
+HELD = 2_000_000
+
+
+def prepared(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace").lower()
+
+
+def positions(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram that ends at each byte of the texts and at their end marks, and each text's first place."""
+    pad = b"\0" * (order - 1)
+    joined = np.frombuffer(pad + b"".join(t + b"\0" + pad for t in texts), np.uint8)
+    n = len(joined) - order + 1
+    keys = np.zeros(n, np.int64)
+    for j in range(order):
+        keys <<= 8
+        keys |= joined[j : j + n]
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes + order)])[:-1]
+    return keys, starts
+
+
+def own_places(texts: list[bytes], starts: np.ndarray, n: int) -> np.ndarray:
+    """True at the places of the texts' bytes and end marks, false at the padding between."""
+    ends = np.zeros(n + 1, np.int8)
+    np.add.at(ends, np.minimum(starts, n), 1)
+    np.add.at(ends, np.minimum(starts + np.array([len(t) + 1 for t in texts], np.int64), n), -1)
+    return np.cumsum(ends[:-1]) > 0
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["gram", "n"])
+
+    for batch in batches:
+        texts = [prepared(t) for t in batch.column(0).to_pylist()]
+        learn = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+        for i, j in fold(texts, len):
+            for flag in (True, False):
+                some = [t for t, x in zip(texts[i:j], learn[i:j]) if x == flag]
+                if not some:
+                    continue
+                at, starts = positions(some)
+                u, c = np.unique(at[own_places(some, starts, len(at))], return_counts=True)
+                both, inverse = np.unique(np.concatenate([keys, u]), return_inverse=True)
+                total = np.zeros(len(both), np.int64)
+                np.add.at(total, inverse[: len(keys)], counts)
+                if flag:
+                    np.add.at(total, inverse[len(keys) :], c)
+                keys, counts = both, total
+            if len(keys) > HELD:
+                yield out()
+                keys, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+    if len(keys):
+        yield out()
+
+
+def count(df: DataFrame, learn: str, text: str = "text") -> DataFrame:
+    """Rows (gram, n) of all n-grams of all texts; n counts those of rows where learn holds, and may be 0."""
+    rows = df.select(F.col(text).alias("t"), F.coalesce(F.col(learn), F.lit(False)).alias("l")).mapInArrow(_counted, "gram long, n long")
+    return saved(rows.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+
+
+def shards_of(table: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A table (gram, value), all its n-grams once, as sorted arrays of about SHARD rows at most."""
+    n = max(1, -(-table.count() // SHARD))
+    for k in range(n):
+        part = table.filter(F.pmod(F.xxhash64("gram"), F.lit(n)) == k).select("gram", "value").toArrow()
+        keys, values = part["gram"].to_numpy(), part["value"].to_numpy()
+        order = np.argsort(keys)
+        yield keys[order], values[order]
+
+
+def sums(texts: list[bytes], table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Each text's sum of the values at its places."""
+    keys, values = table
+    out = np.zeros(len(texts))
+    if not len(keys):
+        return out
+    for i, j in fold(texts, len, 500_000):
+        some = texts[i:j]
+        at, starts = positions(some)
+        place = np.minimum(np.searchsorted(keys, at), len(keys) - 1)
+        found = np.where((keys[place] == at) & own_places(some, starts, len(at)), values[place], 0.0)
+        out[i:j] = np.add.reduceat(found, starts)
+    return out
+
+
+# Suffix groups: contexts that share their last two bytes are one group, at most 256**2 contexts for ORDER 5.
+
+GROUP = 1 << 16
+
+
+def suffix(gram: str = "gram"):
+    """The last two bytes of an n-gram's context, as a column."""
+    return F.shiftright(F.col(gram), 8).bitwiseAND(GROUP - 1)
+
+
+def by_suffix(table: DataFrame, function: Callable[[np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """function(grams, counts) of each suffix group of a table (gram, n)."""
+
+    def run(part: pa.Table) -> pa.Table:
+        grams, n = part["gram"].to_numpy(), part["n"].to_numpy()
+        order = np.argsort(grams)
+        return function(grams[order], n[order])
+
+    return table.groupBy(suffix().alias("suffix")).applyInArrow(lambda key, part: run(part), schema)
+
+
+def levels(grams: np.ndarray, top: int = 2) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each context length from ORDER - 1 down to top: the sorted distinct contexts, and the place of the next
+    longer context's suffix among them (for the longest: the n-grams' places)."""
+    out = []
+    below = grams >> 8
+    for d in range(ORDER - 1, top - 1, -1):
+        contexts, place = np.unique(below & ((1 << 8 * d) - 1), return_inverse=True)
+        out.append((contexts, place))
+        below = contexts
+    return out
