@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, divergence, forest, langid, license_scan, mixing, vafile
+from larkspur.llm import bpe, chat, ctw, divergence, forest, kneser_ney, langid, license_scan, mixing, vafile
 from larkspur.llm.common import remainder
 from larkspur.session import ship
 
@@ -49,6 +49,20 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest.join(read(spark, sf_dir, "documents"))
 
 
+def op6_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of each document under a model of the documents labelled good, and the verdict for its language."""
+    trusted = read(spark, sf_dir, "labels").filter("quality = 1").select("doc_id")
+    return kneser_ney.classify(read(spark, sf_dir, "documents"), trusted)
+
+
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and context-tree scores of each document; what is held out isn't learned from."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    out = ctw.score(documents, ~held_out)
+    return out.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from each formatted conversation."""
     turns = read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long").alias("seq"), "role", "text")
@@ -75,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_language_id, op5_ngram_join, op8_chat_format, op9_mix, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_language_id, op5_ngram_join, op6_kneser_ney, op7_lm_score, op8_chat_format, op9_mix, op10_quality_rules)}
 
 ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 
