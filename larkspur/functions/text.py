@@ -82,4 +82,4 @@ def human_bytes(n: Column) -> Column:
     """A size in units of 1024 with one decimal; plain bytes below that."""
     e = F.floor(F.log2(F.greatest(n, F.lit(1)).cast("double")) / 10 + 1e-12).cast("int")
     unit = F.element_at(F.array(*map(F.lit, "KMGTPE")), F.greatest(e, F.lit(1)))
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.1f %sB", n / F.pow(F.lit(1024.0), e), unit))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).otherwise(F.format_string("%.1f %sB", F.bround(n / F.pow(F.lit(1024.0), e), 1), unit))
