@@ -75,7 +75,7 @@ def session_ids(raw: Column) -> Column:
 
 def first_bytes(text: Column, n: int = 1500) -> Column:
     """At most n bytes of a text, whole characters."""
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.decode(F.substring(F.encode(text, "UTF-8"), 1, n), "UTF-8"), "�$", ""))
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.regexp_replace(F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, n).cast("string")), "\uFFFD+$", ""))
 
 
 def human_bytes(n: Column) -> Column:

@@ -23,7 +23,7 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
     """Rows (path, size, content) of the wanted files below a folder, large ones unread."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     files = files.filter((F.col("length") > 0) & (F.col("length") <= LARGEST)).filter(wanted(F.col("path"), F.col("length")))
-    return files.select("path", F.col("length").alias("size"), F.decode("content", "UTF-8").alias("content")).filter(F.octet_length("content") >= SMALLEST_CONTENT)
+    return files.select("path", F.col("length").alias("size"), F.make_valid_utf8(F.col("content").cast("string")).alias("content")).filter(F.octet_length("content") >= SMALLEST_CONTENT)
 
 
 def mined(files: DataFrame, wing: str, stored: DataFrame) -> DataFrame:
