@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -149,9 +148,12 @@ def _words(text: bytes) -> np.ndarray:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
-    """(number, rows, texts, words, each word's text) of parts of a partition; alike whenever it is read."""
-    number = TaskContext.get().partitionId() << 32
+    """(number, rows, texts, words, each word's text) of parts of a partition; alike whenever it is read. Column 3 holds
+    the input's partition, which is the same in each branch of a union."""
+    number = None
     for batch in batches:
+        if number is None and batch.num_rows:
+            number = batch.column(3)[0].as_py() << 32
         texts = [grams.prepared(t) for t in batch.column(1).to_pylist()]
         for i, j in fold(texts, len, CHUNK):
             words = [_words(t) for t in texts[i:j]]
@@ -214,7 +216,7 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
 
     score is the log10 probability that the context tree gives to a text's bytes and its end.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), learn.alias("learn"))
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), learn.alias("learn"), F.spark_partition_id().alias("part"))
     tables = list(grams.shards_of(fit(grams.count(rows, "learn"))))
     spark = df.sparkSession
     tables = [spark.sparkContext.broadcast(t) for t in tables]
