@@ -91,9 +91,51 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top_k, op4_language_id, op5_ngram_join, op6_kneser_ney, op7_lm_score, op8_chat_format, op9_mix, op10_quality_rules)}
 
+SPACES = "[\\x20\\x09-\\x0D]+"
+
+
+def js_sql(counts: list[str], shares: tuple[float, ...]) -> str:
+    """divergence.js_distance in SQL."""
+    total = " + ".join(f"({c})" for c in counts)
+    terms = []
+    for c, q in zip(counts, shares):
+        p, m = f"(({c}) / ({total}))", f"((({c}) / ({total}) + {q!r}) / 2)"
+        terms.append(f"CASE WHEN ({c}) > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + {q!r} * log2({q!r} / {m})")
+    return f"CASE WHEN {total} > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2, 0)) END"
+
+
+def hits_sql(k: int) -> str:
+    """How many words are the k-th commonest of the document's language."""
+    cases = " ".join(f"WHEN '{name}' THEN '{common[k]}'" for name, common in divergence.COMMON.items())
+    return f"len(list_filter(w, lambda x: lower(x) = CASE lang {cases} END))"
+
+
+HITS = [hits_sql(k) for k in range(len(divergence.SHARES))]
+CLASSES = ["chars - word_chars", "upper", "digits", "symbols", "ascii - symbols", "word_chars - upper - digits - ascii"]
 ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 
 SQL = {
+    "op5_ngram_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{SPACES}'), lambda x: x <> '') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+        l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 10 * c >= 8 * (a.n + b.n - c)),
+        r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node),
+        k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+        SELECT node AS doc_id, min(root) AS class_id, coalesce(any_value(k.n), 0)::BIGINT AS n_links FROM r LEFT JOIN k ON k.x = node GROUP BY node""",
+    "op10_quality_rules": f"""
+        WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, regexp_replace(coalesce(text, ''), '{SPACES}', '', 'g') AS dense FROM documents),
+        v AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM d WHERE len(w) >= 5),
+        twice AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(5) AS r(k) GROUP BY doc_id),
+        f AS (SELECT d.doc_id, lang, w, length(t) AS chars, len(w) AS n_words, length(dense) AS word_chars, length(regexp_replace(dense, '[^#*$%&|<>]+', '', 'g')) AS symbols,
+                length(regexp_replace(dense, '[^A-Z]+', '', 'g')) AS upper, length(regexp_replace(dense, '[^0-9]+', '', 'g')) AS digits, length(regexp_replace(dense, '[^!-/:-@\\[-`{{-~]+', '', 'g')) AS ascii,
+                list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
+        j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN chars >= {divergence.CLASS_CHARS} THEN {js_sql(CLASSES, divergence.CLASSES)} END AS class_js,
+                CASE WHEN lang IN ('en', 'de', 'fr', 'es') AND n_words >= {divergence.COMMON_WORDS} THEN {js_sql([*HITS, "n_words - (" + " + ".join(HITS) + ")"], (*divergence.SHARES, 1 - sum(divergence.SHARES)))} END AS common_js FROM f)
+        SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+            NOT base_failed AND coalesce(class_js, 0) <= {divergence.CLASS_DISTANCE} AND coalesce(common_js, 0) <= {divergence.COMMON_DISTANCE} AS kept FROM j""",
     "op3_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
