@@ -29,7 +29,7 @@ from larkspur.llm.common import fold
 SAMPLE = 3000
 BUCKETS = 1 << 16
 DIMENSION = 16
-EPOCHS, BATCH, RATE = 8, 32, 0.5
+EPOCHS, BATCH, RATE = 5, 32, 0.1
 REJECT, MOST = 0.001, 0.5
 NONE = "und"
 #: At most so many sampled characters reach the driver; texts beyond are passed over whole.
@@ -97,6 +97,8 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     rng = np.random.default_rng(seed)
     table = rng.normal(0, 0.1, (BUCKETS, DIMENSION)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (DIMENSION, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
+    # Steps are divided by the root of the sum of a value's squared slopes, which keeps them bounded at any sample size.
+    table_sums, layer_sums, bias_sums = np.full_like(table, 1e-6), np.full_like(layer, 1e-6), np.full_like(bias, 1e-6)
     counts = np.bincount([y for *_, y in learn], minlength=len(languages))
     weight = np.where(counts > 0, len(learn) / (len(languages) * np.maximum(counts, 1)), 0).astype(np.float32)
     steps = EPOCHS * max(1, -(-len(learn) // BATCH))
@@ -115,10 +117,13 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
             p[np.arange(len(y)), y] -= 1
             p *= weight[y][:, None]
             back = p @ layer.T
-            layer -= rate * 10 * mean.T @ p / len(some)
-            bias -= rate * 0.1 * p.sum(0) / len(some)
+            for value, sums, slope in ((layer, layer_sums, mean.T @ p / len(some)), (bias, bias_sums, p.sum(0) / len(some))):
+                sums += slope**2
+                value -= rate * slope / np.sqrt(sums)
             for (b, w, _), g in zip(some, back):
-                table[b] -= rate * 100 * w[:, None] * g / len(some) * 8
+                slope = w[:, None] * g
+                table_sums[b] += slope**2
+                table[b] -= rate * slope / np.sqrt(table_sums[b])
     model = Model(languages, table @ layer, bias.astype(np.float64))
     held = [i for i in range(len(usable)) if i % 3 == 0] or list(range(len(usable)))
     z = np.concatenate([model.scores([usable[i][0] for i in held[a:b]]) for a, b in fold(held, lambda i: len(usable[i][0]))])
