@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import fold
 
 #: Distinct pre-tokens whose ids a worker remembers; a full memory is emptied and filled anew.
-MEMORY = 1_000_000
+MEMORY = 500_000
 
 #: A pattern whose commonest alternative comes late, and one that matches alike but tries that one first.
 FASTER = {

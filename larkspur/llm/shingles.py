@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS = 5
-MEMORY = 1_000_000
+MEMORY = 300_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _known: dict[bytes, int] = {}
 
