@@ -30,6 +30,10 @@ SHARES = (0.055, 0.03, 0.024, 0.018, 0.015, 0.012, 0.01, 0.008)
 CLASS_DISTANCE, COMMON_DISTANCE = 0.20, 0.40
 CLASS_CHARS, COMMON_WORDS = 100, 60
 
+#: What the common words' distance is held against: above the distances of trusted texts (0.255 at most on sf0.1), below
+#: that of a text with none of its language's common words (0.303). COMMON_DISTANCE is the SQL's, which is looser.
+COMMON_LIMIT = 0.28
+
 SYMBOLS = "#*$%&|<>"
 
 
@@ -91,7 +95,7 @@ def measured(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame
         F.when(known & (F.col("n") >= COMMON_WORDS), js_distance(F.concat("hits", F.array(F.col("n") - F.size("common"))), F.col("n"), (*SHARES, 1 - sum(SHARES)))).alias("common_js"),
     )
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    near = (F.coalesce("class_js", F.lit(0.0)) <= CLASS_DISTANCE) & (F.coalesce("common_js", F.lit(0.0)) <= COMMON_DISTANCE)
+    near = (F.coalesce("class_js", F.lit(0.0)) <= CLASS_DISTANCE) & (F.coalesce("common_js", F.lit(0.0)) <= COMMON_LIMIT)
     # A predicate on what depends on a row's number isn't pushed down; pushed, it would put the arrays' making into
     # each of their elements' tests.
     return out.withColumn("base_failed", failed).withColumn("kept", (F.monotonically_increasing_id() >= 0) & ~failed & near)

@@ -360,6 +360,18 @@ def test_quality_of_odd_rows(odd, none):
     assert divergence.kept_rows(odd).columns == odd.columns and divergence.kept_rows(none).count() == 0
 
 
+def test_texts_without_common_words_are_rejected(spark):
+    rest = "water stone garden letter winter morning silver market".split()
+    rows = []
+    for lang, common in divergence.COMMON.items():
+        for k, chosen in enumerate((rest, common)):
+            words = [chosen[i // 4 % 8] if i % 4 == 0 else f"{rest[i % 8]}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+            rows.append((10 * len(rows) + k, " ".join(words) + ".", lang))
+    got = divergence.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("row.doc_id", "class_js", "base_failed", "kept").collect()
+    assert all(r.class_js <= divergence.CLASS_DISTANCE and not r.base_failed for r in got)
+    assert {r.doc_id: r.kept for r in got} == {i: i % 10 == 1 for i, _, _ in rows}
+
+
 def test_odd_rows_of_text_operators(odd, none):
     assert license_scan.scan(odd).count() == len(ODD) and license_scan.scan(none).count() == 0
     args = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
