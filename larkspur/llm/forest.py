@@ -1,13 +1,15 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Each text's word 5-grams are a set; its signature is TREES labels of DEEPEST MinHash values. In a tree, texts are
-sorted by their labels, and those under one prefix are candidates. The prefix is shortened from its full length until
-pairs at the threshold meet in some tree with the target recall. Candidates that the signatures' agreement doesn't rule
-out (five standard deviations) are then compared by their whole sets.
+Each text's word 5-grams are a set; its signature is TREES labels of DEEPEST MinHash values. In a tree, texts under one
+prefix of their labels are candidates; prefixes are the nodes of the tree's trie, told apart by their hashes. All texts'
+prefixes are shortened until pairs at the threshold meet in some tree with the target recall. Then, level by level, the
+prefixes of those texts are shortened further that have so many neighbours that more than LOSS missed links would be
+expected of them. Candidates that the signatures' agreement doesn't rule out (five standard deviations) are then
+compared by their whole sets.
 
 Texts with equal sets are one class from the start: only its least key goes on, with the number of copies. Where many
 different texts meet under a prefix, they are cut into blocks, and each pair of blocks is a group of fixed size. A pair
-is counted in the first tree where it meets, in one group, and leaves it only as sums and a spanning forest; no pairs
+is counted at the first level and in the first tree where it meets, in one group, and leaves it only as sums and a spanning forest; no pairs
 are returned. Each stage is dealt by bucket and block, and read as a sorted stream.
 
 Defined cases: a null or wordless text has no links and a class of its own; a text of under 5 words is one gram; a row
@@ -30,7 +32,9 @@ from larkspur.llm.common import saved
 from larkspur.llm.components import components
 from larkspur.llm.shingles import shingle_set
 
-THRESHOLD, RECALL = 0.8, 0.998
+#: The recall of pairs at the threshold, and the missed links that may be expected of one text.
+THRESHOLD, RECALL = 0.8, 0.9999
+LOSS = 1e-3
 TREES, DEEPEST = 16, 8
 BLOCK = 1024
 #: Broadcast the keys whose texts are compared only if there are no more.
@@ -102,9 +106,11 @@ def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(table: pa.Table, depth: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places (i, j) of the pairs that this group has to compare: first met in this tree, not ruled out."""
-    tree, a, b = (table[c][0].as_py() for c in ("tree", "a", "b"))
+def _candidates(table: pa.Table, longest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs that this group has to compare: one of them has a prefix this short, first met at this
+    level and in this tree, not ruled out."""
+    depth, tree, a, b = (table[c][0].as_py() for c in ("depth", "tree", "a", "b"))
+    short = table["short"].to_numpy()
     s = np.frombuffer(b"".join(table["labels"].to_pylist()), "<u4").reshape(-1, TREES, DEEPEST)
     block = table["block"].to_numpy()
     left = np.flatnonzero(block == a)
@@ -116,6 +122,9 @@ def _candidates(table: pa.Table, depth: int, least: float) -> tuple[np.ndarray,
         same = s[rows][:, None] == s[right][None]
         first = same[..., :depth].all(-1)
         ok = (same.mean((-1, -2)) >= least) & first[..., tree] & ~first[..., :tree].any(-1)
+        ok &= short[rows][:, None] | short[right][None]
+        if depth < longest:
+            ok &= ~same[..., : depth + 1].all(-1).any(-1)
         i, j = np.nonzero(ok)
         if a == b:
             i, j = i[k + i < j], j[k + i < j]
@@ -129,7 +138,7 @@ def _needed(depth: int, least: float):
     """Keeps the rows of each group that take part in a pair to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 5):
+        for table in groups(batches, 6):
             i, j = _candidates(table, depth, least)
             if len(i):
                 yield from table.take(np.unique(np.concatenate([i, j]))).to_batches()
@@ -163,7 +172,7 @@ def _verify(depth: int, least: float, threshold: float):
     """Rows (rep, root of its part of the group's forest, links: copies of the texts that it is linked to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 5):
+        for table in groups(batches, 6):
             i, j = _candidates(table, depth, least)
             if not len(i):
                 continue
@@ -197,6 +206,35 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
 
 
+def _met(classes: DataFrame, depth: int, short: DataFrame | None) -> DataFrame:
+    """Rows (depth, tree, bucket, size, mass, rep, short) of the prefixes of that length that several texts have, one of
+    the short ones among them; mass counts copies."""
+    met = classes.select("rep", "labels").mapInArrow(_buckets(depth), "rep long, buckets array<long>")
+    flags = classes.select(F.col("rep").alias("r"), "copies")
+    if short is None:
+        flags = flags.withColumn("short", F.lit(True))
+    else:
+        flags = flags.join(short.select(F.col("rep").alias("s")), F.col("r") == F.col("s"), "left").select("r", "copies", F.col("s").isNotNull().alias("short"))
+    met = met.join(flags, F.col("rep") == F.col("r")).select("rep", "copies", "short", F.posexplode("buckets").alias("tree", "bucket"))
+    one = W.partitionBy("bucket", "tree")
+    met = met.withColumns({"size": F.count("*").over(one), "mass": F.sum("copies").over(one), "any": F.max("short").over(one)}).filter("size > 1 and any")
+    return met.select(F.lit(depth).alias("depth"), "tree", "bucket", "size", "mass", "rep", "short")
+
+
+def levels(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """_met at that length, and at shorter ones for the texts whose neighbours need them."""
+    out = short = None
+    while True:
+        met = saved(_met(classes, depth, short), "met")
+        out = met if out is None else out.unionByName(met)
+        near = F.max("mass") / threshold**depth  # a neighbour at the threshold shares a prefix this often
+        short = met.filter("short").groupBy("rep").agg((near * (1 - expected_recall(depth, threshold))).alias("loss")).filter(F.col("loss") > LOSS)
+        short = saved(short.select("rep"), "short")
+        if depth == 1 or short.isEmpty():
+            return out
+        depth -= 1
+
+
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
     """Rows (key long, class_id long, n_links long), one for each input row: the least key of the row's connected
     component, and the number of other rows whose sets have a similarity of the threshold or more."""
@@ -207,17 +245,16 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     classes = signed.filter("fp is not null and key is not null").groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
     classes = saved(classes, "classes")
 
-    met = classes.select("rep", "labels").mapInArrow(_buckets(depth), "rep long, buckets array<long>").select("rep", F.posexplode("buckets").alias("tree", "bucket"))
-    met = met.withColumn("size", F.count("*").over(W.partitionBy("bucket", "tree"))).filter("size > 1")
+    met = levels(classes, depth, threshold)
     blocks = F.ceil(F.col("size") / BLOCK)
     met = met.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "tree"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("tree", "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep")
-    met = met.withColumn("group", F.xxhash64("tree", "bucket", "a", "b"))
+    met = met.select("depth", "tree", "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "short")
+    met = met.withColumn("group", F.xxhash64("depth", "tree", "bucket", "a", "b"))
     signs = classes.select(F.col("rep").alias("r"), "labels")
-    one = "group long, tree int, bucket long, a int, b int, block int, rep long, labels binary"
+    one = "group long, depth int, tree int, bucket long, a int, b int, block int, rep long, short boolean, labels binary"
     met = met.join(signs, F.col("rep") == F.col("r")).select(*(x.split()[0] for x in one.split(", ")))
-    dealt = lambda x: x.repartition("group").sortWithinPartitions("group", "tree", "bucket", "a", "b")
+    dealt = lambda x: x.repartition("group").sortWithinPartitions("group", "depth", "tree", "bucket", "a", "b")
     needed = saved(dealt(met).mapInArrow(_needed(depth, least), one), "needed")
 
     keys = saved(needed.select("rep").distinct(), "keys")

@@ -146,6 +146,24 @@ def test_join_against_all_pairs(spark, monkeypatch):
     assert forest.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_join_finds_all_links_of_a_large_group(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for i in range(400):  # all different, most pairs just above the threshold
+        words = [f"w{k}" for k in range(380)]
+        for k in rng.choice(76, 4, replace=False):
+            words[5 * k + 2] = f"x{i}_{k}"
+        rows.append((i, " ".join(words)))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in forest.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [shingle_set(t) for _, t in rows]
+    i, j = np.triu_indices(len(sets), 1)
+    both = forest.intersections(sets, i, j)
+    size = np.array([len(x) for x in sets])
+    ok = 10 * both >= 8 * (size[i] + size[j] - both)
+    links = np.bincount(i[ok], minlength=400) + np.bincount(j[ok], minlength=400)
+    assert got == {k: (0, n) for k, n in enumerate(links.tolist())}
+
+
 def test_prefixes_shorten_until_the_recall():
     depth = forest.shortened(0.8, 0.99)
     assert forest.expected_recall(depth) >= 0.99 > forest.expected_recall(depth + 1)
