@@ -86,23 +86,33 @@ def test_bpe_equals_the_library(spark, texts):
         assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
 
 
-def test_top_k_with_odd_vectors(spark):
+def test_top_k_with_odd_vectors(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK", 64)  # several blocks, several query blocks, several salts
+    monkeypatch.setattr(vafile, "QUERIES", 8)
+    monkeypatch.setattr(vafile, "ANSWERS", 3)
     rng = np.random.default_rng(3)
     rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(0, 0.3, (300, 8)))]
     rows += [(i + 300, rows[i][1]) for i in range(40)]  # ties
-    rows += [(1000, None), (1020, [float("nan")] * 8), (1040, [1.0, None] * 4), (1060, [0.5] * 3), (1080, [1e30] * 8), (None, [0.1] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x"))
+    rows += [(1000, None), (1020, [float("nan")] * 8), (1040, [1.0, None] * 4), (1060, [0.5] * 3), (1080, [1e30] * 8), (None, [0.1] * 8), (1100, []), (1101, []), (1121, [1.0, 2.0]), (1120, [1e6, 1.0]), (1122, [1e6, 2.0]), (1123, [2e6, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
     got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vafile.search(df, F.col("id") % 20 == 0).collect()}
-    fit = {k: [max(-vafile.LARGEST, min(vafile.LARGEST, math.floor(64 * float(np.float32(x))))) for x in v] for k, v in rows if k is not None and v and None not in v and all(map(math.isfinite, v))}
+    fit = {k: [math.floor(64 * x) for x in v] for k, v in rows if k is not None and v is not None and None not in v and all(map(math.isfinite, v))}
+    long = lambda x: max(1 - (1 << 63), min((1 << 63) - 1, x))
     want = {}
     for q in fit:
         if q % 20 == 0:
-            best = sorted((-sum(a * b for a, b in zip(fit[q], v)), k) for k, v in fit.items() if k != q and len(v) == len(fit[q]))[:20]
+            best = sorted((-long(sum(a * b for a, b in zip(fit[q], v))), k) for k, v in fit.items() if k != q and len(v) == len(fit[q]))[:20]
             want |= {(q, i): (k, -s) for i, (s, k) in enumerate(best, 1)}
     assert got == want
     assert vafile.search(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_repeated_queries_ask_once(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [3.0, 2.0]), (1, [3.0, 2.0]), (2, [1.0, 5.0])], "vec_id long, embedding array<float>")
+    got = sorted((r["rank"], r.vec_id, r.score) for r in vafile.search(df, F.col("id") == 0).collect())
+    assert got == [(1, 2, 64 * 64 * 5), (2, 1, 64 * 64 * 2), (3, 1, 64 * 64 * 2)]
+
+
 def test_language_of_held_out_rows(spark, texts):
     rows = queries.op4_language_id(spark, SF).collect()
     truth = {r.doc_id: r.lang for r in queries.read(spark, SF, "documents").collect()}
