@@ -4,13 +4,15 @@ Only DataFrame functions. Each document draws an exponential key divided by its
 documents follow in the order of their keys, and sizes are prefix-summed up to the source's token budget. Complete
 epochs over a source precede that fractional selection.
 
-The prefix sums are split: keys are cut into bins by a monotone map, sizes are summed by (source, bin), and a window
-runs within each (source, bin), so that no task gets a whole source. Of each source only its cut-off goes back to the
-documents: one row a source, broadcast if there are at most BROADCAST_SOURCES of them, else joined.
+The prefix sums are split: keys are cut into bins at quantiles, sizes are summed by (source, bin), and a window runs
+within each (source, bin), so that no task gets a whole source. A key that many rows share is cut further by the order
+of its ties. Of each source only its cut-off goes back to the documents: one row a source, broadcast if there are at
+most BROADCAST_SOURCES of them, else joined. The sources themselves are ranked by range partitions and filled by sums.
 
 Defined cases: a null text has size 0 and is never taken; a null source is a source of its own and the last; a null
-doc_id draws the key of the text "null"; a repeated row draws the same key and shares its fate; an empty table gives
-an empty mix; other columns' names don't matter, rows are packed before columns are added.
+doc_id draws the key of the text "null"; repeated rows draw one key and are told apart by their place in the input,
+which therefore has to read alike twice, as a table of files does; an empty table gives an empty mix; other columns'
+names don't matter, rows are packed before columns are added.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ MOST = 3
 SEED = "mix"
 BROADCAST_SOURCES = 20_000
 UNIT = float(1 << 48)
+#: Quantiles at which keys are cut, and parts of a key that repeats.
+KNOTS, PARTS = 256, 256
 
 
 def sampling_key(key: Column, size: Column, chars: Column) -> Column:
@@ -42,44 +46,73 @@ def drawn(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Rows (row: the input's columns, source, size, draw: key and ties' order)."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = df.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(key).alias("key"), F.regexp_count(t, F.lit(WORD)).cast("long").alias("size"), F.length(t).alias("chars"))
-    draw = F.struct(sampling_key(F.col("key"), F.col("size"), F.col("chars")).alias("at"), F.coalesce(F.col("key").cast("string"), F.lit("null")).alias("key"), F.col("size"))
+    draw = F.struct(sampling_key(F.col("key"), F.col("size"), F.col("chars")).alias("at"), F.xxhash64(F.monotonically_increasing_id()).alias("tie"))
     return out.select("row", "source", "size", draw.alias("draw"))
 
 
+def ranked(sources: DataFrame, by: Column) -> DataFrame:
+    """Adds n, each row's place from 0 in that order; by range partitions, whose sizes alone meet in one task."""
+    rows = saved(sources.repartitionByRange(by).sortWithinPartitions(by).withColumn("at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("at", 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
+    before = sizes.select("part", (F.sum("rows").over(W.orderBy("part")) - F.col("rows")).alias("before"))
+    out = rows.withColumn("p", part).join(F.broadcast(before), F.col("p") == F.col("part"))
+    return out.withColumn("n", F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).select(*sources.columns, "n")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """Rows (source, source_size, target) from (source, source_size): shares of the total by weight, at most MOST
-    times the source's size, the excess reshared by weight.
+    times the source's size, the excess reshared by weight until none is above.
 
-    Filling water: in the order of cap / weight, the sources before some place are capped and the rest gets the same
-    amount per unit of weight. One row a source passes the windows.
+    Each round is one sum over the sources: those that the last level fills are capped, the rest shares what is left.
     """
-    order = W.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    out = sizes.withColumn("weight", weight.cast("double")).withColumn("cap", MOST * F.col("source_size"))
-    by = W.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_first())
-    before = F.coalesce(F.sum("cap").over(by.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    rest = F.sum("weight").over(by.rowsBetween(0, W.unboundedFollowing))
-    every = W.partitionBy()
-    out = out.withColumn("level", (F.sum("source_size").over(every) - before) / rest)
-    level = F.min(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.struct((F.col("cap") / F.col("weight")).alias("a"), F.col("source").isNotNull().alias("b"), F.col("source").alias("c"), F.col("level")))).over(every)
-    return out.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(level["level"], F.lit(0.0)) * F.col("weight")).alias("target"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("n") % len(weights) + 1).cast("int"))
+    out = ranked(sizes, F.col("source").asc_nulls_last()).withColumn("weight", weight.cast("double")).withColumn("cap", MOST * F.col("source_size"))
+    out = saved(out.select("source", "source_size", "weight", "cap"), "weights")
+    level, open_before = 0.0, None
+    while True:
+        free = F.col("cap") / F.col("weight") >= level
+        total, capped, rest, open_now = out.agg(F.sum("source_size"), F.sum(F.when(~free, F.col("cap")).otherwise(0)), F.sum(F.when(free, F.col("weight"))), F.count(F.when(free, 1))).first()
+        if not open_now or open_now == open_before:
+            break
+        level, open_before = (total - capped) / rest, open_now
+    return out.select("source", "source_size", F.least(F.col("cap").cast("double"), F.lit(level) * F.col("weight")).alias("target"))
+
+
+def bin_of(at: Column, tie: Column, knots: list[float], bins: int) -> Column:
+    """Number of a key's bin, rising with (at, tie): even ones lie between the knots, cut to equal widths; a key that
+    is a knot has bins of its own, by ties."""
+    if not knots:
+        return F.lit(0).cast("long")
+    each = max(PARTS, -(-bins // len(knots)))
+    array = F.array(*map(F.lit, knots))
+    below = F.size(F.filter(array, lambda x: x < at))
+    low, high = F.get(array, below - 1), F.get(array, below)
+    within = F.least(F.floor((at - low) / (high - low) * each), F.lit(each - 1))
+    part = F.when(at == high, F.shiftright(tie, 56) + 128).otherwise(F.coalesce(within, F.lit(0)))
+    return ((2 * below + F.coalesce(at == high, F.lit(False)).cast("int")).cast("long") * each + part).cast("long")
 
 
 def cutoffs(rows: DataFrame, bins: int) -> DataFrame:
     """Rows (source, source_size, target, epochs, cutoff: the last draw taken once more, or null) of rows (source,
     size, draw)."""
-    rows = rows.withColumn("bin", F.floor(bins * (1 - F.exp(-F.col("draw.at")))))
-    sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    at = [i / KNOTS for i in range(1, KNOTS)]
+    knots = sorted(set(rows.agg(F.percentile_approx("draw.at", at)).first()[0] or []))
+    rows = rows.withColumn("bin", bin_of(F.col("draw.at"), F.col("draw.tie"), knots, bins))
+    sums = saved(rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     per_source = targets(sums.groupBy("source").agg(F.sum("bin_size").alias("source_size")))
     epochs = F.floor(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")))
     per_source = saved(per_source.withColumn("epochs", F.coalesce(epochs, F.lit(0))), "sources")
+    # Only the bin in which a source's budget ends is read row by row.
+    plan = few(per_source.select(F.col("source").alias("s"), (F.col("target") - F.col("epochs") * F.col("source_size")).alias("budget")))
     offset = F.sum("bin_size").over(W.partitionBy("source").orderBy("bin")) - F.col("bin_size")
-    offsets = sums.select(F.col("source").alias("s"), F.col("bin").alias("b"), offset.alias("offset"))
-    joined = rows.join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b")))
-    before = F.sum("size").over(W.partitionBy("source", "bin").orderBy("draw").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") + F.col("offset")
-    joined = joined.select("source", "size", "draw", before.alias("before")).join(few(per_source.select(F.col("source").alias("s"), "source_size", "target", "epochs")), F.col("source").eqNullSafe(F.col("s")))
-    once_more = F.col("before") + F.col("size") / 2 <= F.col("target") - F.col("epochs") * F.col("source_size")
-    last = joined.filter(once_more & (F.col("size") > 0)).groupBy(F.col("source").alias("s")).agg(F.max("draw").alias("cutoff"))
+    bounds = sums.select("source", "bin", "bin_size", offset.alias("offset")).join(plan, F.col("source").eqNullSafe(F.col("s"))).filter("offset <= budget")
+    ends = bounds.groupBy("source").agg(F.max(F.struct("bin", "offset", "budget")).alias("end")).select(F.col("source").alias("s"), F.col("end.bin").alias("b"), F.col("end.offset").alias("offset"), F.col("end.budget").alias("budget"))
+    inside = rows.join(few(saved(ends, "ends")), F.col("source").eqNullSafe(F.col("s")) & (F.col("bin") <= F.col("b")))
+    before = F.sum("size").over(W.partitionBy("source").orderBy("draw").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size") + F.col("offset")
+    last = inside.filter("bin = b").select("source", "size", "draw", "budget", before.alias("before")).filter((F.col("before") + F.col("size") / 2 <= F.col("budget")) & (F.col("size") > 0))
+    earlier = inside.filter((F.col("bin") < F.col("b")) & (F.col("size") > 0))
+    last = last.select("source", "draw").unionByName(earlier.select("source", "draw")).groupBy(F.col("source").alias("s")).agg(F.max("draw").alias("cutoff"))
     return per_source.join(last, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 

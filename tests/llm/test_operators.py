@@ -344,6 +344,24 @@ def test_mix_of_odd_rows(odd, none):
     assert mixing.mixed_rows(none).count() == 0
 
 
+def test_mix_of_repeated_rows_meets_its_target(spark):
+    rows = [(7, "four words are here", "a")] * 60 + [(i, "some five words are here", "b") for i in range(100, 160)] + [(i, "x " * (i % 5 + 1), "c") for i in range(200, 500)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        taken[r.source] += r["size"] * r.times
+        target[r.source] = r.target
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 2.5 for s in target)
+    assert {r.times for r in got if r.source == "a"} in ({0, 1}, {1, 2}, {2, 3}, {3})
+
+
+def test_bins_rise_with_keys(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(x), int(t)) for x, t in zip(np.round(rng.exponential(1, 500), 1), rng.integers(-(1 << 63), 1 << 63, 500, np.int64))]
+    out = spark.createDataFrame(rows, "at double, tie long").select("at", "tie", mixing.bin_of(F.col("at"), F.col("tie"), [0.1, 0.5, 2.0], 64).alias("bin")).orderBy("at", "tie").collect()
+    assert [r.bin for r in out] == sorted(r.bin for r in out) and len({r.bin for r in out}) > 60
+
+
 def test_targets_fill_up(spark):
     rows = [("a", 10), ("b", 100), ("c", 1000), (None, 50), ("e", 0)]
     got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(rows, "source string, source_size long")).collect()}
