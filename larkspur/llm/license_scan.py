@@ -3,7 +3,8 @@ and / or / with in the tags' licence expressions.
 
 Defined cases: a null text is the empty text; a text without words has no places and no labels; each place of a
 phrase counts, overlapping or not; ties can't occur; an expression that can't be parsed to its end is evaluated up to
-its last complete operand; repeated rows give repeated results; other columns of the input don't matter.
+its last complete operand; an identifier that isn't known is its own label, lower-cased and without -only, -or-later
+and +; a null doc_id stays null; repeated rows give repeated results; other columns of the input don't matter.
 """
 
 from __future__ import annotations
@@ -96,8 +97,8 @@ def evaluate(rpn: list[str]) -> tuple[float, set[str]]:
             stack.append((max(a, b), left | right) if x == "or" else (min(a, b), left | right) if x == "and" else (max(a, EXCEPTION), left))
         elif x not in BINDS:
             low = re.sub(r"(-only|-or-later|\+)$", "", x.lower())
-            label = IDENTIFIERS.get(low)
-            stack.append((FREEDOM.get(label, UNKNOWN), {label} if label else set()))
+            label = IDENTIFIERS.get(low, low)
+            stack.append((FREEDOM.get(label, UNKNOWN), {label}))
     return stack[-1] if stack else (0.0, set())
 
 
