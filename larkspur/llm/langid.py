@@ -1,51 +1,73 @@
 """Language ID: averaged hashed subword embeddings under a linear softmax, trained by stochastic gradient descent.
 
 A text's letters are lower-cased, all else becomes a space; each run of 1 to 4 characters is hashed to a bucket. The
-mean of the buckets' embeddings goes through a linear layer. Training is numpy on the driver, over a
-sample of about SAMPLE labelled texts, whole ones; prediction covers every whole text. As
-the layer is linear, prediction sums each bucket's logits (a table of fixed size, broadcast) instead of embeddings.
-
-A third of the sample is kept from training: on it a temperature calibrates the probabilities, and the rejection
-threshold is the REJECT quantile of the probability that right predictions get there, at most MOST.
-
-Defined cases: a text that is null or has no letter is `und` with score 0 and rejected; if no labelled row can be
-learned from, all are `und`; a tie goes to the language that sorts first; repeated rows are predicted alike; clashing
-names of other columns don't matter, rows are packed first.
+mean of the buckets' embeddings goes through a linear layer. Training is numpy on the driver, over a sample of labelled
+texts, whole ones: at most EACH a language and SAMPLE in all, the languages taking turns, and at most SAMPLE_CHARS
+characters, counted before any text reaches the driver. Prediction covers every whole text. As the layer is linear,
+prediction sums each bucket's logits (a table of fixed size, broadcast) instead of embeddings, a piece at a time.
+
+A third of the sample is kept from training: on it a temperature calibrates the probabilities, and sets the rejection
+threshold: what all wrong predictions there stay below (MOST, if none is wrong), but no more than the REJECT quantile
+of right ones.
+
+Defined cases: a text that is null or has no letter (other numerals, marks and signs aren't letters) is `und` with
+score 0 and rejected; a labelled text longer than SAMPLE_CHARS can't be learned from; if no labelled row can be learned
+from, all are `und`; a tie goes to the language that sorts first; repeated rows are predicted alike; clashing names of
+other columns don't matter, rows are packed first.
 """
 
 from __future__ import annotations
 
-import re
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import fold
 
-SAMPLE = 3000
+#: Rows that are learned from, at most: in all, and of one language.
+SAMPLE, EACH = 4000, 1000
 BUCKETS = 1 << 16
 DIMENSION = 16
 EPOCHS, BATCH, RATE = 5, 32, 0.1
 REJECT, MOST = 0.001, 0.5
 NONE = "und"
-#: At most so many sampled characters reach the driver; texts beyond are passed over whole.
+#: At most so many sampled characters reach the driver; a row beyond is passed over whole.
 SAMPLE_CHARS = 30_000_000
+#: Characters of a text that are hashed at once.
+PIECE = 500_000
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
-_OTHER = re.compile(r"[\W\d_]+")
+
+def spaced(text: str) -> np.ndarray:
+    """A text's code points, lower-cased, each run of others than letters one space; one space before and, if there is
+    a letter, three at least after."""
+    code = np.frombuffer(f" {text.lower()}   ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[code]
+    code = np.where(letter, code, np.uint32(32))
+    kept = letter | np.concatenate([[True], letter[:-1]])
+    return np.concatenate([code[kept], np.full(2 if letter.any() else 3, 32, np.uint32)])
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of each n-gram of the joined texts, one column per order, and each text's first place. A text's n-grams
     don't reach into the next text: three spaces lie between."""
-    clean = [" " + _OTHER.sub(" ", t.lower()).strip() + "   " for t in texts]
-    starts = np.cumsum([0, *map(len, clean)])
-    code = np.frombuffer("".join(clean).encode("utf-32-le"), np.uint32).astype(np.uint32)
-    padded = np.concatenate([code, np.full(3, 32, np.uint32)])
-    n = len(code)
+    clean = [spaced(t) for t in texts]
+    return buckets(np.concatenate([*clean, np.full(3, 32, np.uint32)])), np.cumsum([0, *map(len, clean)])
+
+
+def buckets(padded: np.ndarray) -> np.ndarray:
+    """Buckets of the n-grams of each order that begin at each code point but the last three."""
+    n = len(padded) - 3
     columns, key = np.empty((n, 4), np.uint16), np.zeros(n, np.uint32)
     with np.errstate(over="ignore"):
         for order in range(4):
@@ -53,7 +75,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             mixed = key ^ (key >> np.uint32(15))
             mixed *= np.uint32(0x85EBCA6B)
             columns[:, order] = mixed >> np.uint32(16)
-    return columns, starts
+    return columns
 
 
 @dataclass
@@ -66,13 +88,20 @@ class Model:
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Logits of each text; a text without a letter gets nan."""
-        columns, starts = features(texts)
-        total = np.zeros((len(columns), len(self.languages)), np.float32)
-        for order in range(columns.shape[1]):
-            total += self.logits[columns[:, order]]
-        sums = np.add.reduceat(total, starts[:-1], axis=0, dtype=np.float64) / (4 * np.diff(starts))[:, None] + self.bias
-        blank = np.diff(starts) <= 4
-        sums[blank] = np.nan
+        clean = [spaced(t) for t in texts]
+        starts = np.cumsum([0, *map(len, clean)])
+        padded = np.concatenate([*clean, np.full(3, 32, np.uint32)])
+        sums = np.zeros((len(texts), len(self.languages)))
+        for a in range(0, int(starts[-1]), PIECE):
+            columns = buckets(padded[a : a + PIECE + 3])
+            total = np.zeros((len(columns), len(self.languages)), np.float32)
+            for order in range(columns.shape[1]):
+                total += self.logits[columns[:, order]]
+            first = int(np.searchsorted(starts, a, "right")) - 1
+            cut = np.unique(np.concatenate([[0], starts[(starts > a) & (starts < a + len(columns))] - a]))
+            sums[first : first + len(cut)] += np.add.reduceat(total, cut, axis=0, dtype=np.float64)
+        sums = sums / (4 * np.diff(starts))[:, None] + self.bias
+        sums[np.diff(starts) <= 4] = np.nan
         return sums
 
     def probabilities(self, texts: list[str]) -> np.ndarray:
@@ -83,7 +112,7 @@ class Model:
 
 def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     """SGD over embeddings and layer; every third text calibrates."""
-    usable = [(t, x) for t, x in zip(texts, labels) if _OTHER.sub("", t)]
+    usable = [(t, x) for t, x in zip(texts, labels) if any(map(str.isalpha, t))]
     languages = sorted({x for _, x in usable})
     if not languages:
         return None
@@ -131,8 +160,10 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model | None:
     model.temperature = min(np.geomspace(0.02, 20, 60), key=lambda t: _loss(z / t, y))
     p = np.exp(z / model.temperature - (z / model.temperature).max(1, keepdims=True))
     p /= p.sum(1, keepdims=True)
-    right = p.argmax(1) == y
-    model.threshold = min(MOST, float(np.quantile(p.max(1)[right], REJECT))) if right.any() else 0.0
+    right, sure = p.argmax(1) == y, p.max(1)
+    most = float(np.quantile(sure[right], REJECT)) if right.any() else 0.0
+    wrong = sure[~right & (sure < most)]
+    model.threshold = min(most, float(np.nextafter(wrong.max(), 2)) if len(wrong) else MOST)
     return model
 
 
@@ -142,20 +173,24 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(df: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Trains on a sample of the rows that fulfil the condition and have a text and a language: SAMPLE rows on the
-    average, picked by a hash, and SAMPLE_CHARS characters at most, longest texts left out first."""
-    rows = df.filter(learnable & F.col(lang).isNotNull())
-    share = min(1.0, SAMPLE / max(1, rows.select(key).count()))
-    picked = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("langid")), F.lit(1 << 20)) < max(1, round(share * (1 << 20)))
-    rows = rows.filter(picked & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    sample = sorted(rows.filter(F.length("t") <= SAMPLE_CHARS // 100).collect())
-    total = sum(len(t) for t, _ in sample)
-    for row in sorted(sample, key=lambda r: -len(r[0])):
-        if total <= SAMPLE_CHARS:
-            break
-        sample.remove(row)
-        total -= len(row[0])
-    return train([t for t, _ in sample], [x for _, x in sample])
+    """Trains on a sample of the rows that fulfil the condition and have a text and a language: of each language the
+    EACH rows of the least hashes, of these the first, second and so on of all languages until there are SAMPLE."""
+    digest = F.struct(F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("a"), F.xxhash64(F.col(text)).alias("b"))
+    rows = df.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(digest.alias("h"), F.col(lang).cast("string").alias("l"), F.length(text).alias("n"), F.col(text).alias("t"))
+    turns = rows.select("h", "l", "n").withColumn("turn", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("turn") <= EACH)
+    chosen, total = [], 0
+    for r in turns.orderBy("turn", "h", "l").limit(SAMPLE).collect():
+        if total + r.n <= SAMPLE_CHARS:
+            total += r.n
+            chosen.append((r.h.a, r.h.b, r.l))
+    if not chosen:
+        return None
+    wanted = F.broadcast(df.sparkSession.createDataFrame(chosen, "a long, b long, wanted string").groupBy("a", "b", "wanted").agg(F.count("*").alias("rows")))
+    found = rows.join(wanted, (F.col("h.a") == F.col("a")) & (F.col("h.b") == F.col("b")) & (F.col("l") == F.col("wanted")))
+    # Of a text that repeats under one key, one row comes back for each task at most, and is repeated here.
+    found = found.groupBy("h", "l").agg(F.first("t").alias("t"), F.first("rows").alias("rows"))
+    sample = sorted((r.h.a, r.h.b, r.t, r.l) for r in found.collect() for _ in range(r.rows))
+    return train([x[2] for x in sample], [x[3] for x in sample])
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame:

@@ -73,6 +73,62 @@ def test_license_evaluation():
     assert (r["labels"], r["base_labels"], r["expressions"]) == ("mpl-2", "", ["MPL-2.0"])
 
 
+def brute_force_licence(text):
+    """Labels and score by searching words and by recursive descent."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))
+    labels, grants = set(), []
+    for phrase, label in {**license_scan.NOTICES, **license_scan.BASE}.items():
+        p = phrase.split()
+        if any(words[i : i + len(p)] == p for i in range(len(words))):
+            labels.add(label)
+            grants.append(license_scan.FREEDOM.get(label, license_scan.UNKNOWN))
+
+    def expression(tokens, level=0):
+        """or, and, with by falling looseness; each joins what binds tighter."""
+        if level == 3:
+            if tokens[0] == "(":
+                tokens.pop(0)
+                out = expression(tokens)
+                tokens.pop(0)
+                return out
+            name = re.sub(r"(-only|-or-later|\+)$", "", tokens.pop(0).lower())
+            label = license_scan.IDENTIFIERS.get(name, name)
+            return license_scan.FREEDOM.get(label, license_scan.UNKNOWN), {label}
+        a, found = expression(tokens, level + 1)
+        while tokens and tokens[0].lower() == ("or", "and", "with")[level]:
+            tokens.pop(0)
+            b, more = expression(tokens, level + 1)
+            a, found = ((max(a, b), found | more), (min(a, b), found | more), (max(a, license_scan.EXCEPTION), found))[level]
+        return a, found
+
+    for line in re.findall(r"(?i)spdx-license-identifier\s*:[ \t]*([^\r\n]*)", text):
+        tokens = re.findall(r"[()]|[^\s()]+", line)
+        if tokens:
+            grant, found = expression(tokens)
+            labels |= found
+            grants.append(grant)
+    return ",".join(sorted(labels)), min(grants, default=0.0)
+
+
+def test_licence_labels_and_score_against_brute_force(texts):
+    rng = np.random.default_rng(11)
+    names = ["MIT", "Apache-2.0", "GPL-3.0-or-later", "LicenseRef-own", "BSD-3-Clause", "Foo-1.0+", "CC0-1.0"]
+
+    def grown(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return str(rng.choice(names))
+        a, b = grown(depth - 1), grown(depth - 1)
+        out = f"{a} {rng.choice(['OR', 'AND', 'or', 'and'])} {b}" if rng.random() < 0.8 else f"{rng.choice(names)} WITH Some-exception"
+        return f"({out})" if rng.random() < 0.5 else out
+
+    phrases = [*license_scan.NOTICES, *license_scan.BASE, "plain words", "the mit", "license version"]
+    made = [" ".join(str(x) for x in rng.choice(phrases, 3)) + "".join(f"\n# SPDX-License-Identifier: {grown(3)}\n" for _ in range(rng.integers(0, 3))) for _ in range(300)]
+    phrases = license_scan.automaton()
+    for t in [*made, *texts.values()]:
+        r = license_scan.scan_text(t, phrases)
+        assert (r["labels"], r["score"]) == brute_force_licence(t), t[:200]
+
+
 def test_bpe_equals_the_library(spark, texts):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -129,6 +185,32 @@ def test_language_of_odd_texts(odd, none):
     assert langid.fit(none, F.lit(True)) is None and langid.predict(odd, None).filter("lang_pred <> 'und'").count() == 0
 
 
+def test_only_letters_tell_a_language():
+    model = langid.train(["the of and to", "der die und das"] * 10, ["en", "de"] * 10)
+    assert np.isnan(model.scores(["²", "½ ① ²", "", "__ 12 ٣", "\u0301"])).all() and not np.isnan(model.scores(["a", "²é½"])).any()
+    assert langid.features(["a² b"])[0].tolist() == langid.features(["A, b"])[0].tolist()
+
+
+def test_pieces_don_t_change_logits(monkeypatch):
+    model = langid.train(["the of and to", "der die und das"] * 10, ["en", "de"] * 10)
+    texts = ["the and of " * 50, "", "x", "der das 12 und " * 40, "²"]
+    want = model.scores(texts)
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert np.allclose(model.scores(texts), want, equal_nan=True, atol=1e-5)
+    assert np.allclose(want[0], model.scores([texts[0]])[0], atol=1e-5)
+
+
+def test_sample_is_bounded_and_by_language(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    monkeypatch.setattr(langid, "SAMPLE", 12)
+    monkeypatch.setattr(langid, "EACH", 10)
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 500)
+    rows = [(i, f"text number {i}", "en") for i in range(200)] + [(1000, "seltener text", "de"), (1001, "texte rare", "fr"), (1002, "x" * 501, "es")] + [(7, "text number 7", "en")] * 30
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert {"de", "fr", "en"} == set(seen["labels"]) and 8 <= len(seen["labels"]) <= 12 and sum(map(len, seen["texts"])) <= 500
+
+
 def near_rows():
     base = [f"w{i}" for i in range(120)]
     rows = [(1000 + i, " ".join(base)) for i in range(40)]  # copies
