@@ -1,20 +1,23 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Each text's word 5-grams are a set; its signature is TREES labels of DEEPEST MinHash values. In a tree, texts under one
-prefix of their labels are candidates; prefixes are the nodes of the tree's trie, told apart by their hashes. All texts'
-prefixes are shortened until pairs at the threshold meet in some tree with the target recall. Then, level by level, the
-prefixes of those texts are shortened further that have so many neighbours that more than LOSS missed links would be
-expected of them. Candidates that the signatures' agreement doesn't rule out (five standard deviations) are then
-compared by their whole sets.
-
-Texts with equal sets are one class from the start: only its least key goes on, with the number of copies. Where many
-different texts meet under a prefix, they are cut into blocks, and each pair of blocks is a group of fixed size. A pair
-is counted at the first level and in the first tree where it meets, in one group, and leaves it only as sums and a spanning forest; no pairs
-are returned. Each stage is dealt by bucket and block, and read as a sorted stream.
+Each text's word 5-grams are a set; its signature is TREES labels of DEEPEST MinHash values. A tree is a prefix trie of
+its labels: they are sorted over range partitions, so a node of the trie is a run of rows that share a prefix, and its
+size is the run's length. A run that touches the edge of a partition is completed by one row of each such partition.
+
+In a tree, texts under one node are candidates. All texts' prefixes are shortened until pairs at the threshold meet in
+some tree with the target recall. Then, level by level, the prefixes of those texts are shortened further that have so
+many neighbours that more than LOSS missed links would be expected of them. Candidates that the signatures' agreement
+doesn't rule out (SIGMA standard deviations; None: all) are then compared by their whole sets.
+
+Texts with equal sets are one class from the start: only one of them goes on, with the number of copies. Where many
+different texts, or much text, meet under a node, they are cut into blocks, and each pair of blocks is a group of
+bounded size. A pair is counted at the first level and in the first tree where it meets, in one group, and leaves it
+only as sums and a spanning forest; no pairs are returned. Each stage is dealt by group, and read as a sorted stream.
 
 Defined cases: a null or wordless text has no links and a class of its own; a text of under 5 words is one gram; a row
-with a null key takes no part (class null, no links); repeated rows are copies; an empty table gives no rows; other
-columns aren't read.
+with a null key takes part, and a class without any key has a null id; repeated rows are copies; rows of one key with
+different texts are different texts; an empty table gives no rows; other columns aren't read. A worker holds one text
+at a time beyond STEP_CHARS characters.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import saved
+from larkspur.llm.common import fold, saved
 from larkspur.llm.components import components
 from larkspur.llm.shingles import shingle_set
 
@@ -36,8 +39,10 @@ from larkspur.llm.shingles import shingle_set
 THRESHOLD, RECALL = 0.8, 0.9999
 LOSS = 1e-3
 TREES, DEEPEST = 16, 8
-BLOCK = 1024
-#: Broadcast the keys whose texts are compared only if there are no more.
+#: Texts, and bytes of their sets, that a block holds on the average at most.
+BLOCK, BLOCK_BYTES = 1024, 16_000_000
+SIGMA = 6
+#: Broadcast the texts that are compared only if there are no more.
 BROADCAST_KEYS = 500_000
 
 _RNG = np.random.default_rng(20240101)
@@ -58,35 +63,120 @@ def shortened(threshold: float = THRESHOLD, target: float = RECALL) -> int:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """TREES x DEEPEST MinHash values, upper 32 bits."""
+    """TREES x DEEPEST MinHash values, upper 16 bits; big-endian, so that bytes sort as values do."""
     out = np.full(TREES * DEEPEST, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(grams), 4096):
             out = np.minimum(out, (grams[i : i + 4096, None] * _A + _B).min(0))
-    return (out >> np.uint64(32)).astype("<u4")
+    return (out >> np.uint64(48)).astype(">u2")
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints, labels = [], []
-        for t in batch.column(1).to_pylist():
-            grams = shingle_set(t or "")
-            prints.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
-            labels.append(signature(grams).tobytes() if len(grams) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary()), pa.array(labels, pa.binary())], names=["key", "fp", "labels"])
-
+        texts = batch.column(2).to_pylist()
+        for i, j in fold(texts, lambda t: len(t or "")):
+            prints, labels, sizes = [], [], []
+            for t in texts[i:j]:
+                grams = shingle_set(t or "")
+                prints.append(xxhash.xxh3_128_digest(grams.tobytes()) if len(grams) else None)
+                labels.append(signature(grams).tobytes() if len(grams) else None)
+                sizes.append(len(grams))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(prints, pa.binary()), pa.array(labels, pa.binary()), pa.array(sizes, pa.int64())], names=["key", "hash", "fp", "labels", "grams"])
+
+
+def raw(column: pa.Array) -> np.ndarray:
+    """The bytes of a binary column without nulls, one after the other."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.empty(0, np.uint8)
+
+
+# The forest: runs of a sorted stream (part, tree, label, rep, copies, grams, short).
+
+
+def tries(classes: DataFrame) -> DataFrame:
+    """Rows (part, tree, label, rep, copies, grams): the labels of all trees, sorted over range partitions."""
+    rows = classes.select(F.sequence(F.lit(0), F.lit(TREES - 1)).alias("trees"), "labels", "rep", "copies", "grams")
+    rows = rows.select(F.explode("trees").alias("tree"), "labels", "rep", "copies", "grams")
+    rows = rows.select("tree", F.substring("labels", F.col("tree") * (2 * DEEPEST) + 1, F.lit(2 * DEEPEST)).alias("label"), "rep", "copies", "grams")
+    rows = rows.repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+    return saved(rows.select(F.spark_partition_id().alias("part"), "*"), "tries")
+
+
+def _nodes(depth: int):
+    """Rows of the runs that share a prefix of that length, with the run's figures: whole runs of several rows, one of
+    them short, and all that touch the edge of a part, which may go on in another."""
+
+    def out(rows: pa.Table, starts: np.ndarray, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = rows.num_rows
+        run = np.zeros(n, np.int64)
+        run[starts[1:]] = 1
+        run = np.cumsum(run)
+        size, short = np.bincount(run), np.bincount(run, rows["short"].to_numpy(zero_copy_only=False).astype(float)) > 0
+        mass, bulk = (np.bincount(run, rows[c].to_numpy()).astype(np.int64) for c in ("copies", "grams"))
+        kept = np.flatnonzero((edges | (short & (size > 1)))[run])
+        if len(kept):
+            at = run[kept]
+            prefix = rows.select(["label"]).take(kept)["label"].to_pylist()
+            first = np.zeros(n, bool)
+            first[starts] = True
+            yield from pa.table({
+                "tree": rows["tree"].to_numpy()[kept], "prefix": pa.array([x[: 2 * depth] for x in prefix], pa.binary()), "rep": rows["rep"].to_numpy()[kept], "short": rows["short"].to_numpy(zero_copy_only=False)[kept],
+                "size": size[at], "mass": mass[at], "bulk": bulk[at], "any": short[at], "edge": edges[at], "first": first[kept],
+            }).to_batches()
 
-def _buckets(depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []  # the open run
+        last, edge = None, True
         for batch in batches:
-            if batch.num_rows:
-                s = np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u4").reshape(-1, TREES, DEEPEST)
-                buckets = [[int.from_bytes(xxhash.xxh3_64_digest(s[i, t, :depth].tobytes(), seed=t), "little", signed=True) for t in range(TREES)] for i in range(len(s))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.list_(pa.int64()))], names=["rep", "buckets"])
+            if not batch.num_rows:
+                continue
+            part, tree = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            label = raw(batch.column(2)).reshape(-1, 2 * DEEPEST)[:, : 2 * depth]
+            table = pa.Table.from_batches([batch])
+            new = np.ones(len(part), bool)
+            other = np.ones(len(part), bool)
+            other[1:] = part[1:] != part[:-1]
+            new[1:] = other[1:] | (tree[1:] != tree[:-1]) | (label[1:] != label[:-1]).any(1)
+            if last is not None:
+                other[0] = part[0] != last[0]
+                new[0] = other[0] or tree[0] != last[1] or label[0].tobytes() != last[2]
+            starts = np.flatnonzero(new)
+            if held and not len(starts):
+                held.append(table)
+                continue
+            if held:
+                whole = pa.concat_tables([*held, table.slice(0, starts[0])])
+                yield from out(whole, np.array([0]), np.array([edge or bool(other[starts[0]])]))
+            if len(starts) > 1:
+                a, z = int(starts[0]), int(starts[-1])
+                edges = other[starts[:-1]] | other[starts[1:]]
+                edges[0] |= last is None
+                yield from out(table.slice(a, z - a), starts[:-1] - a, edges)
+            edge = bool(other[starts[-1]]) or (last is None and len(starts) == 1)
+            held = [table.slice(int(starts[-1]))]
+            last = (part[-1], tree[-1], label[-1].tobytes())
+        if held:
+            yield from out(pa.concat_tables(held), np.array([0]), np.array([True]))
 
     return run
 
 
+def _met(forest: DataFrame, depth: int) -> DataFrame:
+    """Rows (depth, tree, prefix, size, mass, bulk, rep, short) of the nodes at that depth that several texts have, one
+    of the short ones among them; mass counts copies, bulk bytes of sets."""
+    figures = "size long, mass long, bulk long, any boolean"
+    rows = forest.select("part", "tree", "label", "rep", "copies", "grams", "short")
+    nodes = saved(rows.mapInArrow(_nodes(depth), f"tree int, prefix binary, rep long, short boolean, {figures}, edge boolean, first boolean"), "nodes")
+    # A part has two edges, so these sums are few: two rows a part at most.
+    cut = nodes.filter("edge and first").groupBy(F.col("tree").alias("t"), F.col("prefix").alias("p"))
+    cut = F.broadcast(cut.agg(F.sum("size").alias("s"), F.sum("mass").alias("m"), F.sum("bulk").alias("b"), F.max("any").alias("a")).filter("s > 1 and a"))
+    crossing = nodes.filter("edge").join(cut, (F.col("tree") == F.col("t")) & (F.col("prefix") == F.col("p")))
+    crossing = crossing.select("tree", "prefix", "rep", "short", F.col("s").alias("size"), F.col("m").alias("mass"), F.col("b").alias("bulk"))
+    met = nodes.filter("not edge").select(*crossing.columns).unionByName(crossing)
+    return met.select(F.lit(depth).alias("depth"), "tree", "prefix", "size", "mass", (8 * F.col("bulk")).alias("bulk"), "rep", "short")
+
+
 def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
     """Runs of rows that are equal in the first n columns of a sorted stream."""
     held: list[pa.RecordBatch] = []
@@ -111,7 +201,7 @@ def _candidates(table: pa.Table, longest: int, least: float) -> tuple[np.ndarray
     level and in this tree, not ruled out."""
     depth, tree, a, b = (table[c][0].as_py() for c in ("depth", "tree", "a", "b"))
     short = table["short"].to_numpy()
-    s = np.frombuffer(b"".join(table["labels"].to_pylist()), "<u4").reshape(-1, TREES, DEEPEST)
+    s = np.frombuffer(b"".join(table["labels"].to_pylist()), ">u2").astype(np.uint16).reshape(-1, TREES, DEEPEST)
     block = table["block"].to_numpy()
     left = np.flatnonzero(block == a)
     right = left if a == b else np.flatnonzero(block == b)
@@ -202,54 +292,53 @@ def _verify(depth: int, least: float, threshold: float):
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = [shingle_set(t or "").astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], names=["id", "grams"])
-
-
-def _met(classes: DataFrame, depth: int, short: DataFrame | None) -> DataFrame:
-    """Rows (depth, tree, bucket, size, mass, rep, short) of the prefixes of that length that several texts have, one of
-    the short ones among them; mass counts copies."""
-    met = classes.select("rep", "labels").mapInArrow(_buckets(depth), "rep long, buckets array<long>")
-    flags = classes.select(F.col("rep").alias("r"), "copies")
-    if short is None:
-        flags = flags.withColumn("short", F.lit(True))
-    else:
-        flags = flags.join(short.select(F.col("rep").alias("s")), F.col("r") == F.col("s"), "left").select("r", "copies", F.col("s").isNotNull().alias("short"))
-    met = met.join(flags, F.col("rep") == F.col("r")).select("rep", "copies", "short", F.posexplode("buckets").alias("tree", "bucket"))
-    one = W.partitionBy("bucket", "tree")
-    met = met.withColumns({"size": F.count("*").over(one), "mass": F.sum("copies").over(one), "any": F.max("short").over(one)}).filter("size > 1 and any")
-    return met.select(F.lit(depth).alias("depth"), "tree", "bucket", "size", "mass", "rep", "short")
+        texts = batch.column(1).to_pylist()
+        for i, j in fold(texts, lambda t: len(t or "")):
+            grams = [shingle_set(t or "").astype("<u8").tobytes() for t in texts[i:j]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(grams, pa.binary())], names=["id", "grams"])
 
 
 def levels(classes: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """_met at that length, and at shorter ones for the texts whose neighbours need them."""
-    out = short = None
+    """_met at that depth, and at smaller ones for the texts whose neighbours need them."""
+    forest = tries(classes)
+    out, flagged = None, forest.withColumn("short", F.lit(True))
     while True:
-        met = saved(_met(classes, depth, short), "met")
+        met = saved(_met(flagged, depth), "met")
         out = met if out is None else out.unionByName(met)
         near = F.max("mass") / threshold**depth  # a neighbour at the threshold shares a prefix this often
         short = met.filter("short").groupBy("rep").agg((near * (1 - expected_recall(depth, threshold))).alias("loss")).filter(F.col("loss") > LOSS)
-        short = saved(short.select("rep"), "short")
-        if depth == 1 or short.isEmpty():
+        short = saved(short.select(F.col("rep").alias("s"), F.lit(True).alias("short")), "short")
+        n = short.count()
+        if depth == 1 or not n:
             return out
         depth -= 1
+        if n <= BROADCAST_KEYS:  # the rows stay where they are, sorted
+            flagged = forest.join(F.broadcast(short), F.col("rep") == F.col("s"), "left")
+        else:
+            flagged = forest.join(short, F.col("rep") == F.col("s"), "left").repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
+            flagged = saved(flagged.withColumn("part", F.spark_partition_id()), "tries")
+        flagged = flagged.withColumn("short", F.coalesce("short", F.lit(False)))
 
 
-def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = RECALL) -> DataFrame:
-    """Rows (key long, class_id long, n_links long), one for each input row: the least key of the row's connected
-    component, and the number of other rows whose sets have a similarity of the threshold or more."""
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def members(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = RECALL, sigma: float | None = SIGMA) -> DataFrame:
+    """Rows (key long, hash: text_hash of the text, component: a number of the row's connected component, null for a
+    text without words, n_links long), one for each input row. Key and hash identify a text."""
     depth = shortened(threshold, target)
-    least = threshold - 5 * (threshold * (1 - threshold) / (TREES * DEEPEST)) ** 0.5
-    docs = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"))
-    signed = saved(docs.mapInArrow(_sign, "key long, fp binary, labels binary"), "signed")
-    classes = signed.filter("fp is not null and key is not null").groupBy("fp").agg(F.min("key").alias("rep"), F.count("*").alias("copies"), F.first("labels").alias("labels"))
-    classes = saved(classes, "classes")
+    least = 0.0 if sigma is None else threshold - sigma * (threshold * (1 - threshold) / (TREES * DEEPEST)) ** 0.5
+    docs = df.select(F.col(key).cast("long").alias("key"), text_hash(F.col(text)).alias("hash"), F.col(text).alias("t"))
+    signed = saved(docs.mapInArrow(_sign, "key long, hash long, fp binary, labels binary, grams long"), "signed")
+    classes = signed.filter("fp is not null").groupBy("fp").agg(F.min(F.struct("key", "hash")).alias("one"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("grams").alias("grams"))
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
 
     met = levels(classes, depth, threshold)
-    blocks = F.ceil(F.col("size") / BLOCK)
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.least(F.ceil(F.col("bulk") / BLOCK_BYTES), F.col("size")))
     met = met.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("rep", "tree"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("depth", "tree", "bucket", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "short")
+    met = met.select("depth", "tree", F.xxhash64("prefix").alias("bucket"), F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "rep", "short")
     met = met.withColumn("group", F.xxhash64("depth", "tree", "bucket", "a", "b"))
     signs = classes.select(F.col("rep").alias("r"), "labels")
     one = "group long, depth int, tree int, bucket long, a int, b int, block int, rep long, short boolean, labels binary"
@@ -257,10 +346,11 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     dealt = lambda x: x.repartition("group").sortWithinPartitions("group", "depth", "tree", "bucket", "a", "b")
     needed = saved(dealt(met).mapInArrow(_needed(depth, least), one), "needed")
 
-    keys = saved(needed.select("rep").distinct(), "keys")
+    keys = needed.select("rep").distinct().join(classes.select(F.col("rep").alias("r"), "one", "copies"), F.col("rep") == F.col("r"))
+    keys = saved(keys.select("rep", F.col("one.key").alias("k"), F.col("one.hash").alias("h"), "copies"), "keys")
     few = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-    grams = docs.join(few, F.col("key") == F.col("rep"), "left_semi").mapInArrow(_grams, "id long, grams binary")
-    grams = grams.groupBy("id").agg(F.first("grams").alias("grams")).join(classes.select("rep", "copies"), F.col("id") == F.col("rep")).select("id", "grams", "copies")
+    grams = docs.join(few, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h"))).select("rep", "t").mapInArrow(_grams, "id long, grams binary")
+    grams = grams.groupBy("id").agg(F.first("grams").alias("grams")).join(keys.select("rep", "copies"), F.col("id") == F.col("rep")).select("id", "grams", "copies")
     whole = needed.join(grams, F.col("rep") == F.col("id")).drop("id")
     linked = saved(dealt(whole).mapInArrow(_verify(depth, least, threshold), "rep long, root long, links long"), "linked")
 
@@ -268,5 +358,27 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
     counts = linked.groupBy(F.col("rep").alias("r")).agg(F.sum("links").alias("links"))
     ranked = classes.select("fp", "rep", "copies").join(counts, F.col("rep") == F.col("r"), "left").join(parts, F.col("rep") == F.col("node"), "left")
     ranked = ranked.select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
-    out = signed.select("key", F.when(F.col("key").isNotNull(), F.col("fp")).alias("fp")).join(ranked, F.col("fp") == F.col("f"), "left")
-    return out.select(F.col("key").alias(key), F.coalesce("component", "key").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select("key", "hash", "fp").join(ranked, F.col("fp") == F.col("f"), "left")
+    return out.select("key", "hash", "component", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = RECALL, sigma: float | None = SIGMA) -> DataFrame:
+    """Rows (key long, class_id long, n_links long), one for each input row: the least key of the row's connected
+    component, and the number of other rows whose sets have a similarity of the threshold or more."""
+    rows = saved(members(df, key, text, threshold, target, sigma), "members")
+    least = rows.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("key").alias("class_id"))
+    out = rows.join(least, F.col("component") == F.col("c"), "left")
+    return out.select(F.col("key").alias(key), F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
+
+
+def firsts(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """One row of each class, with its columns: of the least key (nulls last), then of the least other columns. Rows
+    without words are all kept."""
+    rows = saved(members(df, key, text, **how), "members")
+    order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("hash").alias("h"))
+    chosen = rows.filter("component is not null").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.k").alias("k"), F.col("least.h").alias("h"))
+    worded = F.coalesce(F.col("row").getField(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")
+    packed = df.select(F.struct(*df.columns).alias("row"), F.col(key).cast("long").alias("key"), text_hash(F.col(text)).alias("hash"))
+    found = packed.filter(worded).join(chosen, F.col("key").eqNullSafe(F.col("k")) & (F.col("hash") == F.col("h")), "left_semi")
+    first = F.row_number().over(W.partitionBy("key", "hash").orderBy("row"))  # rows that repeat a key and a text
+    return found.withColumn("n", first).filter("n = 1").select("row.*").unionByName(packed.filter(~worded).select("row.*"))

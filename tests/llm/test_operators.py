@@ -226,7 +226,7 @@ def test_join_against_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(forest, "BLOCK", 16)  # so that groups are cut
     rows = near_rows()
     got = sorted((r.doc_id, r.class_id, r.n_links) for r in forest.join(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id is not None)
-    sets = [(k, set(shingle_set(t or "").tolist())) for k, t in rows if k is not None]
+    sets = [(k if k is not None else math.inf, set(shingle_set(t or "").tolist())) for k, t in rows]
     linked = [[b for b in range(len(sets)) if a != b and sets[a][1] and len(sets[a][1] & sets[b][1]) >= 0.8 * len(sets[a][1] | sets[b][1])] for a in range(len(sets))]
     root = list(range(len(sets)))
     for _ in sets:
@@ -234,7 +234,7 @@ def test_join_against_all_pairs(spark, monkeypatch):
     least = {}
     for a, (k, _) in enumerate(sets):
         least[root[a]] = min(k, least.get(root[a], k))
-    assert got == sorted((k, least[root[a]], len(linked[a])) for a, (k, _) in enumerate(sets))
+    assert got == sorted((k, least[root[a]], len(linked[a])) for a, (k, _) in enumerate(sets) if k < math.inf)
     assert forest.join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -256,6 +256,49 @@ def test_join_finds_all_links_of_a_large_group(spark):
     assert got == {k: (0, n) for k, n in enumerate(links.tolist())}
 
 
+def test_texts_of_one_key_are_told_apart(spark):
+    base = [f"w{i}" for i in range(60)]
+    a, b = " ".join(base), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b), (None, "only null keys " * 9), (None, "only null keys " * 9), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"component": F.lit("x"), "key": F.lit(0), "hash": F.lit(1), "one": F.lit(2)})
+    got = sorted(map(str, ((r.doc_id, r.class_id, r.n_links) for r in forest.join(df).collect())))
+    assert got == sorted(map(str, [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (None, None, 1), (None, None, 1), (None, None, 0)]))
+    kept = forest.firsts(df)
+    assert kept.columns == df.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(1, a), (1, b), (None, "only null keys " * 9), (None, None)]))
+    repeated = spark.createDataFrame([(0, a), (1, a), (1, b), (1, b)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in forest.firsts(repeated).collect()) == [(0, a), (1, b)]
+
+
+def test_nodes_meet_over_partitions(spark):
+    """The nodes of a trie cut into many parts have the sizes of plain prefix counts."""
+    rng = np.random.default_rng(4)
+    rows = [(i, bytes(rng.integers(0, 2, 2 * forest.TREES * forest.DEEPEST, np.uint8)), int(rng.integers(1, 4)), int(rng.integers(1, 9))) for i in range(300)]
+    classes = spark.createDataFrame([(i, bytearray(x), c, g) for i, x, c, g in rows], "rep long, labels binary, copies long, grams long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        trie = forest.tries(classes).withColumn("short", F.col("rep") < 9)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for depth in (1, 3):
+        got = sorted((r.tree, bytes(r.prefix), r.rep, r.size, r.mass, r.bulk, r.short) for r in forest._met(trie, depth).select("tree", "prefix", "rep", F.col("size").alias("size"), "mass", "bulk", "short").collect())
+        width, want = 2 * forest.DEEPEST, []
+        for t in range(forest.TREES):
+            nodes = {}
+            for row in rows:
+                nodes.setdefault(row[1][width * t :][: 2 * depth], []).append(row)
+            for p, some in nodes.items():
+                if len(some) > 1 and any(r[0] < 9 for r in some):
+                    want += [(t, p, r[0], len(some), sum(x[2] for x in some), 8 * sum(x[3] for x in some), r[0] < 9) for r in some]
+        assert got == sorted(want)
+
+
+def test_no_sigma_compares_all_candidates(spark):
+    rows = near_rows()[30:110]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(forest.join(df, sigma=None).collect()) == sorted(forest.join(df).collect())
+
+
 def test_prefixes_shorten_until_the_recall():
     depth = forest.shortened(0.8, 0.99)
     assert forest.expected_recall(depth) >= 0.99 > forest.expected_recall(depth + 1)
