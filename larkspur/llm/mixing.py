@@ -84,13 +84,13 @@ def bin_of(at: Column, tie: Column, knots: list[float], bins: int) -> Column:
     is a knot has bins of its own, by ties."""
     if not knots:
         return F.lit(0).cast("long")
-    each = max(PARTS, -(-bins // len(knots)))
+    each = max(1, -(-bins // len(knots)))
     array = F.array(*map(F.lit, knots))
     below = F.size(F.filter(array, lambda x: x < at))
     low, high = F.get(array, below - 1), F.get(array, below)
     within = F.least(F.floor((at - low) / (high - low) * each), F.lit(each - 1))
     part = F.when(at == high, F.shiftright(tie, 56) + 128).otherwise(F.coalesce(within, F.lit(0)))
-    return ((2 * below + F.coalesce(at == high, F.lit(False)).cast("int")).cast("long") * each + part).cast("long")
+    return ((2 * below + F.coalesce(at == high, F.lit(False)).cast("int")).cast("long") * max(PARTS, each) + part).cast("long")
 
 
 def cutoffs(rows: DataFrame, bins: int) -> DataFrame:

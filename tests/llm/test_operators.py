@@ -484,7 +484,7 @@ def test_bins_rise_with_keys(spark):
     rng = np.random.default_rng(5)
     rows = [(float(x), int(t)) for x, t in zip(np.round(rng.exponential(1, 500), 1), rng.integers(-(1 << 63), 1 << 63, 500, np.int64))]
     out = spark.createDataFrame(rows, "at double, tie long").select("at", "tie", mixing.bin_of(F.col("at"), F.col("tie"), [0.1, 0.5, 2.0], 64).alias("bin")).orderBy("at", "tie").collect()
-    assert [r.bin for r in out] == sorted(r.bin for r in out) and len({r.bin for r in out}) > 60
+    assert [r.bin for r in out] == sorted(r.bin for r in out) and len({r.bin for r in out}) > 20
 
 
 def test_targets_fill_up(spark):
