@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import saved
+
 # The stop words of the index. They decide which terms exist.
 STOPWORDS = (
     "a an and are as at be by for from has he in is it its of on or that the to was were will with you your this but "
@@ -14,6 +18,9 @@ STOPWORDS = (
     "both could during few more most other over same should such through too under very where"
 ).split()
 
+#: Broadcast the words that have other stems only if there are no more.
+BROADCAST_STEMS = 500_000
+
 #: A run of letters and decimal digits.
 SEPARATOR = r"[^\p{L}\p{Nd}]+"
 
@@ -34,37 +41,62 @@ def letter_classes(word: Column) -> Column:
     return c
 
 
-def stemmed(df: DataFrame, word: str, stem: str) -> DataFrame:
-    """Adds the stem of a word: plural endings, then -eed, -ed and -ing with repair of what remains."""
-    w = F.col(word)
+def let(value: Column, function: Callable[[Column], Column]) -> Column:
+    """function of a value that is computed once: a lambda's argument isn't inlined, so the expression stays small."""
+    return F.transform(F.array(value), function)[0]
+
+
+def stem(word: Column) -> Column:
+    """The stem of a word: plural endings, then -eed, -ed and -ing with repair of what remains."""
     cut = lambda c, n: F.substring(c, F.lit(1), F.length(c) - n)
-    singular = F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("ss"), w).when(w.endswith("s"), cut(w, 1)).otherwise(w)
-    out = df.withColumn("_a", singular)
-    a = F.col("_a")
-    ed = (F.when(a.endswith("eed"), F.lit(None)).when(a.endswith("ed"), cut(a, 2)).when(a.endswith("ing"), cut(a, 3)))
-    out = out.withColumn("_b", F.when(ed.rlike("[aeiou]|.y"), ed))
-    b = F.col("_b")
-    out = out.withColumn("_c", F.when(b.isNotNull(), letter_classes(b)))
-    c = F.col("_c")
-    last = F.right(b, F.lit(1))
-    double = (last == F.substring(b, -2, 1)) & last.rlike("[a-z0-9]") & c.endswith("C") & (F.length(b) >= 2)
-    short = c.rlike("^C*V+C+V*$") & c.endswith("CVC") & ~last.isin("w", "x", "y")
-    repaired = F.when(b.endswith("at") | b.endswith("bl") | b.endswith("iz"), F.concat(b, F.lit("e")))
-    repaired = repaired.when(double, F.when(last.isin("l", "s", "z"), F.when(short, F.concat(b, F.lit("e"))).otherwise(b)).otherwise(cut(b, 1))).when(short, F.concat(b, F.lit("e"))).otherwise(b)
-    eed = F.when(letter_classes(cut(a, 3)).contains("VC"), cut(a, 1)).otherwise(a)
-    whole = F.when(F.octet_length(w) <= 2, w).when(a.endswith("eed"), eed).when(b.isNotNull(), repaired).otherwise(a)
-    return out.withColumn(stem, whole).drop("_a", "_b", "_c")
+
+    def repaired(b: Column, c: Column) -> Column:
+        last = F.right(b, F.lit(1))
+        double = (last == F.substring(b, -2, 1)) & last.rlike("[a-z0-9]") & c.endswith("C") & (F.length(b) >= 2)
+        short = c.rlike("^C*V+C+V*$") & c.endswith("CVC") & ~last.isin("w", "x", "y")
+        out = F.when(b.endswith("at") | b.endswith("bl") | b.endswith("iz"), F.concat(b, F.lit("e")))
+        return out.when(double & ~last.isin("l", "s", "z"), cut(b, 1)).when(short, F.concat(b, F.lit("e"))).otherwise(b)
+
+    def verb(a: Column) -> Column:
+        eed = F.when(letter_classes(cut(a, 3)).contains("VC"), cut(a, 1)).otherwise(a)
+        bare = F.when(a.endswith("ed"), cut(a, 2)).when(a.endswith("ing"), cut(a, 3))
+        whole = let(bare, lambda b: F.when(b.rlike("[aeiou]|.y"), let(letter_classes(b), lambda c: repaired(b, c))).otherwise(a))
+        return F.when(a.endswith("eed"), eed).when(a.endswith("ed") | a.endswith("ing"), whole).otherwise(a)
+
+    def singular(w: Column) -> Column:
+        return F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("ss"), w).when(w.endswith("s"), cut(w, 1)).otherwise(w)
+
+    return let(word, lambda w: F.when(F.octet_length(w) <= 2, w).otherwise(let(singular(w), verb)))
+
+
+def stemmed(df: DataFrame, word: str, name: str) -> DataFrame:
+    """Adds the stem of a word."""
+    return df.withColumn(name, stem(F.col(word)))
+
+
+def word_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (key, word, n) of the unstemmed words."""
+    return df.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, term, n). Equal words of a document are counted before they are stemmed."""
-    rows = df.select(key, F.explode(words(F.col(text))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return stemmed(rows, "word", "term").groupBy(key, "term").agg(F.sum("n").alias("n"))
+    """Rows (key, term, n). Equal words of a document are counted before they are stemmed. For small tables and plans
+    that mustn't write: each document's words are stemmed where they are."""
+    return stemmed(word_counts(df, key, text), "word", "term").groupBy(key, "term").agg(F.sum("n").alias("n"))
+
+
+def corpus_term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """term_counts of a corpus: the vocabulary is stemmed once and joined to the counts, which are a table meanwhile."""
+    rows = saved(word_counts(df, key, text), "words")
+    stems = saved(stemmed(rows.select("word").distinct(), "word", "term").filter("word <> term").withColumnRenamed("word", "w"), "stems")
+    few = F.broadcast(stems) if stems.count() <= BROADCAST_STEMS else stems
+    joined = rows.join(few, F.col("word") == F.col("w"), "left").select(key, F.coalesce("term", "word").alias("term"), "n")
+    return joined.groupBy(key, "term").agg(F.sum("n").alias("n"))
 
 
-def term_frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows (key, term, tf): a term's share of its document's terms. One shuffle by key carries both sums."""
-    counts = term_counts(df, key, text)
+def term_frequencies(df: DataFrame, key: str, text: str, corpus: bool = False) -> DataFrame:
+    """Rows (key, term, tf): a term's share of its document's terms."""
+    counts = (corpus_term_counts if corpus else term_counts)(df, key, text)
     return counts.select(key, "term", (F.col("n") / F.sum("n").over(W.partitionBy(key))).alias("tf"))
 
 

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 from larkspur.operators.lexical import top
 
 LINKS, BEAM_BUILD, BEAM = 16, 200, 64
-SHARD = 20_000
+SHARD, QUERY_BLOCK = 20_000, 2000
 GRAPH = "shard long, dim int, ids array<long>, vectors array<float>, links binary"
 
 
+GONE = -(1 << 63)
+
+
 class Graph:
     """Layered proximity graph over unit vectors."""
 
@@ -32,7 +35,10 @@ class Graph:
         self.entry = -1
 
     def fill(self, ids: list[int], vectors: np.ndarray) -> Graph:
-        """Adds nodes; a vector is brought to unit length."""
+        """Adds nodes; a vector is brought to unit length. An id that is there already is replaced: its old node stays
+        as a stop on the way, but is found no more."""
+        again = set(map(int, ids)).intersection(self.ids)
+        self.ids = [GONE if x in again else x for x in self.ids]
         norms = np.linalg.norm(vectors, axis=1, keepdims=True)
         self.vectors = np.vstack([self.vectors, vectors / np.where(norms > 0, norms, 1)]).astype(np.float32)
         for x in ids:
@@ -92,7 +98,8 @@ class Graph:
         q, near = np.asarray(q, np.float32) / norm, [self.entry]
         for layer in range(len(self.levels[self.entry]) - 1, 0, -1):
             near = [self._walk(q, near, 1, layer)[0][1]]
-        return [(self.ids[n], d) for d, n in self._walk(q, near, max(beam, k), 0)[:k]]
+        gone = self.ids.count(GONE)
+        return [(self.ids[n], d) for d, n in self._walk(q, near, max(beam, k + gone), 0) if self.ids[n] != GONE][:k]
 
     def dump(self) -> bytes:
         """Links as 32-bit integers: entry, then for each node its number of layers and each layer's neighbours."""
@@ -134,20 +141,45 @@ def build(vectors: DataFrame, shards: int | None = None) -> DataFrame:
 
 
 def search(index: DataFrame, queries: DataFrame, limit: int = 5, beam: int = BEAM) -> DataFrame:
-    """Rows (query_id, drawer_id, score: the exact cosine, rank) for queries (query_id, query_vector), of which there
-    may be some thousands; they go to every shard."""
+    """Rows (query_id, drawer_id, score: the cosine with the unit vector that the index holds, rank) for queries
+    (query_id, query_vector). Blocks of QUERY_BLOCK queries go to every shard; each block is a scan of the index."""
     limit = limit if limit > 0 else 5
-    block = queries.select(F.collect_list(F.struct("query_id", "query_vector")).alias("block"))
+    asked = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector")
     kind = queries.schema["query_id"].dataType.simpleString()
-
-    def run(batches):
-        for part in batches:
-            for row in part.itertuples():
-                g = Graph.load(row.dim, list(row.ids), np.array(row.vectors).reshape(-1, row.dim), row.links)
-                found = [(q["query_id"], i, 1 - d) for q in row.block for i, d in g.search(np.array(q["query_vector"]), limit, beam)]
-                yield pd.DataFrame(found, columns=["query_id", "drawer_id", "score"])
-
-    return top(index.crossJoin(F.broadcast(block)).mapInPandas(run, f"query_id {kind}, drawer_id long, score double"), limit)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+
+    def scan(shared):
+        def run(batches):
+            for part in batches:
+                for row in part.itertuples():
+                    g = Graph.load(row.dim, list(row.ids), np.array(row.vectors).reshape(-1, row.dim), row.links)
+                    place = {x: i for i, x in enumerate(g.ids)}
+                    found = []
+                    for name, q in zip(*shared.value):
+                        near = [i for i, _ in g.search(np.array(q), limit, beam)]
+                        if near:
+                            scores = g.vectors[[place[i] for i in near]].astype(float) @ (np.array(q, float) / np.linalg.norm(q))
+                            found += zip([name] * len(near), near, scores.tolist())
+                    yield pd.DataFrame(found, columns=["query_id", "drawer_id", "score"])
+
+        return run
+
+    out = None
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
+        shared = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in block], [r.query_vector for r in block]))
+        part = index.mapInPandas(scan(shared), f"query_id {kind}, drawer_id long, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, limit)
+
+
+def listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Rows (name, bytes) of saved indexes by name: the links' and vectors' sizes."""
+    out = spark.createDataFrame([], "name string, bytes long")
+    for name, path in sorted(paths.items()):
+        sizes = spark.read.schema(GRAPH).parquet(path).agg(F.coalesce(F.sum(F.octet_length("links") + 4 * F.size("vectors")), F.lit(0)).cast("long").alias("bytes"))
+        out = out.unionByName(sizes.select(F.lit(name).alias("name"), "bytes"))
+    return out.orderBy("name")
 
 
 def size(index: DataFrame) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.operators.vector import cosine, mean_vectors
 
 USER = "single-session-user"
+BROADCAST_TYPES = 1000
 
 # The patterns in the order of their trial, and the anchors' phrases. They decide the labels.
 PATTERNS = (
@@ -66,6 +69,13 @@ def question_type(question: Column) -> Column:
     return out.otherwise(USER)
 
 
+def prepared(spark: SparkSession, embed: Callable[[list[str]], list[list[float]]]) -> DataFrame:
+    """anchor_means of the fixed phrases, embedded by a model."""
+    phrases = [(t, p) for t, some in ANCHORS.items() for p in some]
+    rows = [(t, [float(x) for x in v]) for (t, _), v in zip(phrases, embed([p for _, p in phrases]))]
+    return anchor_means(spark.createDataFrame(rows, "type string, vector array<float>"))
+
+
 def anchor_means(anchors: DataFrame) -> DataFrame:
     """Rows (type, vector): the mean of each type's anchor vectors (type, vector)."""
     return mean_vectors(anchors, "type")
@@ -73,8 +83,11 @@ def anchor_means(anchors: DataFrame) -> DataFrame:
 
 def nearest_anchor(queries: DataFrame, means: DataFrame) -> DataFrame:
     """Rows (query_id, type): the type whose mean is nearest by cosine, of those of the query's length; ties by type;
-    the user's type for an empty vector and without means. means has one row a type and is broadcast as such."""
-    pairs = queries.join(F.broadcast(means.limit(1000).withColumnRenamed("vector", "mean")), F.size("query_vector") == F.size("mean"), "left")
+    the user's type for an empty vector and without means. means has one row a type and is broadcast if there are at
+    most BROADCAST_TYPES."""
+    means = means.withColumnRenamed("vector", "mean")
+    few = F.broadcast(means) if means.limit(BROADCAST_TYPES + 1).count() <= BROADCAST_TYPES else means
+    pairs = queries.join(few, F.size("query_vector") == F.size("mean"), "left")
     similarity = F.when(F.col("mean").isNotNull() & (F.size("query_vector") > 0), cosine(F.col("query_vector"), F.col("mean")))
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round("s", 12)), "type"))
     out = pairs.withColumn("s", similarity).withColumn("_n", best).filter("_n = 1")

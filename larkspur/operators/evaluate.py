@@ -22,7 +22,13 @@ def contains_answer(content: Column, answer: Column) -> Column:
 
 
 def normal_answer(answer: Column) -> Column:
-    return F.lower(F.trim(answer))
+    """An answer (variant) as text: a string trimmed and in lower case, a list's values joined by spaces and treated so,
+    any other value's text."""
+    kind = F.schema_of_variant(answer)
+    text = F.when(kind == "STRING", F.variant_get(answer, "$", "string")).when(
+        kind.startswith("ARRAY"), F.array_join(F.transform(F.try_variant_get(answer, "$", "array<variant>"), lambda x: F.variant_get(x, "$", "string")), " ")
+    ).otherwise(answer.cast("string"))
+    return F.lower(F.trim(text))
 
 
 def first_hits(results: DataFrame, hit: Column) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,7 +37,7 @@ def hybrid(index: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int
     a = lexical.bm25(index, queries, 4 * limit, filtered)
     b = vector.search(vectors, queries, 4 * limit, filtered)
     if isinstance(weight, Column):
-        weights = F.broadcast(queries.select("query_id", weight.alias("weight")))
+        weights = queries.select("query_id", weight.alias("weight"))
         a, b = a.join(weights, "query_id"), b.join(weights, "query_id")
         return fused(a, b, F.col("weight"), limit).drop("weight")
     return fused(a, b, weight, limit)
@@ -84,6 +86,57 @@ def merged_views(scored: DataFrame, weights: dict[str, float], mode: str, limit:
     return top(sums.filter("score > 0") if mode == "max" else sums, limit, "source_file")
 
 
+def session_search(views: DataFrame, queries: DataFrame, weights: dict[str, float], mode: str, limit: int) -> DataFrame:
+    """merged_views of all views (source_file, hall, vector) for queries (query_id, query_vector), without their pairs:
+    a task reads the views of its sessions in order, keeps one figure a query and session, and of these the best.
+    Views without a source are passed over. The queries go to the tasks in blocks, one scan of the views each."""
+    spark = views.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector")
+    blocks = max(1, -(-asked.count() // vector.QUERY_BLOCK))
+    table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
+    rows = views.filter("vector is not null and source_file is not null").select("source_file", F.coalesce(F.element_at(table, F.col("hall")), F.lit(0.0)).alias("weight"), "vector")
+    rows = rows.repartition("source_file").sortWithinPartitions("source_file")
+    joint = np.maximum if mode == "max" else np.add
+
+    def scan(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, block = shared.value
+            best = vector.Best(names, limit)
+
+            def add(sessions: list[str], scores: np.ndarray) -> None:
+                if len(sessions) and names:
+                    best.add(np.array(sessions), np.where(scores > 0, scores, np.nan) if mode == "max" else scores)
+
+            open_session, figures = None, None
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                sessions = batch.column(0).to_pylist()
+                scores = vector.cosines(block, vector.arrays(batch.column(2))) * batch.column(1).to_numpy()
+                starts = [0, *(i for i in range(1, len(sessions)) if sessions[i] != sessions[i - 1])]
+                merged, found = joint.reduceat(scores, starts, axis=1), [sessions[i] for i in starts]
+                if open_session == found[0]:
+                    merged[:, 0] = joint(merged[:, 0], figures)
+                elif open_session is not None:
+                    add([open_session], figures[:, None])
+                add(found[:-1], merged[:, :-1])
+                open_session, figures = found[-1], merged[:, -1]
+            if open_session is not None:
+                add([open_session], figures[:, None])
+            yield from best.rows(pa.string(), "source_file")
+
+        return run
+
+    out = None
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
+        shared = spark.sparkContext.broadcast(([r.query_id for r in block], [r.query_vector for r in block]))
+        part = rows.mapInArrow(scan(shared), f"query_id {kind}, source_file string, score double")
+        out = part if out is None else out.unionByName(part)
+    return top(out, limit, "source_file")
+
+
 def blended(sessions: DataFrame, lexical_list: DataFrame, weight: float, limit: int) -> DataFrame:
     """(1 - weight) times the sessions' scores plus weight / (60 + rank of the session's first drawer in the lexical
     list (query_id, source_file, rank)); sessions of either list. Without weight the list stays, and so does an empty
@@ -106,7 +159,7 @@ def reranked(results: DataFrame, scorer: Callable[[str, list[str]], list[float]]
         part = part.sort_values("rank")
         if len(part) > 1 and part["_gate"].iloc[0]:
             try:
-                part = part.assign(score=scorer(part["query"].iloc[0], [x[:1500] for x in part["content"]]))
+                part = part.assign(score=scorer(part["query"].iloc[0], [x.encode("utf-8", "replace")[:1500].decode("utf-8", "ignore") for x in part["content"]]))
                 part = part.sort_values(["score", "drawer_id"], ascending=[False, True])
             except Exception:  # noqa: BLE001  a failing model leaves the first stage's order
                 pass

@@ -7,21 +7,45 @@ filters. A document that shares only terms of idf 0 is found all the same, with
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import term_counts, term_frequencies
+from larkspur.functions.text import corpus_term_counts, first_bytes, term_counts, term_frequencies
+from larkspur.sources.shared import saved
+
+#: Terms of queries that are broadcast, and terms that a scan is filtered by, at most.
+BROADCAST_TERMS, LISTED_TERMS = 200_000, 500
+
+
+@dataclass
+class Index:
+    """A stored index: rows (term, drawer_id, tf, df) sorted by term, and the number of documents in it."""
+
+    postings: DataFrame
+    total: int
+
+
+def postings(docs: DataFrame, key: str = "drawer_id", text: str = "content", corpus: bool = False) -> DataFrame:
+    """Rows (term, drawer_id, tf): the index. corpus: stem the vocabulary once, which writes tables."""
+    return term_frequencies(docs, key, text, corpus).select("term", F.col(key).alias("drawer_id"), "tf")
 
 
-def postings(docs: DataFrame, key: str = "drawer_id", text: str = "content") -> DataFrame:
-    """Rows (term, drawer_id, tf): the index. Write it sorted by term, so that queries skip most of it."""
-    return term_frequencies(docs, key, text).select("term", F.col(key).alias("drawer_id"), "tf")
+def stored(index: DataFrame) -> Index:
+    """Writes postings with their terms' df, ranged and sorted by term, so that a query skips the row groups of other
+    terms, and counts the documents once."""
+    rows = saved(index, "postings")
+    counts = rows.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
+    rows = rows.join(counts, F.col("term") == F.col("t")).select("term", "drawer_id", "tf", "df")
+    rows = saved(rows.repartitionByRange("term").sortWithinPartitions("term", "drawer_id"), "index")
+    return Index(rows, rows.select("drawer_id").distinct().count())
 
 
 def statistics(docs: DataFrame, key: str = "drawer_id", text: str = "content") -> DataFrame:
     """One row (total_docs, avg_doc_len) over the documents that have terms."""
-    sizes = term_counts(docs, key, text).groupBy(key).agg(F.sum("n").alias("n"))
+    sizes = corpus_term_counts(docs, key, text).groupBy(key).agg(F.sum("n").alias("n"))
     return sizes.agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_doc_len"))
 
 
@@ -30,24 +54,34 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
     return term_counts(queries, key, text).withColumnRenamed("n", "qtf")
 
 
-def bm25(index: DataFrame, queries: DataFrame, limit: int = 5, filtered: DataFrame | None = None, total_docs: int | None = None) -> DataFrame:
+def bm25(index: DataFrame | Index, queries: DataFrame, limit: int = 5, filtered: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, drawer_id, score, rank from 1) of the best documents of each query, ties by id.
 
-    The queries' terms go to the postings first; df is counted on what matches. filtered: a table of drawer_id that
-    narrows what is found, but not N and df. N is counted from the index unless given.
+    The queries' terms go to the postings: as a filter of the scan and by broadcast if there are few, else by a join.
+    Of an index that isn't stored, df and N are counted here. filtered: a table of drawer_id that narrows what is
+    found, but not N and df.
     """
     limit = limit if limit > 0 else 5
     asked = query_terms(queries).withColumnRenamed("term", "t")
-    matching = index.join(F.broadcast(asked.select("t").distinct()) if total_docs else asked.select("t").distinct(), F.col("term") == F.col("t"), "left_semi")
-    df = matching.groupBy(F.col("term").alias("d")).agg(F.count("*").alias("df"))
-    n = F.lit(total_docs) if total_docs is not None else F.col("total")
-    if total_docs is None:
-        df = df.crossJoin(index.agg(F.countDistinct("drawer_id").alias("total")))
-    idf = df.select("d", F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0)).alias("idf"))
-    weighed = asked.join(idf, F.col("t") == F.col("d")).select("query_id", "t", (F.col("qtf") * F.col("idf")).alias("w"))
+    if isinstance(index, Index):
+        asked = saved(asked, "asked")
+        n = asked.count()
+        rows = index.postings
+        if n <= BROADCAST_TERMS:
+            terms = asked.select("t").distinct().limit(LISTED_TERMS + 1).collect()
+            if len(terms) <= LISTED_TERMS:
+                rows = rows.filter(F.col("term").isin([r.t for r in terms]))
+            asked = F.broadcast(asked)
+        total = F.lit(index.total)
+    else:
+        counts = index.join(asked.select("t").distinct(), F.col("term") == F.col("t"), "left_semi").groupBy(F.col("term").alias("d")).agg(F.count("*").alias("df"))
+        counts = counts.crossJoin(index.agg(F.countDistinct("drawer_id").alias("total")))  # one row
+        rows, total = index.join(counts, F.col("term") == F.col("d")), F.col("total")
     if filtered is not None:
-        matching = matching.join(filtered.select("drawer_id"), "drawer_id", "left_semi")
-    scores = matching.join(weighed, F.col("term") == F.col("t")).groupBy("query_id", "drawer_id").agg(F.sum(F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("score"))
+        rows = rows.join(filtered.select("drawer_id"), "drawer_id", "left_semi")
+    idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
+    weighed = rows.select("term", "drawer_id", (idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("w"))
+    scores = weighed.join(asked, F.col("term") == F.col("t")).groupBy("query_id", "drawer_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
     return top(scores, limit)
 
 
@@ -78,6 +112,6 @@ def hydrated(ranked: DataFrame, stored: DataFrame) -> DataFrame:
 
 def rendered(results: DataFrame) -> DataFrame:
     """Result lines: rank, place, score, file name and a snippet of 200 bytes."""
-    snippet = F.when(F.octet_length("content") > 200, F.concat(F.substring("content", 1, 200), F.lit("..."))).otherwise(F.col("content"))
+    snippet = F.when(F.octet_length("content") > 200, F.concat(first_bytes(F.col("content"), 200), F.lit("..."))).otherwise(F.col("content"))
     line = F.format_string("[%d] %s / %s  (score: %.3f)\n    Source: %s\n    %s", F.col("rank"), F.coalesce("wing", F.lit("")), F.coalesce("room", F.lit("")), F.col("score"), F.regexp_extract("source_file", "[^/]*$", 0), F.translate(snippet, "\n", " "))
     return results.select("query_id", "rank", line.alias("line"))

@@ -64,6 +64,11 @@ def list_drawers(stored: DataFrame, wing: str | None = None, room: str | None =
     return out.orderBy(F.desc("drawer_id"))
 
 
+def got(stored: DataFrame, ids: DataFrame) -> DataFrame:
+    """Drawers by id: a point lookup for each row of ids (drawer_id); unknown ids give none."""
+    return stored.join(ids.select("drawer_id").distinct(), "drawer_id", "left_semi")
+
+
 def status(stored: DataFrame, triples: DataFrame | None = None, entities: DataFrame | None = None) -> DataFrame:
     """One row of counts: wings, rooms, drawers, entities, triples."""
     out = stored.agg(F.countDistinct("wing").alias("wings"), F.countDistinct("wing", "room").alias("rooms"), F.count("*").alias("drawers"))

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.operators.lexical import top
+from larkspur.sources.shared import saved
 
 #: A query table goes to all tasks only up to so many rows; more are dealt in blocks of that many.
 QUERY_BLOCK = 2000
@@ -27,45 +31,95 @@ def cosine(a: Column, b: Column) -> Column:
 
 def search(vectors: DataFrame, queries: DataFrame, limit: int = 5, filtered: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, drawer_id, score, rank) of the vectors (drawer_id, vector) nearest to queries (query_id,
-    query_vector). Each task keeps the best of its own rows for every query of a block; contents aren't read."""
+    query_vector). Each task keeps the best of its own rows for every query; contents aren't read.
+
+    Up to QUERY_BLOCK queries go to the tasks once, as a matrix. Beyond that the vectors are packed to blocks, and each
+    block meets each block of queries.
+    """
     limit = limit if limit > 0 else 5
-    rows = vectors.filter("vector is not null").select("drawer_id", "vector")
+    spark = vectors.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
+    schema = f"query_id {kind}, drawer_id long, score double"
+    rows = vectors.filter("vector is not null").select(F.col("drawer_id").cast("long"), "vector")
     if filtered is not None:
         rows = rows.join(filtered.select("drawer_id"), "drawer_id", "left_semi")
     asked = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector")
-    n = asked.count()
-    if n <= QUERY_BLOCK:
-        pairs = rows.crossJoin(F.broadcast(asked.select(F.collect_list(F.struct("query_id", "query_vector")).alias("block"))))
-    else:
-        blocks = -(-n // QUERY_BLOCK)
-        packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("block"))
-        pairs = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "b")
-    pairs = pairs.select("drawer_id", "vector", "block")
-
-    def best(batches):
-        for part in batches:
-            if not len(part):
-                continue
-            for _, same in part.groupby(part["block"].map(lambda b: b[0]["query_id"])):
-                block = same["block"].iloc[0]
-                scores = cosines([q["query_vector"] for q in block], list(same["vector"]))
-                ids = same["drawer_id"].to_numpy()
-                for q, row in zip(block, scores):
-                    order = np.lexsort((ids, -np.round(row, 12)))[:limit]
-                    yield pd.DataFrame({"query_id": q["query_id"], "drawer_id": ids[order], "score": row[order]})
-
-    kind = queries.schema["query_id"].dataType.simpleString()
-    return top(pairs.mapInPandas(best, f"query_id {kind}, drawer_id long, score double"), limit)
-
-
-def cosines(queries: list, vectors: list) -> np.ndarray:
+    few = asked.limit(QUERY_BLOCK + 1).collect()
+    if len(few) <= QUERY_BLOCK:
+        shared = spark.sparkContext.broadcast(([r.query_id for r in few], [r.query_vector for r in few]))
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, block = shared.value
+            best = Best(names, limit)
+            for batch in batches:
+                if batch.num_rows and names:
+                    best.add(batch.column(0).to_numpy(), cosines(block, arrays(batch.column(1))))
+            yield from best.rows(pa.from_numpy_dtype(np.int64), "drawer_id")
+
+        return top(rows.mapInArrow(scan, schema), limit)
+    blocks = -(-asked.count() // QUERY_BLOCK)
+    packed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("query_id", "query_vector")).alias("asked"))
+    number = F.pmod(F.xxhash64("drawer_id"), F.lit(max(1, -(-rows.count() // QUERY_BLOCK))))
+    held = saved(rows.groupBy(number.alias("number")).agg(F.collect_list(F.struct("drawer_id", "vector")).alias("held")), "vectors")
+    pairs = held.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))).join(packed, "b").select("held", "asked")
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, asked in zip(*(batch.column(c) for c in (0, 1))):
+                held, asked = held.as_py(), asked.as_py()
+                best = Best([q["query_id"] for q in asked], limit)
+                best.add(np.array([r["drawer_id"] for r in held], np.int64), cosines([q["query_vector"] for q in asked], [r["vector"] for r in held]))
+                yield from best.rows(pa.int64(), "drawer_id")
+
+    return top(pairs.mapInArrow(both, schema), limit)
+
+
+def arrays(column: pa.Array) -> list | np.ndarray:
+    """A column of lists as a matrix if they are of one length and hold no null, else as a list."""
+    sizes = pc.list_value_length(column).to_numpy()
+    flat = column.flatten()
+    if len(sizes) and (sizes == sizes[0]).all() and sizes[0] and not flat.null_count:
+        return flat.to_numpy().astype(float).reshape(len(sizes), -1)
+    return column.to_pylist()
+
+
+class Best:
+    """The best rows of each of some queries, ties to the smaller name; scores are compared at 12 places."""
+
+    def __init__(self, queries: list, limit: int):
+        self.queries, self.limit = queries, limit
+        self.names: list[np.ndarray | None] = [None] * len(queries)
+        self.scores = [np.empty(0)] * len(queries)
+
+    def add(self, names: np.ndarray, scores: np.ndarray) -> None:
+        """scores: queries x names; a score of nan counts as none."""
+        near = np.round(scores, 12)
+        for q in range(len(self.queries)):
+            least = self.scores[q][-1] if len(self.scores[q]) == self.limit else -np.inf
+            some = np.flatnonzero(near[q] >= np.round(least, 12))
+            if len(some) > 4 * self.limit:
+                bound = np.partition(near[q][some], len(some) - self.limit)[len(some) - self.limit]
+                some = some[near[q][some] >= bound]
+            if len(some):
+                both = np.concatenate([self.scores[q], scores[q][some]])
+                all_names = names[some] if self.names[q] is None else np.concatenate([self.names[q], names[some]])
+                order = np.lexsort((all_names, -np.round(both, 12)))[: self.limit]
+                self.scores[q], self.names[q] = both[order], all_names[order]
+
+    def rows(self, kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
+        if sum(map(len, self.scores)):
+            queries = pa.array([x for x, s in zip(self.queries, self.scores) for _ in s])
+            yield pa.RecordBatch.from_arrays([queries, pa.array(np.concatenate([n for n in self.names if n is not None]).tolist(), kind), pa.array(np.concatenate(self.scores))], names=["query_id", name, "score"])
+
+
+def cosines(queries: list, vectors: list | np.ndarray) -> np.ndarray:
     """Cosines of all queries with all vectors; 0 where they aren't defined."""
     out = np.zeros((len(queries), len(vectors)))
     sizes = np.array([len(v) for v in vectors])
     for dim in {len(q) for q in queries}:
         qs, vs = [i for i, q in enumerate(queries) if len(q) == dim], np.flatnonzero(sizes == dim)
         if dim and len(vs):
-            a, b = np.array([queries[i] for i in qs], float), np.array([vectors[i] for i in vs], float)
+            a, b = np.array([queries[i] for i in qs], float), vectors if isinstance(vectors, np.ndarray) else np.array([vectors[i] for i in vs], float)
             norms = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 out[np.ix_(qs, vs)] = np.where(norms > 0, a @ b.T / norms, 0.0)

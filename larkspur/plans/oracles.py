@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from larkspur.functions.text import STOPWORDS
-from larkspur.operators.classify import PATTERNS
+from larkspur.operators.classify import ANCHORS, PATTERNS
 from larkspur.operators.evaluate import UNIMPORTANT
-from larkspur.operators.fusion import TYPE_WEIGHTS
+from larkspur.operators.fusion import GATED, TYPE_WEIGHTS
 from larkspur.plans.queries import QUERY, QUESTIONS, VIEW_WEIGHTS
 from larkspur.sources.files import EXTENSIONS
 
@@ -201,14 +201,41 @@ SQL = {
     "graph_invalidated": f"""WITH {SAID}, ends AS (SELECT DISTINCT subject, predicate, object FROM said WHERE seq % 3 = 0),
         t AS (SELECT CASE WHEN t.valid_to IS NULL AND e.subject IS NOT NULL THEN '2030-01-01' ELSE t.valid_to END AS valid_to FROM triples t LEFT JOIN ends e USING (subject, predicate, object)) SELECT valid_to, count(*) AS n FROM t GROUP BY 1""",
     "graph_contradictions": f"WITH {ACTS} SELECT subject, predicate, string_agg(DISTINCT object, ',' ORDER BY object) AS objects FROM acts GROUP BY ALL HAVING count(DISTINCT object) > 1",
-    "graph_conflicts": f"WITH {ACTS}, t AS (SELECT DISTINCT subject, predicate, object FROM acts WHERE seq % 2 = 0) SELECT a.seq, a.subject, a.predicate, a.object, t.object AS other FROM acts a JOIN t ON a.subject = t.subject AND a.object <> t.object WHERE a.seq % 97 = 1",
+    "graph_conflicts": f"WITH {ACTS}, t AS (SELECT DISTINCT subject, predicate, object FROM acts) SELECT a.seq, a.subject, a.predicate, a.object, t.object AS other FROM acts a JOIN t ON a.subject = t.subject AND a.object <> t.object",
     "summary": summary(),
     "wake_up": "SELECT '## L0 — IDENTITY' || chr(10) || 'an engine' || chr(10) || chr(10) || text AS text FROM (" + summary("wing = 'src2'") + ")",
     "session_views": f"WITH {TURNS}, {VIEW} SELECT * FROM views WHERE content <> ''",
     "session_chunks": f"WITH {CHUNKS} SELECT * FROM chunks",
     "wanted_files": f"""WITH f AS (SELECT '/a.b/file' || doc_id || ['.md', '.PY', '.exe', '', '.tar.gz', '.json'][doc_id % 6 + 1] AS path, n_chars * 1000 AS size FROM documents)
         SELECT path, size FROM f WHERE size BETWEEN 1 AND 10485760 AND lower({EXT}) IN ('', {strings(EXTENSIONS)})""",
-    "mining": f"""WITH {STORED}, f AS (SELECT min(text) AS content, '/docs/' || (doc_id % 400) || '.md' AS path FROM documents GROUP BY 2) SELECT count(*) AS processed, count(*) AS created, 0::BIGINT AS duplicates FROM f""",
+    "mining": f"""WITH {STORED}, f AS (SELECT CASE WHEN doc_id % 2 = 0 THEN source ELSE '/docs/' || doc_id || '.md' END AS path, text FROM documents),
+        new AS (SELECT DISTINCT path, coalesce(text, '') AS text FROM f EXCEPT SELECT DISTINCT source, coalesce(text, '') FROM documents)
+        SELECT (SELECT count(*) FROM f) AS processed, (SELECT count(*) FROM new) AS created, (SELECT count(*) FROM f) - (SELECT count(*) FROM new) AS duplicates""",
+    "index_build": f"WITH {terms(DOCS)} SELECT count(*) AS postings, count(DISTINCT term) AS terms, count(DISTINCT id) AS documents FROM terms",
+    "transcripts": """
+        WITH w AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' WHEN 'assistant' THEN 'AI: ' ELSE '' END || text, chr(10) ORDER BY turn) AS whole FROM conversations GROUP BY 1),
+        p AS (SELECT conv_id, string_split(whole, chr(10)) AS p FROM w),
+        l AS (SELECT conv_id, unnest(range(len(p))) AS line, trim(unnest(p)) AS t FROM p),
+        s AS (SELECT *, CASE WHEN regexp_matches(t, '^(Human|User):') THEN 'human' WHEN regexp_matches(t, '^(Assistant|AI):') THEN 'assistant' END AS speaker, trim(regexp_replace(t, '^(Human:|User:|Assistant:|AI:)', '')) AS text FROM l),
+        n AS (SELECT *, count(speaker) OVER (PARTITION BY conv_id ORDER BY line) - 1 AS turn FROM s)
+        SELECT conv_id || '.txt' AS path, turn, max(speaker) AS speaker, string_agg(text, chr(10) ORDER BY line) AS content FROM n WHERE turn >= 0 AND (speaker IS NOT NULL OR t <> '') GROUP BY conv_id, turn""",
+    "message_lines": "SELECT conv_id || '.jsonl' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role AS speaker, trim(text) AS content FROM conversations WHERE role <> '' AND text <> ''",
+    "message_tree": "SELECT conv_id || '.json' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role AS speaker, text AS content FROM conversations WHERE role <> '' AND text <> ''",
+    "team_messages": "SELECT conv_id || '.json' AS path, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, CASE WHEN role <> 'assistant' AND role <> '' THEN role ELSE 'unknown' END AS speaker, text AS content, turn::VARCHAR AS ts FROM conversations WHERE text <> ''",
+    "got_drawers": "SELECT doc_id AS drawer_id, source AS wing, lang AS room FROM documents WHERE doc_id IN (SELECT item_id FROM benchmark)",
+    "ann_sizes": "SELECT len(embedding)::INT AS dim, count(*) AS size FROM embeddings WHERE len(embedding) > 0 GROUP BY 1",
+    "ann_recall": "SELECT count(*) AS queries, TRUE AS reached FROM embeddings WHERE vec_id % 50 = 0",
+    "reranked": f"""WITH {bm25(PASSAGES, 10)}, r AS (SELECT query_id, drawer_id, score, rank, {chosen({t: t in GATED for t in TYPE_WEIGHTS}, 'query_id % 6')} AND count(*) OVER (PARTITION BY query_id) > 1 AS gate, (length(left(text, 100)) - length(replace(left(text, 100), 'e', '')))::DOUBLE AS e FROM lexical JOIN documents ON doc_id = drawer_id)
+        SELECT query_id, drawer_id, round(CASE WHEN gate THEN e ELSE score END, 9) AS score, CASE WHEN gate THEN (row_number() OVER (PARTITION BY query_id ORDER BY e DESC, drawer_id))::INT ELSE rank END AS rank FROM r""",
+    "expanded_queries": "WITH x AS (SELECT vec_id AS query_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE vec_id % 50 = 0) SELECT query_id, i::INT AS i, round(((x + 1) / 2)::FLOAT::DOUBLE, 5) AS x FROM x",
+    "coded_vectors": "SELECT vec_id AS drawer_id, 4 + 4 * len(embedding)::INT AS bytes, TRUE AS same FROM embeddings",
+    "prepared_anchors": "SELECT type, round(avg(length(p)), 6) AS length, round(avg(len(list_filter(string_split(p, ' '), lambda x: x <> ''))), 6) AS words FROM (VALUES " + ", ".join(f"({strings([t, p])})" for t, some in ANCHORS.items() for p in some) + ") AS v(type, p) GROUP BY 1",
+    "put_entities": f"""WITH {SAID}, n AS (SELECT DISTINCT 'customer_' || (o_custkey * 2) AS entity_id, 'Customer ' || (o_custkey * 2) AS name FROM orders)
+        SELECT entity_id, name, 'buyer' AS type, '{{}}' AS properties FROM n UNION ALL SELECT entity_id, name, 'unknown', '{{}}' FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM n)""",
+    "normal_answers": "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'a b' WHEN 1 THEN item_id::VARCHAR ELSE 'the answer ' || item_id END AS answer FROM benchmark",
+    "first_bytes": "SELECT doc_id, list_max(list_filter(list_transform(range(370, 1501), lambda k: octet_length(encode(left(text, k)))), lambda x: x <= 1500))::INT AS bytes, TRUE AS begins FROM documents",
+    "session_order": "SELECT DISTINCT 'session_' || conv_id AS name, conv_id::INT AS number FROM conversations",
+    "expected_by_class": f"{FIRST_OTHER}, c AS (SELECT predicted, actual, count(*) AS n FROM found GROUP BY ALL) SELECT sum(round(n * (predicted / 7.0))) AS expected, sum(n)::BIGINT AS n FROM c",
     "sizes": f"WITH d AS (SELECT doc_id, n_chars * n_chars AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE {UNITS} END AS size FROM d",
     "recall_by_answer": f"""WITH {bm25(PASSAGES, 10)}, a AS (SELECT item_id, text, {ANSWER_WORDS} AS w FROM benchmark),
         f AS (SELECT b.item_id, min(CASE WHEN {ANSWER} THEN l.rank END) AS first FROM a b LEFT JOIN lexical l ON l.query_id = b.item_id LEFT JOIN documents d ON d.doc_id = l.drawer_id GROUP BY 1) SELECT count(*) AS n, {SHARES} FROM f""",

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import classify, evaluate, fusion, graph, lexical, store, vector
+from larkspur.operators import ann, classify, evaluate, fusion, graph, lexical, store, vector
 from larkspur.plans import layers
 from larkspur.session import ship
 from larkspur.sources import conversations, files
@@ -53,7 +53,18 @@ def one_query(spark: SparkSession) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(items(spark, sf_dir))
+    return lexical.postings(items(spark, sf_dir), corpus=True)
+
+
+_indexes: dict[tuple[str, str], lexical.Index] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The index of all documents, built once an application and read by all lexical queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = lexical.stored(index(spark, sf_dir))
+    return _indexes[key]
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:
@@ -69,6 +80,12 @@ def vocabulary(spark, sf_dir):
     return text.stemmed(words, "word", "stem")
 
 
+def index_build(spark, sf_dir):
+    """The stored index of all documents, made anew: its size."""
+    made = lexical.stored(index(spark, sf_dir))
+    return made.postings.agg(F.count("*").alias("postings"), F.countDistinct("term").alias("terms")).withColumn("documents", F.lit(made.total))
+
+
 def corpus_statistics(spark, sf_dir):
     return rounded(lexical.statistics(items(spark, sf_dir)), "avg_doc_len")
 
@@ -132,21 +149,21 @@ def embedded_count(spark, sf_dir):
 
 
 def bm25_single(spark, sf_dir):
-    return rounded(lexical.bm25(index(spark, sf_dir), one_query(spark), 10), "score")
+    return rounded(lexical.bm25(stored_index(spark, sf_dir), one_query(spark), 10), "score")
 
 
 def bm25_passages(spark, sf_dir):
-    return rounded(lexical.bm25(index(spark, sf_dir), passages(spark, sf_dir), 10), "score")
+    return rounded(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 10), "score")
 
 
 def bm25_wing(spark, sf_dir):
     narrowed = lexical.scope(items(spark, sf_dir), "src4", "en")
-    return rounded(lexical.bm25(index(spark, sf_dir), one_query(spark), 5, narrowed), "score")
+    return rounded(lexical.bm25(stored_index(spark, sf_dir), one_query(spark), 5, narrowed), "score")
 
 
 def bm25_scope(spark, sf_dir):
     narrowed = lexical.scope(items(spark, sf_dir), sessions=["src1", "src7"])
-    return rounded(lexical.bm25(index(spark, sf_dir), passages(spark, sf_dir), 5, narrowed), "score")
+    return rounded(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 5, narrowed), "score")
 
 
 def vector_search(spark, sf_dir):
@@ -168,22 +185,22 @@ def both_queries(spark, sf_dir):
 
 
 def hybrid(spark, sf_dir):
-    return rounded(fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10, 0.5), "score")
+    return rounded(fusion.hybrid(stored_index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10, 0.5), "score")
 
 
 def hybrid_auto(spark, sf_dir):
     weight = fusion.type_weight(F.element_at(F.array(*map(F.lit, fusion.TYPE_WEIGHTS)), (F.col("query_id") % 6 + 1).cast("int")))
-    return rounded(fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10, weight), "score")
+    return rounded(fusion.hybrid(stored_index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10, weight), "score")
 
 
 def hybrid_sweep(spark, sf_dir):
     q = both_queries(spark, sf_dir)
-    a, b = lexical.bm25(index(spark, sf_dir), q, 40), vector.search(vectors(spark, sf_dir), q, 40)
+    a, b = lexical.bm25(stored_index(spark, sf_dir), q, 40), vector.search(vectors(spark, sf_dir), q, 40)
     return rounded(fusion.sweep(a, b, [0.4, 0.5, 0.6, 0.7], 10), "score")
 
 
 def hybrid_recency(spark, sf_dir):
-    return rounded(fusion.recency(fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10), 0.5), "score")
+    return rounded(fusion.recency(fusion.hybrid(stored_index(spark, sf_dir), vectors(spark, sf_dir), both_queries(spark, sf_dir), 10), 0.5), "score")
 
 
 def views_of_vectors(spark, sf_dir):
@@ -196,25 +213,19 @@ def multiview(spark, sf_dir):
     return rounded(fusion.multiview(v, v, vector_queries(spark, sf_dir), 5).select("query_id", "drawer_id", "source_file", "score", "rank"), "score")
 
 
-def scored_views(spark, sf_dir):
-    v = views_of_vectors(spark, sf_dir)
-    every = vector.search(v, vector_queries(spark, sf_dir), 1 << 30)
-    return every.join(v.select("drawer_id", "source_file", "hall"), "drawer_id")
-
-
 VIEW_WEIGHTS = {"L0": 0.2, "L1": 0.5, "L2": 0.3}
 
 
 def merged_views_sum(spark, sf_dir):
-    return rounded(fusion.merged_views(scored_views(spark, sf_dir), VIEW_WEIGHTS, "sum", 10), "score")
+    return rounded(fusion.session_search(views_of_vectors(spark, sf_dir), vector_queries(spark, sf_dir), VIEW_WEIGHTS, "sum", 10), "score")
 
 
 def merged_views_max(spark, sf_dir):
-    return rounded(fusion.merged_views(scored_views(spark, sf_dir), VIEW_WEIGHTS, "max", 10), "score")
+    return rounded(fusion.session_search(views_of_vectors(spark, sf_dir), vector_queries(spark, sf_dir), VIEW_WEIGHTS, "max", 10), "score")
 
 
 def blended_views(spark, sf_dir):
-    sessions = fusion.merged_views(scored_views(spark, sf_dir), VIEW_WEIGHTS, "max", 10)
+    sessions = fusion.session_search(views_of_vectors(spark, sf_dir), vector_queries(spark, sf_dir), VIEW_WEIGHTS, "max", 10)
     ranks = vector.search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 30).select("query_id", ((F.col("drawer_id") + 1) / 4).cast("int").cast("string").alias("source_file"), "rank")
     return rounded(fusion.blended(sessions, ranks, 0.3, 10), "score")
 
@@ -315,8 +326,8 @@ def graph_contradictions(spark, sf_dir):
 
 def graph_conflicts(spark, sf_dir):
     a = acts(spark, sf_dir)
-    t = graph.new_triples(graph.normal_facts(a.limit(0)), a.filter("seq % 2 = 0"))
-    return graph.conflicts(t, a.filter("seq % 97 = 1"))
+    t = graph.new_triples(graph.normal_facts(a.limit(0)), a)
+    return graph.conflicts(t, a)
 
 
 def wing_table(spark, sf_dir):
@@ -358,6 +369,100 @@ def message_lines(spark, sf_dir):
     return conversations.parse(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".jsonl")).alias("path"), F.array_join(F.transform("l", lambda x: x.line), "\n").alias("content"))).select("path", "turn", "speaker", "content")
 
 
+def message_tree(spark, sf_dir):
+    """Conversations as trees of message nodes, parsed back."""
+    c = read(spark, sf_dir, "conversations")
+    node = F.struct(F.struct(F.struct("role").alias("author"), F.struct(F.array("text").alias("parts")).alias("content"), F.col("turn").cast("double").alias("create_time")).alias("message"))
+    whole = c.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), F.col("turn").cast("string")), node))).alias("mapping"))
+    return conversations.parse(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("mapping")).alias("content"))).select("path", "turn", "speaker", "content")
+
+
+def team_messages(spark, sf_dir):
+    """Conversations as lists of a team's messages, parsed back; assistants have no name there."""
+    c = read(spark, sf_dir, "conversations")
+    message = F.struct("turn", F.struct(F.when(F.col("role") != "assistant", F.col("role")).alias("user"), "text", F.col("turn").cast("string").alias("ts")).alias("m"))
+    whole = c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(message)), lambda x: x.m).alias("messages"))
+    return conversations.parse(whole.select(F.concat(F.col("conv_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("messages")).alias("content"))).select("path", "turn", "speaker", "content", "ts")
+
+
+def got_drawers(spark, sf_dir):
+    ids = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("drawer_id"))
+    return store.got(items(spark, sf_dir), ids).select("drawer_id", "wing", "room")
+
+
+def ann_index(spark, sf_dir):
+    return ann.build(vectors(spark, sf_dir), 4)
+
+
+def ann_sizes(spark, sf_dir):
+    return ann.size(ann_index(spark, sf_dir))
+
+
+def ann_recall(spark, sf_dir):
+    """Whether the graph search over four shards finds 0.9 of the ten nearest, over all queries."""
+    found = ann.search(ann_index(spark, sf_dir), vector_queries(spark, sf_dir), 10).select("query_id", "drawer_id", F.lit(1).alias("hit"))
+    both = vector.search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).join(found, ["query_id", "drawer_id"], "left")
+    return both.agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))
+
+
+def letters(query: str, texts: list[str]) -> list[float]:
+    """Stands for a model's scores: the letters e among a text's first hundred."""
+    return [float(t[:100].count("e")) for t in texts]
+
+
+def reranked(spark, sf_dir):
+    """The passages' results re-scored where the question's type is worth it."""
+    types = F.element_at(F.array(*map(F.lit, fusion.TYPE_WEIGHTS)), (F.col("query_id") % 6 + 1).cast("int"))
+    results = passage_results(spark, sf_dir).join(passages(spark, sf_dir), "query_id").select("query_id", "query", "drawer_id", "content", "score", "rank")
+    return rounded(fusion.reranked(results, letters, 10, fusion.gated(types)), "score").select("query_id", "drawer_id", "score", "rank")
+
+
+def expanded_queries(spark, sf_dir):
+    """Query vectors moved halfway to a generated answer's, here all ones."""
+    q = vector_queries(spark, sf_dir).select("query_id", F.lit("").alias("query"), "query_vector")
+    ones = lambda texts: [[1.0] * 64 for _ in texts]
+    return fusion.expanded(q, str, ones).select("query_id", F.posexplode("query_vector").alias("i", "x")).select("query_id", "i", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+def coded_vectors(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("blob", vector.coded(F.col("vector")))
+    return v.select("drawer_id", F.octet_length("blob").alias("bytes"), (vector.coded(F.col("blob"), True) == F.col("vector")).alias("same"))
+
+
+def prepared_anchors(spark, sf_dir):
+    """The anchors' means under an embedder that gives a phrase's length and number of words."""
+    means = classify.prepared(spark, lambda phrases: [[float(len(p)), float(len(p.split()))] for p in phrases])
+    return means.select("type", F.round(F.col("vector")[0], 6).alias("length"), F.round(F.col("vector")[1], 6).alias("words"))
+
+
+def put_entities(spark, sf_dir):
+    """The entities of the facts, then those of the orders' priorities put over them by id."""
+    new = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("Customer "), (F.col("o_custkey") * 2).cast("string")).alias("name"), F.lit("buyer").alias("type"), F.lit(None).cast("string").alias("properties"))
+    return graph.put_entities(graph_entities(spark, sf_dir), new)
+
+
+def normal_answers(spark, sf_dir):
+    t = read(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 == 0, F.to_json(F.array(F.lit(" A"), F.lit("b ")))).when(F.col("item_id") % 3 == 1, F.col("item_id").cast("string")).otherwise(F.concat(F.lit('" The Answer '), F.col("item_id").cast("string"), F.lit(' "'))).alias("a"))
+    return t.select("item_id", evaluate.normal_answer(F.parse_json("a")).alias("answer"))
+
+
+def first_bytes(spark, sf_dir):
+    d = read(spark, sf_dir, "documents")
+    return d.select("doc_id", F.octet_length(text.first_bytes(F.col("text"))).alias("bytes"), F.col("text").startswith(text.first_bytes(F.col("text"))).alias("begins"))
+
+
+def session_order(spark, sf_dir):
+    c = read(spark, sf_dir, "conversations").select(F.explode(F.array(F.concat(F.lit("session_"), F.col("conv_id").cast("string")), F.concat(F.lit("session_"), F.col("conv_id").cast("string"), F.lit("_date_time")))).alias("name")).distinct()
+    return c.select("name", conversations.session_number(F.col("name")).alias("number")).filter("number is not null")
+
+
+def expected_by_class(spark, sf_dir):
+    """Expected hits if each predicted class of a nearest neighbour had a rate of a seventh of its number."""
+    counts = confusion(spark, sf_dir)
+    rates = counts.select("predicted", "actual", (F.col("predicted") / 7.0).alias("rate"))
+    return evaluate.expected_by_class(counts, rates)
+
+
 def wanted_files(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     ext = F.element_at(F.array(*map(F.lit, [".md", ".PY", ".exe", "", ".tar.gz", ".json"])), (F.col("doc_id") % 6 + 1).cast("int"))
@@ -366,8 +471,9 @@ def wanted_files(spark, sf_dir):
 
 
 def mining(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select(F.concat(F.lit("/docs/"), (F.col("doc_id") % 400).cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("content"))
-    d = d.withColumn("n", F.row_number().over(W.partitionBy("path").orderBy("content"))).filter("n = 1").drop("n")
+    d = read(spark, sf_dir, "documents").select(F.col("source").alias("path"), F.concat(F.lit("/docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("own"), F.col("text").alias("content"), "doc_id")
+    # Every second document is a file that the store holds already, under its source's path; the others are new.
+    d = d.select(F.when(F.col("doc_id") % 2 == 0, F.col("path")).otherwise(F.col("own")).alias("path"), "content")
     new = files.mined(d, "docs", store.drawers(items(spark, sf_dir)))
     return files.mining_report(d, new)
 
@@ -378,7 +484,7 @@ def sizes(spark, sf_dir):
 
 
 def passage_results(spark, sf_dir):
-    return lexical.hydrated(lexical.bm25(index(spark, sf_dir), passages(spark, sf_dir), 10), items(spark, sf_dir))
+    return lexical.hydrated(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 10), items(spark, sf_dir))
 
 
 def recall_by_answer(spark, sf_dir):
@@ -446,5 +552,6 @@ status wing_breakdown tunnels tunnels_between pending_embeddings embedded_count
 label_means hybrid hybrid_auto hybrid_sweep hybrid_recency multiview merged_views_sum merged_views_max blended_views question_types anchor_types graph_entities
 graph_triples graph_outgoing graph_incoming graph_both graph_as_of_all graph_timeline graph_stats graph_invalidated graph_contradictions graph_conflicts summary
 wake_up session_views session_chunks transcripts message_lines wanted_files mining sizes recall_by_answer recall_by_source recall_scoped confusion accuracy
-best_weights hits_by_size lenient_and_strict evidence_hits""".split()
+best_weights hits_by_size lenient_and_strict evidence_hits index_build message_tree team_messages got_drawers ann_sizes ann_recall reranked expanded_queries coded_vectors
+prepared_anchors put_entities normal_answers first_bytes session_order expected_by_class""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
