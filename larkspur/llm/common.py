@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import saved as saved
+
 #: Characters that one in-memory step of a Python worker handles at most; a longer text is a step of its own.
 STEP_CHARS = 2_000_000
 
@@ -18,22 +18,6 @@ SPACE = " \t\n\x0b\f\r"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share (spark.checkpoint.dir); one of our own only where it is unset."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="larkspur-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors cost no rerun."""
-    path = f"{shared_dir(df.sparkSession)}/larkspur-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a plan: for files, their bytes."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, components, ctw, divergence, forest, grams, kneser_ney, langid, license_scan, mixing, queries, vafile
+from larkspur.llm import bpe, chat, components, ctw, divergence, forest, grams, kneser_ney, langid, license_scan, mixing, queries, sharded, vafile
 from larkspur.llm.shingles import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -400,14 +400,51 @@ def test_shards_don_t_change_scores(odd, monkeypatch):
     assert sorted((str(r.doc_id), round(r.score, 6), r.n_tokens) for r in ctw.score(odd, F.lit(True)).collect()) == want
 
 
-def test_kneser_ney_probabilities(spark):
-    table = gram_table(spark, "abracadabra abra " * 3)
-    contexts = [b"\0\0\0\0", b"abra", b"zzzz"]
-    known = {r.gram for r in table.collect()}
-    more = [(int.from_bytes(c + bytes([b]), "big"), 0) for c in contexts for b in range(256)]
-    model = {r.gram: r.value for r in kneser_ney.fit(table.unionByName(spark.createDataFrame([g for g in more if g[0] not in known], "gram long, n long"))).collect()}
-    for c in contexts:
-        assert sums_to_one(model, int.from_bytes(c, "big")) == pytest.approx(1, abs=1e-9)
+def plain_kneser_ney(learned):
+    """Probability of a word after another by the textbook, with dictionaries; None: unknown."""
+    pairs = Counter(p for t in learned for p in zip(["<", *t], [*t, ">"]))
+    contexts, follow = Counter(), Counter(w for _, w in pairs)
+    for (v, _), n in pairs.items():
+        contexts[v] += n
+
+    def off(counts):
+        n = [0, *(sum(c == k for c in counts) for k in (1, 2, 3, 4))]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0.0, *(min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.05), k - 0.05) if n[k] and n[k + 1] else k / 2 for k in (1, 2, 3))]
+        return lambda c: d[min(c, 3)]
+
+    d1, d2 = off(follow.values()), off(pairs.values())
+    total = sum(follow.values())
+    unknown = sum(map(d1, follow.values())) / total / (len(follow) + 1)
+
+    def one(w):
+        return unknown + ((follow[w] - d1(follow[w])) / total if w in follow else 0)
+
+    def two(v, w):
+        if v not in contexts:
+            return one(w)
+        weight = sum(d2(n) for (a, _), n in pairs.items() if a == v) / contexts[v]
+        n = pairs.get((v, w), 0)
+        return max(n - d2(n), 0) / contexts[v] + weight * one(w)
+
+    return two, [*follow]
+
+
+@pytest.mark.parametrize("hot,shards", [(1 << 17, 1), (1, 8)])
+def test_kneser_ney_against_plain_python(spark, monkeypatch, hot, shards):
+    monkeypatch.setattr(sharded, "HOT", hot)
+    monkeypatch.setattr(sharded, "LEAST_SHARDS", shards)
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.4, rng.integers(0, 30)) if x < 60) for _ in range(60)]
+    rows = [(i, t, i % 3 > 0) for i, t in enumerate(texts)] + [(100, "never SEEN words W1", False), (101, None, False), (101, None, False), (None, "w1 w2", False), (None, "w2 w1", False)]
+    df = spark.createDataFrame(rows, "key long, t string, learn boolean").repartition(3).cache()
+    model = kneser_ney.fit(df, sharded.shard_bits(df) if shards > 1 else 0)
+    got = Counter((r.head.key, r.n_words, round(r.logp, 4)) for r in kneser_ney.scored(df, F.struct("key"), model).collect())
+    two, words = plain_kneser_ney([low(t).split() for _, t, x in rows if x])
+    for v in ("<", "w1", "w2", "none"):
+        assert sum(two(v, w) for w in [*words, None]) == pytest.approx(1)
+    logp = lambda t: sum(math.log10(two(v, w)) for v, w in zip(["<", *t], [*t, ">"]))
+    assert got == Counter((k, len(low(t).split()) + 1, round(logp(low(t).split()), 4)) for k, t, _ in rows)
 
 
 def test_quality_classifier(spark, docs):
@@ -418,6 +455,29 @@ def test_quality_classifier(spark, docs):
     assert np.mean([r.kept for r in rows if labels.get(r.doc_id) == 0]) < 0.4
 
 
+def test_senseless_order_scores_worse(spark):
+    """Known words in another order are less likely."""
+    rng = np.random.default_rng(6)
+
+    def walk(n):
+        at = [int(rng.integers(40))]
+        for _ in range(n):
+            at.append((at[-1] * 7 + int(rng.integers(3))) % 40)
+        return [f"w{x}" for x in at]
+
+    rows = [(i, " ".join(walk(80)), i % 2 == 0) for i in range(60)]
+    mixed = [(-1 - k, " ".join(rng.permutation(t.split())), False) for k, t, x in rows if not x]
+    df = spark.createDataFrame(rows + mixed, "key long, t string, learn boolean")
+    got = {r.head.key: r.logp for r in kneser_ney.scored(df, F.struct("key"), kneser_ney.fit(df, 0)).collect()}
+    assert all(got[k] > 0.7 * got[-1 - k] for k, _, x in rows if not x)
+
+
+def test_packed_arrays():
+    rng = np.random.default_rng(0)
+    for a in (np.empty(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.array([np.uint64(2**64 - 1)])):
+        assert (sharded.unpack_sorted(sharded.pack_sorted(a)) == a).all() and (sharded.unpack(sharded.pack(a), np.uint64) == a).all()
+
+
 def test_quality_classifier_of_odd_tables(odd, none):
     trusted = odd.select("doc_id")
     assert kneser_ney.classify(odd, trusted).count() == len(ODD)
