@@ -1,16 +1,23 @@
 """LM scoring by context-tree weighting.
 
-Each byte is eight binary decisions, each under the context of up to four bytes before it. The decisions that were
-made under a context are counted over all training texts; a Krichevsky-Trofimov estimate of the counts is a node's
-own probability, and a node mixes it, half and half at first, with the product of the contexts one byte longer. What
+Each byte is eight binary decisions, each under the context of the bytes before it: none, one, two, three, four, and
+after white space eight of them (DEEP), as the begin of a word is what the words before tell most about. The decisions
+that were made under a context are counted over all training texts; a Krichevsky-Trofimov estimate of the counts is a
+node's own probability, and a node mixes it, half and half at first, with the product of the next longer contexts. What
 mixing has learned from training is each node's weight, so a text's code length is the sum over its bytes of mixtures
 across all depths. Counts don't depend on an order of texts, so the tree is built by levels from sums.
 
-Beside it runs the base model: words with add-one estimates from sharded counts. Words are 64-bit hashes; tasks send
-each shard its words of a chunk of texts, sorted, as one row; very common words are scored where they stand.
-
-Defined cases: a null text is the empty text, scored as its end alone; without training texts every bit costs one;
-repeated rows are scored each; a null key stays null; other columns aren't read.
+Grams (a context and its next byte) are 64-bit ids: the last four bytes, mixed, then 24 bits of a hash of the four
+before (0 where there are none), then the byte. The mixed bytes tell the shard, so each four-byte context has its longer
+ones at hand, and a frequent one is as good as any; groups of the shorter contexts hold distinct grams only. A shard
+first sends what its four-byte contexts give to the shorter ones; their weights come back by gram; then it has the
+probability of each of its grams. Beside it runs the base model: words with add-one estimates from sharded counts. A
+document's two scores are sums over its grams and words, answered by the shards (see sharded.sums); only the commonest
+entries, a bounded number, go to every task.
+
+Defined cases: a null text is the empty text, scored as its end alone; a zero byte in a text is a byte like the mark of
+its end; without training texts every bit costs one; repeated rows are scored each; a null key stays null; a long text
+is read in pieces; an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -19,16 +26,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import grams
-from larkspur.llm.common import fold, saved, shards
+from larkspur.llm import sharded
+from larkspur.llm.common import saved
+from larkspur.llm.sharded import END, pack, pack_sorted, unpack, unpack_sorted
 
-CHUNK = 4_000_000
-MEMORY = 700_000
+#: Bytes of the longest contexts, and of those that every place has.
+DEEP, PLAIN = 8, 4
+#: Bytes of text whose grams are made at once.
+PIECE = 2_000_000
+#: The training bytes divided by this is the least count of a common gram.
+HOT_GRAMS = 1 << 19
 HALF = np.log(0.5)
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def mix32(x: np.ndarray) -> np.ndarray:
+    """A bijection of 32-bit numbers, in 64 bits."""
+    x = x * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+    x ^= x >> np.uint64(16)
+    return x * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
+
+
+def unmix32(x: np.ndarray) -> np.ndarray:
+    x = x * np.uint64(pow(0x85EBCA6B, -1, 1 << 32)) & np.uint64(0xFFFFFFFF)
+    x ^= x >> np.uint64(16)
+    return x * np.uint64(pow(0x9E3779B1, -1, 1 << 32)) & np.uint64(0xFFFFFFFF)
+
+
+def gram_ids(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the grams of all bytes of the texts and of their ends, with the texts' numbers, in pieces."""
+    pieces, size = [], 0
+    for k, t in enumerate(texts):
+        whole = bytes(DEEP) + t + b"\0"
+        for a in range(0, len(whole) - DEEP, PIECE):
+            pieces.append((k, whole[a : a + PIECE + DEEP]))
+            size += len(pieces[-1][1])
+            if size >= PIECE:
+                yield _piece(pieces)
+                pieces, size = [], 0
+    if pieces:
+        yield _piece(pieces)
+
+
+def _piece(pieces: list[tuple[int, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(b"".join(x for _, x in pieces), np.uint8)
+    lengths = np.array([len(x) for _, x in pieces])
+    own = np.ones(len(data), bool)
+    starts = np.cumsum(lengths) - lengths
+    for j in range(DEEP):
+        own[starts + j] = False
+    at = np.flatnonzero(own)
+    context = np.zeros(len(data) - PLAIN, np.uint64)
+    for j in range(PLAIN):  # the nearest byte is the lowest
+        context = context << np.uint64(8) | data[j : j + len(context)].astype(np.uint64)
+    ids = mix32(context[at - PLAIN]) << np.uint64(32) | data[at].astype(np.uint64)
+    deep = np.flatnonzero(_SPACE[data[at - 1]])
+    before = context[at[deep] - DEEP] + np.uint64(1)
+    before = before * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    ids[deep] |= before << np.uint64(8)
+    return ids, np.repeat([k for k, _ in pieces], lengths - DEEP)
+
+
+# Decisions. Entries (group, byte, n) are sorted by group and byte; at bit b the runs of equal groups and upper bits of
+# the byte are the nodes.
+
+
+def starts_of(group: np.ndarray, byte: np.ndarray) -> list[np.ndarray]:
+    """The nodes' first entries for each bit."""
+    new = np.concatenate([[True], group[1:] != group[:-1]])
+    out = []
+    for b in range(8):
+        upper = byte >> np.uint64(8 - b)
+        out.append(np.flatnonzero(new | np.concatenate([[True], upper[1:] != upper[:-1]])))
+    return out
+
+
+def decisions(start: np.ndarray, byte: np.ndarray, n: np.ndarray, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """(zeros, ones) of the nodes of bit b."""
+    bit = (byte >> np.uint64(7 - b) & np.uint64(1)).astype(np.int64)
+    ones = np.add.reduceat(n * bit, start)
+    return np.add.reduceat(n, start) - ones, ones
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -40,16 +120,21 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
 
-def nodes(counts: np.ndarray) -> np.ndarray:
-    """Decisions (0, 1) at the 255 nodes of the bits of a byte, in the order of their prefixes; counts: n x 256."""
-    n = len(counts)
-    return np.concatenate([counts.reshape(n, 1 << b, 2, -1).sum(-1) for b in range(8)], axis=1).astype(np.float64)
+_SMALL = 4096
+_AT_HALF, _AT_ONE = (log_gamma(np.arange(_SMALL) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_of(n: np.ndarray, table: np.ndarray, plus: float) -> np.ndarray:
+    out = table[np.minimum(n, _SMALL - 1).astype(np.int64)]
+    large = n >= _SMALL
+    if large.any():
+        out[large] = log_gamma(n[large] + plus)
+    return out
 
 
-def own_log(decisions: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov probability of each node's decisions."""
-    a, b = decisions[..., 0], decisions[..., 1]
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - np.log(np.pi)
+def own_log(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of decisions."""
+    return _log_gamma_of(zeros, _AT_HALF, 0.5) + _log_gamma_of(ones, _AT_HALF, 0.5) - _log_gamma_of(zeros + ones, _AT_ONE, 1.0) - np.log(np.pi)
 
 
 def mixed_log(own: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,254 +143,214 @@ def mixed_log(own: np.ndarray, longer: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return total, np.exp(HALF + own - total)
 
 
-def tree(keys: np.ndarray, n: np.ndarray) -> tuple[list, list, list, np.ndarray, np.ndarray]:
-    """The tree of one suffix group: levels, their decisions, their weights, and the top's log and byte counts."""
-    levels = grams.levels(keys)
-    decisions, weights, total, counts = [], [], None, None
-    for depth, (contexts, place) in enumerate(levels):
+# Contexts of up to four bytes, in groups by the last two; 255 nodes each, in the order of their prefixes.
+
+
+def nodes(counts: np.ndarray) -> np.ndarray:
+    """Decisions (0, 1) at the 255 nodes of the bits of a byte; counts: n x 256."""
+    n = len(counts)
+    return np.concatenate([counts.reshape(n, 1 << b, 2, -1).sum(-1) for b in range(8)], axis=1).astype(np.float64)
+
+
+def node_log(d: np.ndarray) -> np.ndarray:
+    return own_log(d[..., 0], d[..., 1])
+
+
+_BITS = np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1
+_PATH = np.array([[(1 << b) - 1 + (x >> (8 - b)) for b in range(8)] for x in range(256)])
+
+
+def tree(grams: np.ndarray, n: np.ndarray, deep: np.ndarray) -> tuple[list, list, list, np.ndarray, np.ndarray]:
+    """The tree of a group of grams (four bytes, then the next): for four, three and two bytes the places of the next
+    longer contexts' suffixes, decisions and weights; the top's log and byte counts. deep: for each gram and bit the
+    log of the product of the contexts beyond four bytes."""
+    places, choices, weights, total, counts = [], [], [], None, None
+    below, place = grams >> 8, None
+    for depth in (4, 3, 2):
+        contexts, place = np.unique(below & ((1 << 8 * depth) - 1), return_inverse=True)
         new = np.zeros((len(contexts), 256))
-        if depth:
-            np.add.at(new, place, counts)
+        longer = np.zeros((len(contexts), 255))
+        if depth == 4:
+            np.add.at(new, (place, grams & 255), n)
+            longer[place[:, None], _PATH[grams & 255]] = deep
         else:
-            np.add.at(new, (place, keys & 255), n)
-        counts = new
-        d = nodes(counts)
-        own = own_log(d)
-        if depth:
-            longer = np.zeros_like(own)
+            np.add.at(new, place, counts)
             np.add.at(longer, place, total)
-            total, weight = mixed_log(own, longer)
-        else:
-            total, weight = own, np.ones_like(own)
-        decisions.append(d)
+        d = nodes(new)
+        total, weight = mixed_log(node_log(d), longer)
+        counts, below = new, contexts
+        places.append(place)
+        choices.append(d)
         weights.append(weight)
-    return levels, decisions, weights, total, counts
+    return places, choices, weights, total, counts
 
 
-def _tops(keys: np.ndarray, n: np.ndarray) -> pa.Table:
-    *_, total, counts = tree(keys, n)
-    return pa.table({"last": pa.array([int(keys[0] >> 8 & 255)], pa.int64()), "log": [total[0].tobytes()], "counts": [counts[0].tobytes()]})
+def _group(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    grams, n = part["gram"].to_numpy(), part["n"].to_numpy()
+    deep = part["deep"].combine_chunks().flatten().to_numpy().reshape(-1, 8)
+    order = np.argsort(grams)
+    return grams[order], n[order], deep[order]
+
+
+def _tops(key: tuple, part: pa.Table) -> pa.Table:
+    grams, n, deep = _group(part)
+    *_, total, counts = tree(grams, n, deep)
+    return pa.table({"last": pa.array([int(grams[0] >> 8 & 255)], pa.int64()), "log": [total[0].tobytes()], "counts": [counts[0].tobytes()]})
 
 
 def _second(key: tuple, part: pa.Table) -> pa.Table:
     """The context of one byte from those of two."""
     counts = sum(np.frombuffer(x, np.float64) for x in part["counts"].to_pylist())
     longer = sum(np.frombuffer(x, np.float64) for x in part["log"].to_pylist())
-    total, weight = mixed_log(own_log(nodes(counts[None]))[0], longer)
+    total, weight = mixed_log(node_log(nodes(counts[None]))[0], longer)
     return pa.table({"last": pa.array([key[0].as_py()], pa.int64()), "log": [total.tobytes()], "weight": [weight.tobytes()], "counts": [counts.tobytes()]})
 
 
-def fit(table: DataFrame) -> DataFrame:
-    """Rows (gram, value: log10 of the last byte's probability after the others) from (gram, n)."""
-    tops = grams.by_suffix(table, _tops, "last long, log binary, counts binary")
+# Shards.
+
+
+def _read(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return unpack_sorted(part["ids"][0].as_py()), unpack(part["counts"][0].as_py(), np.int64)
+
+
+def _shorter(key: tuple, part: pa.Table) -> pa.Table:
+    """A shard's grams of four bytes: (gram, n, deep)."""
+    ids, n = _read(part)
+    byte = ids & np.uint64(255)
+    short = ids >> np.uint64(32) << np.uint64(8) | byte
+    entries, place = np.unique(short, return_inverse=True)
+    counts = np.zeros(len(entries), np.int64)
+    np.add.at(counts, place, n)
+    deep = np.empty((len(entries), 8))
+    long_starts = starts_of(ids >> np.uint64(8), byte)
+    short_starts = starts_of(entries >> np.uint64(8), entries & np.uint64(255))
+    for b in range(8):
+        node = np.zeros(len(entries), np.int64)
+        node[short_starts[b][1:]] = 1
+        node = np.cumsum(node)
+        logs = own_log(*decisions(long_starts[b], byte, n, b))
+        deep[:, b] = np.bincount(node[place[long_starts[b]]], logs, int(node[-1]) + 1)[node]
+    grams = (unmix32(entries >> np.uint64(8)) << np.uint64(8) | entries & np.uint64(255)).astype(np.int64)
+    return pa.table({"gram": grams, "n": counts, "deep": pa.ListArray.from_arrays(pa.array(np.arange(0, deep.size + 1, 8, dtype=np.int32)), pa.array(deep.ravel()))})
+
+
+def fit(counts: DataFrame, bits: int) -> DataFrame:
+    """Rows (bucket, ids, values: log10 of a gram's last byte's probability, common: ids and values) from the counts'
+    shards."""
+    short = saved(counts.select("bucket", "ids", "counts").groupBy("bucket").applyInArrow(_shorter, "gram long, n long, deep array<double>"), "grams")
+    group = F.shiftright("gram", 8).bitwiseAND(0xFFFF)
+    tops = short.groupBy(group.alias("suffix")).applyInArrow(_tops, "last long, log binary, counts binary")
     rows = tops.groupBy("last").applyInArrow(_second, "last long, log binary, weight binary, counts binary").collect()  # 256 at most
     upper = {r["last"]: (nodes(np.frombuffer(r["counts"])[None])[0], np.frombuffer(r["weight"])) for r in rows}
     root_counts = sum((np.frombuffer(r["counts"]) for r in rows), np.zeros(256))
     root = nodes(root_counts[None])[0]
-    _, root_weight = mixed_log(own_log(root[None])[0], sum((np.frombuffer(r["log"]) for r in rows), np.zeros(255)))
-    bits = np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1
-    path = np.array([[(1 << b) - 1 + (x >> (8 - b)) for b in range(8)] for x in range(256)])
+    _, root_weight = mixed_log(node_log(root[None])[0], sum((np.frombuffer(r["log"]) for r in rows), np.zeros(255)))
+    common = max(1, int(root_counts.sum()) // HOT_GRAMS)
 
-    def likely(decisions: np.ndarray, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
-        d = decisions[at[:, None], path[byte]]
-        chosen = np.take_along_axis(d, bits[byte][..., None], -1)[..., 0]
+    def likely(d: np.ndarray, at: np.ndarray, byte: np.ndarray) -> np.ndarray:
+        d = d[at[:, None], _PATH[byte]]
+        chosen = np.take_along_axis(d, _BITS[byte][..., None], -1)[..., 0]
         return (chosen + 0.5) / (d.sum(-1) + 1)
 
-    def value(keys: np.ndarray, n: np.ndarray) -> pa.Table:
-        levels, decisions, weights, *_ = tree(keys, n)
-        byte, place, q = keys & 255, np.arange(len(keys)), None
-        for (_, up), d, w in zip(levels, decisions, weights):
+    def shares(key: tuple, part: pa.Table) -> pa.Table:
+        """For each gram and bit what the contexts of up to four bytes say, and what is left to longer ones."""
+        grams, n, deep = _group(part)
+        places, choices, weights, *_ = tree(grams, n, deep)
+        byte, zero = grams & 255, np.zeros(len(grams), np.int64)
+        one, weight = upper[int(grams[0] >> 8 & 255)]
+        said, left = np.zeros((len(grams), 8)), np.ones((len(grams), 8))
+        levels = [(root[None], root_weight[None], zero), (one[None], weight[None], zero)]
+        place, own = np.arange(len(grams)), []
+        for up, d, w in zip(places, choices, weights):
             place = up[place]
-            p = likely(d, place, byte)
-            mix = w[place[:, None], path[byte]]
-            q = p if q is None else mix * p + (1 - mix) * q
-        one, weight = upper[int(keys[0] >> 8 & 255)]
-        zero = np.zeros(len(keys), np.int64)
-        for d, w in ((one, weight), (root, root_weight)):
-            q = w[path[byte]] * likely(d[None], zero, byte) + (1 - w[path[byte]]) * q
-        return pa.table({"gram": keys, "value": np.log10(q).sum(1)})
-
-    return saved(grams.by_suffix(table, value, "gram long, value double"), "ctw")
+            own.append((d, w, place))
+        for d, w, at in [*levels, *reversed(own)]:
+            mix = w[at[:, None], _PATH[byte]]
+            said += left * mix * likely(d, at, byte)
+            left *= 1 - mix
+        bucket = (mix32((grams >> 8).astype(np.uint64)) >> np.uint64(32 - bits)).astype(np.int64) if bits else zero
+        lists = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(0, a.size + 1, 8, dtype=np.int32)), pa.array(a.ravel().astype(np.float32)))
+        return pa.table({"bucket": bucket, "gram": grams, "said": lists(said), "left": lists(left)})
+
+    known = short.groupBy(group.alias("suffix")).applyInArrow(shares, "bucket long, gram long, said array<float>, left array<float>")
+
+    def values(key: tuple, part: pa.Table, shorter: pa.Table) -> pa.Table:
+        ids, n = _read(part)
+        byte = ids & np.uint64(255)
+        grams = (unmix32(ids >> np.uint64(32)) << np.uint64(8) | byte).astype(np.int64)
+        have = shorter["gram"].to_numpy()
+        order = np.argsort(have)
+        place = order[np.searchsorted(have[order], grams)]
+        said, left = (shorter[c].combine_chunks().flatten().to_numpy().reshape(-1, 8) for c in ("said", "left"))
+        logs = np.zeros(len(ids))
+        for b, start in enumerate(starts_of(ids >> np.uint64(8), byte)):
+            zeros, ones = decisions(start, byte, n, b)
+            size = np.diff(np.append(start, len(ids)))
+            chosen = np.where(byte >> np.uint64(7 - b) & np.uint64(1) > 0, np.repeat(ones, size), np.repeat(zeros, size))
+            logs += np.log10(said[place, b] + left[place, b] * (chosen + 0.5) / np.repeat(zeros + ones + 1, size))
+        often = n >= common
+        listed = [pack(ids[often]), pack(logs[often].astype(np.float32))] if often.any() else None
+        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "ids": pa.array([pack_sorted(ids)], pa.binary()), "values": pa.array([pack(logs.astype(np.float32))], pa.binary()), "common": pa.array([listed], pa.list_(pa.binary()))})
+
+    out = counts.select("bucket", "ids", "counts").groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(values, "bucket long, ids binary, values binary, common array<binary>")
+    return saved(out, "ctw")
 
 
 # The base model.
 
-END = 1
-_known: dict[bytes, int] = {}
 
+def word_ids(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of the words and of the ends."""
+    words = [sharded.word_ids(t) for t in texts]
+    if words:
+        yield np.concatenate([*words, np.full(len(words), END)]), np.concatenate([np.repeat(np.arange(len(words)), [len(w) for w in words]), np.arange(len(words))])
 
-def _words(text: bytes) -> np.ndarray:
-    words = text.split()
-    fresh = set(words).difference(_known)
-    if len(_known) + len(fresh) > MEMORY:
-        _known.clear()
-        fresh = set(words)
-    _known.update(zip(fresh, map(xxhash.xxh3_64_intdigest, fresh)))
-    out = np.empty(len(words) + 1, np.uint64)
-    out[:-1] = np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    out[-1] = END
-    return out
 
+def _estimates(common: int):
+    """Rows (bucket, ids, values, common) of the words' counts c: log10(c + 1)."""
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch, list[bytes], np.ndarray, np.ndarray]]:
-    """(number, rows, texts, words, each word's text) of parts of a partition; alike whenever it is read. Column 3 holds
-    the input's partition, which is the same in each branch of a union."""
-    number = None
-    for batch in batches:
-        if number is None and batch.num_rows:
-            number = batch.column(3)[0].as_py() << 32
-        texts = [grams.prepared(t) for t in batch.column(1).to_pylist()]
-        for i, j in fold(texts, len, CHUNK):
-            words = [_words(t) for t in texts[i:j]]
-            yield number, batch.slice(i, j - i), texts[i:j], np.concatenate(words), np.repeat(np.arange(j - i, dtype=np.uint16), [len(w) for w in words])
-            number += 1
-
-
-def _runs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, distinct, start, count) of words."""
-    order = np.argsort(words, kind="stable")
-    w = words[order]
-    start = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.empty(0, np.int64)
-    return order, w[start], start, np.diff(np.append(start, len(w)))
-
-
-def _slices(distinct: np.ndarray, shift: int) -> Iterator[tuple[int, slice]]:
-    """(bucket, places) of sorted hashes by their highest bits."""
-    bucket = (distinct >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(distinct), np.int64)
-    if len(bucket):
-        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-        for i, j in zip(starts, [*starts[1:], len(bucket)]):
-            yield int(bucket[i]), slice(int(i), int(j))
-
-
-def word_counts(rows: DataFrame, shift: int) -> DataFrame:
-    """Rows (bucket, words, counts: binary, all, distinct) of the training texts' words, one for each shard."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, part, _, words, text in _chunks(batches):
-            learn = part.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            _, distinct, _, n = _runs(words[learn[text]])
-            cut = list(_slices(distinct, shift))
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut], pa.int64()), pa.array([distinct[s].tobytes() for _, s in cut]), pa.array([n[s].astype("<i8").tobytes() for _, s in cut])], names=["bucket", "words", "counts"])
-
-    def add(key: tuple, part: pa.Table) -> pa.Table:
-        words = np.frombuffer(b"".join(part["words"].to_pylist()), np.uint64)
-        distinct, place = np.unique(words, return_inverse=True)
-        n = np.zeros(len(distinct), np.int64)
-        np.add.at(n, place, np.frombuffer(b"".join(part["counts"].to_pylist()), "<i8"))
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), "words": [distinct.tobytes()], "counts": [n.tobytes()], "all": pa.array([int(n.sum())], pa.int64()), "distinct": pa.array([len(n)], pa.int64())})
-
-    parts = rows.mapInArrow(count, "bucket long, words binary, counts binary")
-    return saved(parts.groupBy("bucket").applyInArrow(add, "bucket long, words binary, counts binary, all long, distinct long"), "words")
-
-
-def _common(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, counts in zip(*(batch.column(c).to_pylist() for c in (1, 2))):
-                n = np.frombuffer(counts, "<i8")
-                w = np.frombuffer(words, np.int64)[n >= least]
-                yield pa.RecordBatch.from_arrays([pa.array(w), pa.array(n[n >= least])], names=["word", "n"])
+            for bucket, ids, counts in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                n = unpack(counts, np.int64)
+                logs = np.log10(n + 1.0)
+                listed = [pack(unpack_sorted(ids)[n >= common]), pack(logs[n >= common])] if (n >= common).any() else None
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([ids], pa.binary()), pa.array([pack(logs)], pa.binary()), pa.array([listed], pa.list_(pa.binary()))], names=["bucket", "ids", "values", "common"])
 
     return run
 
 
+def both_ids(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for kind, ids_of in enumerate((word_ids, gram_ids)):
+        for ids, owner in ids_of(texts):
+            yield ids, 2 * owner + kind
+
+
+def commonest(table: DataFrame, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The common entries that a table lists."""
+    found = table.select("common").filter("common is not null").collect()
+    ids, values = ([unpack(r.common[k], t) for r in found] for k, t in ((0, np.uint64), (1, kind)))
+    return np.concatenate([np.empty(0, np.uint64), *ids]), np.concatenate([np.empty(0), *values])
+
+
 def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text", flag: str = "learned") -> DataFrame:
     """Rows (key long, flag, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte).
 
     score is the log10 probability that the context tree gives to a text's bytes and its end.
     """
-    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), learn.alias("learn"), F.spark_partition_id().alias("part"))
-    tables = list(grams.shards_of(fit(grams.count(rows, "learn"))))
-    spark = df.sparkSession
-    tables = [spark.sparkContext.broadcast(t) for t in tables]
-
-    bits = max(0, (shards(df, 8) - 1).bit_length())
-    counts = word_counts(rows, 64 - bits)
-    total = counts.agg(F.sum("all"), F.sum("distinct")).first()
-    n_all, distinct = total[0] or 0, total[1] or 0
-    least = max(1, n_all // (4 << bits))
-    found = counts.mapInArrow(_common(least), "word long, n long").toArrow()  # 4 a shard at most
-    common, common_n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
-    order = np.argsort(common)
-    common, common_n = common[order], common_n[order]
-
-    def deal(k: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for number, part, texts, words, text in _chunks(batches):
-                n = len(texts)
-                heads = {"keys": part.column(0).to_pylist(), "learn": part.column(2).to_pylist(), "score": grams.sums(texts, tables[k].value).tolist(), "bytes": [len(t) for t in texts]}
-                out = {"bucket": [-1 - number], "chunk": [number], "words": [b""], "counts": [b""], "texts": [b""], "n": [n]}
-                logs, known = np.zeros(n), np.zeros(n)
-                if not k:
-                    if len(common):
-                        place = np.minimum(np.searchsorted(common, words), len(common) - 1)
-                        hit = common[place] == words
-                        logs = np.bincount(text[hit], np.log10(common_n[place[hit]] + 1.0), n)
-                        known = np.bincount(text[hit], minlength=n).astype(float)
-                        lengths = np.bincount(text, minlength=n)
-                        words, text = words[~hit], text[~hit]
-                    else:
-                        lengths = np.bincount(text, minlength=n)
-                    order, unique, start, count = _runs(words)
-                    text = text[order]
-                    for b, s in _slices(unique, 64 - bits):
-                        a, z = int(start[s.start]), int(start[s.stop - 1] + count[s.stop - 1])
-                        for c, x in (("bucket", b), ("chunk", number), ("words", unique[s].tobytes()), ("counts", count[s].astype("<u4").tobytes()), ("texts", text[a:z].tobytes()), ("n", n)):
-                            out[c].append(x)
-                else:
-                    lengths = np.zeros(n, np.int64)
-                rest = [None] * (len(out["n"]) - 1)
-                heads |= {"tokens": lengths.tolist(), "logs": logs.tolist(), "known": known.astype(int).tolist()}
-                yield pa.RecordBatch.from_pydict(out | {c: [x, *rest] for c, x in heads.items()}, schema=_DEALT)
-
-        return run
-
-    dealt = rows.mapInArrow(deal(0), _DEALT_SQL)
-    for k in range(1, len(tables)):
-        dealt = dealt.unionAll(rows.mapInArrow(deal(k), _DEALT_SQL))
-
-    def look_up(key: tuple, part: pa.Table, model: pa.Table) -> pa.Table:
-        """A shard's sums for each chunk; a chunk's head passes."""
-        if key[0].as_py() < 0:
-            return part.drop_columns(["bucket", "words", "counts", "texts", "n"])
-        words, n = (np.frombuffer(b"".join(model[c].to_pylist()), np.int64) for c in ("words", "counts"))
-        words = words.view(np.uint64)
-        logs, known = [], []
-        for w, c, t, size in zip(*(part[x].to_pylist() for x in ("words", "counts", "texts", "n"))):
-            w, c, t = np.frombuffer(w, np.uint64), np.frombuffer(c, "<u4"), np.frombuffer(t, np.uint16)
-            have = np.zeros(len(w), np.int64)
-            if len(words):
-                place = np.minimum(np.searchsorted(words, w), len(words) - 1)
-                have = np.where(words[place] == w, n[place], 0)
-            logs.append(np.bincount(t, np.repeat(np.log10(have + 1.0), c), size).tolist())
-            known.append(np.bincount(t, np.repeat(have > 0, c), size).astype(int).tolist())
-        empty = [None] * part.num_rows
-        return pa.Table.from_pydict({"chunk": part["chunk"], "keys": empty, "learn": empty, "score": empty, "bytes": empty, "tokens": empty, "logs": logs, "known": known}, schema=_SUMS)
-
-    sums = dealt.groupBy("bucket").cogroup(counts.select("bucket", "words", "counts").groupBy("bucket")).applyInArrow(look_up, _SUMS_SQL)
-    floor = float(np.log10(n_all + distinct + 1))
-
-    def finish(key: tuple, part: pa.Table) -> pa.Table:
-        rows = part.to_pylist()
-        heads = [r for r in rows if r["keys"] is not None]
-        if not heads:
-            return pa.Table.from_pydict({c.name: [] for c in _SCORED}, schema=_SCORED)
-        first = heads[0]
-        add = lambda c, some: np.sum([r[c] for r in some if r[c] is not None], axis=0)
-        tokens, score = add("tokens", heads), add("score", heads)
-        whole = {"key": first["keys"], "learn": first["learn"], "n_tokens": tokens.astype(int), "n_known": add("known", rows).astype(int), "base_score": add("logs", rows) - tokens * floor, "score": score}
-        return pa.Table.from_pydict(whole | {"bits": -score / np.log10(2) / (np.array(first["bytes"]) + 1)}, schema=_SCORED)
-
-    out = sums.groupBy("chunk").applyInArrow(finish, "key long, learn boolean, n_tokens long, n_known long, base_score double, score double, bits double")
-    return out.select(F.col("key").alias(key), F.col("learn").alias(flag), "n_tokens", "n_known", F.lit(n_all).cast("long").alias("train_tokens"), "base_score", "score", F.col("bits").alias("bits_per_byte"))
-
-
-_HEAD = [("keys", pa.list_(pa.int64())), ("learn", pa.list_(pa.bool_())), ("score", pa.list_(pa.float64())), ("bytes", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64())), ("logs", pa.list_(pa.float64())), ("known", pa.list_(pa.int64()))]
-_HEAD_SQL = "keys array<long>, learn array<boolean>, score array<double>, bytes array<long>, tokens array<long>, logs array<double>, known array<long>"
-_DEALT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("texts", pa.binary()), ("n", pa.int64()), *_HEAD])
-_DEALT_SQL = f"bucket long, chunk long, words binary, counts binary, texts binary, n long, {_HEAD_SQL}"
-_SUMS = pa.schema([("chunk", pa.int64()), *_HEAD])
-_SUMS_SQL = f"chunk long, {_HEAD_SQL}"
-_SCORED = pa.schema([("key", pa.int64()), ("learn", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("bits", pa.float64())])
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("t"), learn.alias("learn"))
+    bits = sharded.shard_bits(df)
+    trees = fit(sharded.count(rows, gram_ids, bits, every=True), bits)
+    counts = sharded.count(rows, word_ids, bits)
+    total, distinct = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct")).first())
+    words = saved(counts.select("bucket", "ids", "counts").mapInArrow(_estimates(max(1, total // sharded.HOT)), "bucket long, ids binary, values binary, common array<binary>"), "estimates")
+    (ids, values), (gram_hot, gram_values) = commonest(words, "<f8"), commonest(trees, "<f4")
+    ids, values = np.concatenate([ids, gram_hot]), np.concatenate([values, gram_values])
+    order = np.argsort(ids)
+    table = words.withColumn("type", F.lit("<f8")).unionByName(trees.withColumn("type", F.lit("<f4")))
+    out = sharded.sums(rows, F.struct("key", "learn"), F.col("t"), both_ids, 2, table, bits, (ids[order], values[order]))
+    base = F.col("total")[0] - F.col("size")[0] * F.lit(float(np.log10(total + distinct + 1)))
+    return out.select(
+        F.col("head.key").alias(key), F.col("head.learn").alias(flag), F.col("size")[0].alias("n_tokens"), F.col("found")[0].alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), F.col("total")[1].alias("score"), (-F.col("total")[1] / F.lit(float(np.log10(2))) / F.col("size")[1]).alias("bits_per_byte"),
+    )

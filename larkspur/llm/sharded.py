@@ -99,9 +99,12 @@ def added(ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct, np.add.reduceat(v[order], start) if len(start) else v
 
 
-def count(rows: DataFrame, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], bits: int) -> DataFrame:
+Ids = Callable[[list[bytes]], Iterator[tuple[np.ndarray, np.ndarray]]]
+
+
+def count(rows: DataFrame, ids_of: Ids, bits: int, every: bool = False) -> DataFrame:
     """Rows (bucket, ids, counts, total, distinct), one a shard, of the ids of the texts of rows (t, learn) where learn
-    holds. A task adds up its own before it sends them."""
+    holds. A task adds up its own before it sends them. every: the ids of the other texts too, counted as 0."""
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -112,15 +115,17 @@ def count(rows: DataFrame, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in cut], pa.int64()), pa.array([pack_sorted(ids[s]) for _, s in cut], pa.binary()), pa.array([pack(n[s].astype(np.int64)) for _, s in cut], pa.binary())], names=["bucket", "ids", "counts"])
 
         for batch in batches:
-            texts = [prepared(t) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x]
-            for i, j in fold(texts, len, CHUNK):
-                _, distinct, _, n = runs(ids_of(texts[i:j])[0])
-                held.append((distinct, n))
-                if sum(len(a) for a, _ in held) > 4_000_000:
-                    held = [added([a for a, _ in held], [b for _, b in held])]
-                    if len(held[0][0]) > 3_000_000:
-                        yield out()
-                        held = []
+            for flag in (1, 0) if every else (1,):
+                texts = [prepared(t) for t, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if x == flag]
+                for i, j in fold(texts, len, CHUNK):
+                    for ids, _ in ids_of(texts[i:j]):
+                        distinct, n = np.unique(ids, return_counts=True)
+                        held.append((distinct, n * flag))
+                        if sum(len(a) for a, _ in held) > 4_000_000:
+                            held = [added([a for a, _ in held], [b for _, b in held])]
+                            if len(held[0][0]) > 3_000_000:
+                                yield out()
+                                held = []
         if held:
             yield out()
 
@@ -151,12 +156,12 @@ def id_map(table: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def sums(rows: DataFrame, head: Column, text: Column, ids_of: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], width: int, table: DataFrame, bits: int,
-         hot: tuple[np.ndarray, np.ndarray], known: np.ndarray | None = None) -> DataFrame:
+def sums(rows: DataFrame, head: Column, text: Column, ids_of: Ids, width: int, table: DataFrame, bits: int, hot: tuple[np.ndarray, np.ndarray], known: np.ndarray | None = None) -> DataFrame:
     """Rows (head, total array<double>, found array<long>, size array<long>) of a table of texts: for each of width
     kinds of ids the sum of the values, the number of ids that the table has, and their number.
 
-    ids_of(texts) gives ids and their owners: a text's number times width, plus the kind. hot: sorted ids and values.
+    ids_of(texts) gives ids and their owners, a text's number times width, plus the kind, in pieces of bounded size.
+    table: rows (bucket, ids, values, type of the values), one or more a shard. hot: sorted ids and values.
     Rows of one task are numbered in their order, so the input has to read alike if a task is run again.
     """
     spark = rows.sparkSession
@@ -174,21 +179,23 @@ def sums(rows: DataFrame, head: Column, text: Column, ids_of: Callable[[list[byt
             number = batch.column(2)[0].as_py() << 32 if number is None else number
             texts = [prepared(t) for t in batch.column(1).to_pylist()]
             for i, j in fold(texts, len, CHUNK):
-                ids, owner = ids_of(texts[i:j])
                 n = (j - i) * width
-                size = np.bincount(owner, minlength=n)
-                total, found = np.zeros(n), np.zeros(n, np.int64)
-                if len(hot_ids):
-                    place = np.minimum(np.searchsorted(hot_ids, ids), len(hot_ids) - 1)
-                    hit = hot_ids[place] == ids
-                    total, found = np.bincount(owner[hit], hot_values[place[hit]], n), np.bincount(owner[hit], minlength=n)
-                    ids, owner = ids[~hit], owner[~hit]
-                if flags is not None:
-                    at = (ids >> np.uint64(64 - MAP_BITS)).astype(np.int64)
-                    may = (flags[at >> 3] >> (7 - (at & 7))) & 1 > 0
-                    ids, owner = ids[may], owner[may]
-                order, distinct, start, counts = runs(ids)
-                owner = owner[order].astype(np.uint32)
+                total, found, size, rest = np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), []
+                for ids, owner in ids_of(texts[i:j]):
+                    size += np.bincount(owner, minlength=n)
+                    if len(hot_ids):
+                        place = np.minimum(np.searchsorted(hot_ids, ids), len(hot_ids) - 1)
+                        hit = hot_ids[place] == ids
+                        total += np.bincount(owner[hit], hot_values[place[hit]], n)
+                        found += np.bincount(owner[hit], minlength=n)
+                        ids, owner = ids[~hit], owner[~hit]
+                    if flags is not None:
+                        at = (ids >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                        may = (flags[at >> 3] >> (7 - (at & 7))) & 1 > 0
+                        ids, owner = ids[may], owner[may]
+                    rest.append((ids, owner.astype(np.uint32)))
+                order, distinct, start, counts = runs(np.concatenate([x for x, _ in rest]) if rest else np.empty(0, np.uint64))
+                owner = np.concatenate([x for _, x in rest])[order] if rest else np.empty(0, np.uint32)
                 cut = list(slices(distinct, bits))
                 ends = [(int(start[s.start]), int(start[s.stop - 1] + counts[s.stop - 1])) for _, s in cut]
                 # The first row is the chunk's own: its heads, and what is known of them already.
@@ -203,16 +210,18 @@ def sums(rows: DataFrame, head: Column, text: Column, ids_of: Callable[[list[byt
 
     def answer(key: tuple, part: pa.Table, shard: pa.Table) -> pa.Table:
         """A shard's sums for each chunk: owners, totals and numbers; a chunk's own row passes."""
-        have, value = (unpack_sorted(shard["ids"][0].as_py()), unpack(shard["values"][0].as_py(), np.float32)) if shard.num_rows else (np.empty(0, np.uint64), np.empty(0, np.float32))
+        tables = [(unpack_sorted(r["ids"]), unpack(r["values"], r["type"])) for r in shard.to_pylist()]
         out = {"ids": [], "counts": [], "owners": []}
         for own, ids, counts, owners in zip(pc.is_valid(part["heads"]).to_pylist(), *(part[c].to_pylist() for c in out)):
             if not own:
                 ids, counts, owners = unpack_sorted(ids), unpack(counts, np.uint32), unpack(owners, np.uint32)
                 hit, v = np.zeros(len(ids), bool), np.zeros(len(ids))
-                if len(have):
-                    place = np.minimum(np.searchsorted(have, ids), len(have) - 1)
-                    hit = have[place] == ids
-                    v = np.where(hit, value[place], 0.0)
+                for have, value in tables:
+                    if len(have):
+                        place = np.minimum(np.searchsorted(have, ids), len(have) - 1)
+                        here = have[place] == ids
+                        hit |= here
+                        v[here] = value[place[here]]
                 owners = owners[np.repeat(hit, counts)]
                 some, at = np.unique(owners, return_inverse=True)
                 ids, counts, owners = pack(np.bincount(at, np.repeat(v[hit], counts[hit]), len(some))), pack(np.bincount(at, minlength=len(some))), pack(some)
@@ -220,7 +229,7 @@ def sums(rows: DataFrame, head: Column, text: Column, ids_of: Callable[[list[byt
                 out[c].append(x)
         return pa.table({"chunk": part["chunk"], "n": part["n"], **{c: pa.array(x, pa.binary()) for c, x in out.items()}, "heads": part["heads"]})
 
-    dealt = packed.mapInArrow(ask, request).groupBy("bucket").cogroup(table.select("bucket", "ids", "values").groupBy("bucket"))
+    dealt = packed.mapInArrow(ask, request).groupBy("bucket").cogroup(table.select("bucket", "ids", "values", "type").groupBy("bucket"))
     answers = dealt.applyInArrow(answer, request.replace("bucket long, ", ""))
 
     def finish(key: tuple, part: pa.Table) -> pa.Table:

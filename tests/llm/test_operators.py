@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, components, ctw, divergence, forest, grams, kneser_ney, langid, license_scan, mixing, queries, sharded, vafile
+from larkspur.llm import bpe, chat, components, ctw, divergence, forest, kneser_ney, langid, license_scan, mixing, queries, sharded, vafile
 from larkspur.llm.shingles import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -318,35 +318,37 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(1, 31)}, 41: 40, 50: 40} or got == {**{i: 0 for i in range(31)}, 40: 40, 41: 40, 50: 40}
 
 
-def gram_table(spark, *learned):
-    rows = spark.createDataFrame([(t, True) for t in learned] + [("", False)], "text string, learn boolean")
-    return grams.count(rows, "learn")
+def test_mixed_contexts_come_back():
+    x = np.random.default_rng(0).integers(0, 1 << 32, 1000).astype(np.uint64)
+    assert (ctw.unmix32(ctw.mix32(x)) == x).all() and len(np.unique(ctw.mix32(x) >> np.uint64(27))) == 32
 
 
-def sums_to_one(model, context):
-    """Whether the probabilities of all bytes after a context sum up to one; a byte that isn't in the table is
-    looked up by a model that has seen it in a text that isn't learned."""
-    return sum(10**v for k, v in model.items() if k >> 8 == context)
+def test_pieces_of_a_long_text_are_its_grams(monkeypatch):
+    texts = [b"abra cadabra abra", b"", b" x" * 40]
+    want = [np.concatenate(x) for x in zip(*ctw.gram_ids(texts))]
+    monkeypatch.setattr(ctw, "PIECE", 5)
+    got = [np.concatenate(x) for x in zip(*ctw.gram_ids(texts))]
+    assert (want[0] == got[0]).all() and (want[1] == got[1]).all() and len(want[0]) == 17 + 1 + 1 + 80 + 1
 
 
-def test_context_tree_against_definition(spark):
-    learned = "abracadabra abra"
-    every = [bytes([0, 0, 0, 0])] + [("\0" * 4 + learned)[i : i + 4].encode() for i in range(len(learned) + 1)]
-    all_bytes = [int.from_bytes(c + bytes([b]), "big") for c in every[:3] for b in range(256)]
-    table = gram_table(spark, learned)
-    known = {r.gram: r.n for r in table.collect()}
-    more = spark.createDataFrame([(g, 0) for g in all_bytes if g not in known], "gram long, n long")
-    model = {r.gram: r.value for r in ctw.fit(table.unionByName(more)).collect()}
-    for context in every[:3]:
-        assert sums_to_one(model, int.from_bytes(context, "big")) == pytest.approx(1, abs=1e-9)
+@pytest.mark.parametrize("hot,shards", [(1 << 19, 1), (1, 8)])
+def test_context_tree_against_definition(spark, monkeypatch, hot, shards):
+    monkeypatch.setattr(ctw, "HOT_GRAMS", hot)
+    monkeypatch.setattr(sharded, "HOT", 2 if hot == 1 else 1 << 17)
+    monkeypatch.setattr(sharded, "LEAST_SHARDS", shards)
+    learned, other = ["abra cadabra abra cadabra ab", "the cab"], "abra cab dab"
+    rows = [(0, learned[0], True), (1, learned[1], True), (2, other, False)]
+    got = {r.k: r.score for r in ctw.score(spark.createDataFrame(rows, "k long, t string, l boolean").repartition(2), F.col("l"), "k", "t").collect()}
 
-    data = b"\0" * 4 + learned.encode() + b"\0"
-    places = range(4, len(data))
+    data = [b"\0" * 8 + t.encode() + b"\0" for t in learned]
+    every = data + [b"\0" * 8 + other.encode() + b"\0"]
+    places = [(d, p) for d in data for p in range(8, len(d))]
+    longer_by = lambda c: 8 if len(c) == 4 and c[3:] in b" \t\n" else 0 if len(c) >= 4 else len(c) + 1
 
     def decisions(context, prefix):
         """(zeros, ones) after a context, of the bytes whose upper bits are the prefix."""
-        found = [data[p] for p in places if data[p - len(context) : p] == context]
-        bits = [b >> (7 - len(prefix)) & 1 for b in found if not prefix or format(b, "08b").startswith(prefix)]
+        found = [d[p] for d, p in places if d[p - len(context) : p] == context]
+        bits = [x >> (7 - len(prefix)) & 1 for x in found if not prefix or format(x, "08b").startswith(prefix)]
         return bits.count(0), bits.count(1)
 
     def own(context, prefix):
@@ -354,23 +356,39 @@ def test_context_tree_against_definition(spark):
         return math.exp(math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1)) / math.pi
 
     def mixed(context, prefix):
-        if len(context) == 4:
+        depth = longer_by(context)
+        if not depth:
             return own(context, prefix)
-        longer = {bytes([data[p - len(context) - 1]]) + context for p in places if data[p - len(context) : p] == context}
+        longer = {d[p - depth : p] for d, p in places if d[p - len(context) : p] == context}
         return 0.5 * own(context, prefix) + 0.5 * math.prod(mixed(x, prefix) for x in longer)
 
     def likely(context, prefix, bit, path):
         a, b = decisions(context, prefix)
         p = ((a, b)[bit] + 0.5) / (a + b + 1)
-        if len(context) == 4:
+        depth = longer_by(context)
+        if not depth:
             return p
         w = 0.5 * own(context, prefix) / mixed(context, prefix)
-        return w * p + (1 - w) * likely(path[len(path) - len(context) - 1 :], prefix, bit, path)
+        return w * p + (1 - w) * likely(path[-depth:], prefix, bit, path)
+
+    for k, d in enumerate(every):
+        want = 0.0
+        for p in range(8, len(d)):
+            bits = format(d[p], "08b")
+            want += sum(math.log10(likely(b"", bits[:j], int(bits[j]), d[p - 8 : p])) for j in range(8))
+        assert got[k] == pytest.approx(want, rel=1e-5)
+
 
-    for p in (4, 9, len(data) - 1):
-        bits = format(data[p], "08b")
-        value = math.prod(likely(b"", bits[:k], int(bits[k]), data[p - 4 : p]) for k in range(8))
-        assert 10 ** model[int.from_bytes(data[p - 4 : p + 1], "big")] == pytest.approx(value, rel=1e-9)
+def test_bytes_after_a_context_sum_to_one(spark):
+    """All bytes are among the texts, so their probabilities after one context are in the table."""
+    text = "ab cd "
+    rows = [(0, text * 3, True)] + [(x + 1, text + chr(x), False) for x in range(1, 128) if not 65 <= x <= 90] + [(0, text, False)]
+    df = spark.createDataFrame(rows, "key long, t string, learn boolean")
+    table = ctw.fit(sharded.count(df, ctw.gram_ids, 0, every=True), 0).first()
+    ids, values = sharded.unpack_sorted(table.ids), sharded.unpack(table["values"], np.float32)
+    context = list(ctw.gram_ids([text.encode()]))[0][0][-1] >> np.uint64(8)
+    seen = sum(10.0 ** values[ids >> np.uint64(8) == context].astype(float))
+    assert 0.9 < seen <= 1 + 1e-6  # bytes above 127 and A-Z are not among the texts
 
 
 def test_scores(spark, texts):
@@ -395,9 +413,13 @@ def test_scores_of_odd_texts(odd, none):
 
 
 def test_shards_don_t_change_scores(odd, monkeypatch):
-    want = sorted((str(r.doc_id), round(r.score, 6), r.n_tokens) for r in ctw.score(odd, F.lit(True)).collect())
-    monkeypatch.setattr(grams, "SHARD", 7)
-    assert sorted((str(r.doc_id), round(r.score, 6), r.n_tokens) for r in ctw.score(odd, F.lit(True)).collect()) == want
+    rounded = lambda: sorted((str(r.doc_id), round(r.score, 3), round(r.base_score, 6), r.n_tokens, r.n_known) for r in ctw.score(odd, F.lit(True)).collect())
+    want = rounded()
+    monkeypatch.setattr(ctw, "HOT_GRAMS", 1)
+    monkeypatch.setattr(sharded, "HOT", 1)
+    monkeypatch.setattr(sharded, "LEAST_SHARDS", 4)
+    monkeypatch.setattr(sharded, "CHUNK", 5)
+    assert rounded() == want
 
 
 def plain_kneser_ney(learned):
