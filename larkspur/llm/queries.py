@@ -83,9 +83,16 @@ def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def labelled_good(spark: SparkSession, sf_dir: str, docs: DataFrame) -> DataFrame:
+    """The rows of documents that labels calls good."""
+    good = read(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("good"))
+    return docs.join(good, F.col("doc_id") == F.col("good"), "left_semi")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base figures and verdict of each document."""
-    out = divergence.measured(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    """Base figures and verdict of each document, the references estimated from documents labelled good."""
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = divergence.measured(documents, labelled_good(spark, sf_dir, documents))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -94,23 +101,14 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_exact_top
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
-def js_sql(counts: list[str], shares: tuple[float, ...]) -> str:
+def js_sql(counts: str, total: str, shares: str) -> str:
     """divergence.js_distance in SQL."""
-    total = " + ".join(f"({c})" for c in counts)
-    terms = []
-    for c, q in zip(counts, shares):
-        p, m = f"(({c}) / ({total}))", f"((({c}) / ({total}) + {q!r}) / 2)"
-        terms.append(f"CASE WHEN ({c}) > 0 THEN {p} * log2({p} / {m}) ELSE 0 END + {q!r} * log2({q!r} / {m})")
-    return f"CASE WHEN {total} > 0 THEN sqrt(greatest(({' + '.join(terms)}) / 2, 0)) END"
-
-
-def hits_sql(k: int) -> str:
-    """How many words are the k-th commonest of the document's language."""
-    cases = " ".join(f"WHEN '{name}' THEN '{common[k]}'" for name, common in divergence.COMMON.items())
-    return f"len(list_filter(w, lambda x: lower(x) = CASE lang {cases} END))"
+    p, q = f"(({counts})[i] / ({total}))", f"({shares})[i]"
+    m = f"(({p} + {q}) / 2)"
+    term = f"CASE WHEN {p} > 0 THEN {p} * log2({p} / {m}) ELSE 0 END / 2 + CASE WHEN {q} > 0 THEN {q} * log2({q} / {m}) ELSE 0 END / 2"
+    return f"CASE WHEN {total} > 0 THEN sqrt(greatest(list_sum(list_transform(range(1, len({shares}) + 1), lambda i: {term})), 0)) END"
 
 
-HITS = [hits_sql(k) for k in range(len(divergence.SHARES))]
 CLASSES = ["chars - word_chars", "upper", "digits", "symbols", "ascii - symbols", "word_chars - upper - digits - ascii"]
 ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')"
 
@@ -132,10 +130,20 @@ SQL = {
         f AS (SELECT d.doc_id, lang, w, length(t) AS chars, len(w) AS n_words, length(dense) AS word_chars, length(regexp_replace(dense, '[^#*$%&|<>]+', '', 'g')) AS symbols,
                 length(regexp_replace(dense, '[^A-Z]+', '', 'g')) AS upper, length(regexp_replace(dense, '[^0-9]+', '', 'g')) AS digits, length(regexp_replace(dense, '[^!-/:-@\\[-`{{-~]+', '', 'g')) AS ascii,
                 list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN c ON c.doc_id = d.doc_id),
-        j AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, CASE WHEN chars >= {divergence.CLASS_CHARS} THEN {js_sql(CLASSES, divergence.CLASSES)} END AS class_js,
-                CASE WHEN lang IN ('en', 'de', 'fr', 'es') AND n_words >= {divergence.COMMON_WORDS} THEN {js_sql([*HITS, "n_words - (" + " + ".join(HITS) + ")"], (*divergence.SHARES, 1 - sum(divergence.SHARES)))} END AS common_js FROM f)
+        k AS (SELECT *, [{', '.join(CLASSES)}] AS class_counts, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
+        good AS (SELECT * FROM k WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+        sums AS (SELECT lang, count(*) AS docs, [{', '.join(f'sum(class_counts[{i}])' for i in range(1, 7))}] AS s FROM good GROUP BY lang),
+        every AS (SELECT [{', '.join(f'sum(s[{i}])' for i in range(1, 7))}] AS s, sum(docs) AS docs FROM sums),
+        words AS (SELECT lang, x AS word, count(*) AS n FROM (SELECT lang, lower(unnest(w)) AS x FROM good) GROUP BY ALL),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS rank, sum(n) OVER (PARTITION BY lang) AS total FROM words),
+        top AS (SELECT lang, list(word ORDER BY rank) AS listed, list_append(list(n / total ORDER BY rank), 1 - sum(n) / any_value(total)) AS shares FROM ranked WHERE rank <= {divergence.RANKS} GROUP BY lang),
+        refs AS (SELECT s.lang, list_transform(s.s, lambda x: x / list_sum(s.s)) AS classes, listed, shares FROM sums s LEFT JOIN top t ON t.lang IS NOT DISTINCT FROM s.lang WHERE docs >= {divergence.LEAST}),
+        h AS (SELECT k.*, listed, shares, CASE WHEN r.classes IS NOT NULL THEN r.classes WHEN (SELECT docs FROM every) >= {divergence.LEAST} THEN (SELECT list_transform(s, lambda x: x / list_sum(s)) FROM every) ELSE [{', '.join(f'{x!r}::DOUBLE' for x in divergence.CLASSES)}] END AS classes,
+                list_transform(listed, lambda c: len(list_filter(w, lambda x: lower(x) = c))) AS hits FROM k LEFT JOIN refs r ON r.lang IS NOT DISTINCT FROM k.lang),
+        j AS (SELECT *, CASE WHEN chars >= {divergence.CLASS_CHARS} THEN {js_sql('class_counts', 'chars', 'classes')} END AS class_js,
+                CASE WHEN listed IS NOT NULL AND n_words >= {divergence.COMMON_WORDS} THEN {js_sql('list_append(hits, n_words - list_sum(hits)::BIGINT)', 'n_words', 'shares')} / {js_sql('list_append(list_transform(hits, lambda x: 0), 1)', '1', 'shares')} END AS common_js FROM h)
         SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-            NOT base_failed AND coalesce(class_js, 0) <= {divergence.CLASS_DISTANCE} AND coalesce(common_js, 0) <= {divergence.COMMON_DISTANCE} AS kept FROM j""",
+            NOT base_failed AND coalesce(class_js, 0) <= {divergence.CLASS_DISTANCE} AND coalesce(common_js, 0) <= {divergence.COMMON_SHARE} AS kept FROM j""",
     "op3_exact_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings

@@ -600,10 +600,12 @@ def test_quality_figures(spark, texts):
 
 
 def test_js_distance(spark):
-    p, q = np.array([6, 3, 1]) / 10, np.array([0.5, 0.2, 0.3])
+    p, q = np.array([6, 3, 1, 0]) / 10, np.array([0.5, 0.2, 0.0, 0.3])
     m = (p + q) / 2
-    want = math.sqrt((np.sum(p * np.log2(p / m)) + np.sum(q * np.log2(q / m))) / 2)
-    row = spark.range(1).select(divergence.js_distance(F.array(F.lit(6), F.lit(3), F.lit(1)), F.lit(10), tuple(q)).alias("a"), divergence.js_distance(F.array(F.lit(0), F.lit(0)), F.lit(0), (0.5, 0.5)).alias("b")).first()
+    half = lambda x: sum(a * math.log2(a / b) for a, b in zip(x, m) if a)
+    want = math.sqrt((half(p) + half(q)) / 2)
+    array = lambda *x: F.array(*map(F.lit, x))
+    row = spark.range(1).select(divergence.js_distance(array(6, 3, 1, 0), F.lit(10), array(*map(float, q))).alias("a"), divergence.js_distance(array(0, 0), F.lit(0), array(0.5, 0.5)).alias("b")).first()
     assert row.a == pytest.approx(want) and row.b is None
 
 
@@ -613,16 +615,37 @@ def test_quality_of_odd_rows(odd, none):
     assert divergence.kept_rows(odd).columns == odd.columns and divergence.kept_rows(none).count() == 0
 
 
+COMMON = {"en": "the of and to a in is that", "de": "der die und in den von zu das"}
+
+
+def prose(lang, seed, listed=True):
+    rng = np.random.default_rng(seed)
+    common, shares = COMMON[lang].split(), np.array([0.055, 0.03, 0.024, 0.018, 0.015, 0.012, 0.01, 0.008])
+    rest = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{lang}bla" for i in range(600)]
+    words = rng.choice([*common, *rest], 300, p=[*shares, *[(1 - shares.sum()) / 600] * 600]) if listed else rng.choice(rest, 300)
+    return " ".join(words) + "."
+
+
 def test_texts_without_common_words_are_rejected(spark):
-    rest = "water stone garden letter winter morning silver market".split()
-    rows = []
-    for lang, common in divergence.COMMON.items():
-        for k, chosen in enumerate((rest, common)):
-            words = [chosen[i // 4 % 8] if i % 4 == 0 else f"{rest[i % 8]}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
-            rows.append((10 * len(rows) + k, " ".join(words) + ".", lang))
-    got = divergence.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("row.doc_id", "class_js", "base_failed", "kept").collect()
-    assert all(r.class_js <= divergence.CLASS_DISTANCE and not r.base_failed for r in got)
-    assert {r.doc_id: r.kept for r in got} == {i: i % 10 == 1 for i, _, _ in rows}
+    rows = [(100 * k + i, prose(lang, 100 * k + i), lang) for k, lang in enumerate(COMMON) for i in range(60)]
+    trusted = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    known = {r.lang: r for r in divergence.references(trusted).collect() if not r.every}
+    assert {lang: " ".join(r.listed[:3]) for lang, r in known.items()} == {"en": "the of and", "de": "der die und"}
+    assert all(sum(r.shares) == pytest.approx(1) and sum(r.classes) == pytest.approx(1) for r in known.values())
+    new = [(1, prose("en", 7001), "en"), (2, prose("en", 7002, False), "en"), (3, prose("en", 7003), "de"), (4, prose("en", 7004, False), "xx"), (5, prose("de", 7005), "de")]
+    got = {r.id: r for r in divergence.measured(spark.createDataFrame(new, "doc_id long, text string, lang string"), trusted).select(F.col("row.doc_id").alias("id"), "class_js", "common_js", "kept").collect()}
+    assert {i: r.kept for i, r in got.items()} == {1: True, 2: False, 3: False, 4: True, 5: True}
+    assert got[2].common_js == pytest.approx(1) and got[4].common_js is None and all(r.class_js <= 0.2 for r in got.values())
+
+
+def test_references_follow_the_language(spark):
+    """Prose without spaces is judged by its own language's classes."""
+    text = "这是一个没有空格的句子它很长" * 12
+    rows = [(i, " ".join(text[j : j + 40] for j in range(i % 5, 160, 14)), "zh") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.kept for r in divergence.measured(df, df).select("class_js", "kept", "base_failed").filter("not base_failed").collect()} <= {True}
+    few = divergence.references(df.limit(5))
+    assert few.count() == 0 and divergence.measured(df, df.limit(5)).count() == 40
 
 
 def test_odd_rows_of_text_operators(odd, none):
