@@ -1,4 +1,7 @@
-"""Times the headline queries; prints one line of JSON."""
+"""Times the headline queries; prints one line of JSON.
+
+index_build makes the stored lexical index, which the lexical queries after it read; it counts as a query of its own.
+"""
 
 import json
 import os
@@ -8,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from larkspur.plans import queries as plans
 
-HEADLINE = "term_frequencies detected_rooms bm25_single bm25_passages vector_search hybrid hybrid_sweep multiview tunnels graph_triples graph_as_of_all graph_contradictions session_views recall_by_answer summary".split()
+HEADLINE = "index_build term_frequencies detected_rooms bm25_single bm25_passages vector_search hybrid hybrid_sweep multiview tunnels graph_triples graph_as_of_all graph_contradictions session_views recall_by_answer summary".split()
 
 
 def main() -> None:
@@ -20,7 +23,10 @@ def main() -> None:
     took = {}
     for name in HEADLINE:
         began = time.time()
-        plans.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+        if name == "index_build":
+            plans.stored_index(spark, folder)
+        else:
+            plans.QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "headline queries", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(folder).removeprefix("sf")}))
 

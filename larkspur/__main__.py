@@ -35,6 +35,9 @@ def parser() -> argparse.ArgumentParser:
     wake = commands.add_parser("wake-up")
     wake.add_argument("--wing")
     commands.add_parser("reindex")
+    benchmark = commands.add_parser("benchmark")
+    benchmark.add_argument("--drawers", type=int, default=1000)
+    benchmark.add_argument("--queries", type=int, default=10)
     kg = commands.add_parser("kg").add_subparsers(dest="action", required=True)
     for name in ("add", "invalidate"):
         k = kg.add_parser(name)
@@ -58,7 +61,11 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("larkspur").getOrCreate()
     embed = Embedder(*c.embeddings) if c.enabled(c.embeddings) else HashEmbedder()
     memory = Memory(spark, a.root or c.root, embed, Chat(*c.chat, most=80) if c.enabled(c.chat) else None)
-    if a.command == "mine":
+    if a.command == "benchmark":
+        from larkspur import benchmark
+
+        print(json.dumps(benchmark.run(spark, a.drawers, queries=a.queries)))
+    elif a.command == "mine":
         print(json.dumps(memory.mine(a.folder, a.wing)))
     elif a.command == "search":
         sessions = [x.strip() for x in (a.session_ids or "").split(",") if x.strip()]

@@ -34,19 +34,22 @@ class Memory:
 
     def add(self, items: DataFrame) -> int:
         """Adds items (content, wing, room[, hall, source_file, source_type]); returns how many were new."""
-        stored = self.tables.read("drawers")
+        since, state = self.tables.state()
+        stored = self.tables.parts("drawers", state.get("drawers", []))
         last = stored.agg(F.coalesce(F.max("drawer_id"), F.lit(0))).first()[0]
         new = store.add_drawers(stored, items.withColumn("drawer_id", F.monotonically_increasing_id()))
-        path = f"{self.root}/.new"
-        new.select("drawer_id", *[c for c in stored.columns if c != "drawer_id"]).write.mode("overwrite").parquet(path)
-        new = self.spark.read.schema(stored.schema).parquet(path)
+        part = self.tables.write("drawers", new.withColumn("drawer_id", F.lit(last + 1) + F.col("drawer_id")))
+        new = self.tables.parts("drawers", [part])
         n = new.count()
-        if n:
-            new = new.withColumn("drawer_id", F.lit(last + 1) + F.col("drawer_id"))
-            self.tables.append("drawers", new)
-            self.tables.replace("postings", self.tables.read("postings").unionByName(lexical.postings(new)), "term")
+        if n:  # drawers and their postings count at once or not at all
+            index = self.tables.write("postings", lexical.postings(new), "term")
+            self.tables.commit(since, {"drawers": self.tables.longer("drawers", part), "postings": self.tables.longer("postings", index, "term")})
         return n
 
+    def drawer(self, drawer_id: int) -> DataFrame:
+        """The drawer of that id, or no row."""
+        return store.got(self.tables.read("drawers"), self.spark.createDataFrame([(drawer_id,)], "drawer_id long"))
+
     def mine(self, folder: str, wing: str | None = None) -> dict:
         """Takes in the text files below a folder."""
         wing = wing or os.path.basename(folder.rstrip("/"))
@@ -91,7 +94,7 @@ class Memory:
         index, vectors = self.tables.read("postings"), store.latest(self.tables.read("embeddings"), ["drawer_id"], "seq")
         if mode in ("vector", "hybrid") and self.embed:
             v = self.embed([query])[0] if query.strip() else []
-            asked = asked.withColumn("query_vector", F.array(*map(F.lit, v)).cast("array<float>"))
+            asked = self.spark.createDataFrame([(0, query, [float(x) for x in v])], "query_id long, query string, query_vector array<float>")
             if query2doc and self.complete:
                 asked = fusion.expanded(asked, self.complete, self.embed)
         elif mode in ("vector", "hybrid"):
@@ -183,7 +186,7 @@ def tools(memory: Memory) -> dict[str, Callable[[dict], str]]:
         return "added"
 
     return {
-        "search": search, "add_drawer": add, "status": lambda a: lines(memory.status()), "wake_up": lambda a: memory.wake_up(a.get("wing") or None),
+        "search": search, "add_drawer": add, "get_drawer": lambda a: lines(memory.drawer(int(a.get("id", 0)))), "status": lambda a: lines(memory.status()), "wake_up": lambda a: memory.wake_up(a.get("wing") or None),
         "kg_query": lambda a: lines(memory.facts(str(a.get("entity", "")), a.get("as_of") or None)), "kg_add": add_fact,
         "list_wings": lambda a: lines(memory.wings()), "list_rooms": lambda a: lines(memory.rooms(str(a.get("wing", "")))),
     }

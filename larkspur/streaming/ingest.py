@@ -12,8 +12,8 @@ from larkspur.operators import store
 
 
 def into(stream: DataFrame, memory: Memory, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Adds a stream of items (content, wing, room[, ...]) to a store, batch by batch. A batch that is run again adds
-    nothing, as contents are kept once."""
+    """Adds a stream of items (content, wing, room[, ...]) to a store, batch by batch; a batch writes its own drawers and
+    postings and commits them at once. A batch that is run again adds nothing, as contents are kept once."""
     writer = stream.writeStream.foreachBatch(lambda batch, _: memory.add(batch)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 

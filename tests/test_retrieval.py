@@ -74,6 +74,39 @@ def test_vectors(spark):
     assert {r.k: r.vector for r in means.collect()} == {"a": [2.0, 3.0], "b": None}
 
 
+def test_many_queries_meet_all_vectors(spark, monkeypatch):
+    """Blocks of queries find what one matrix finds, and sessions are merged alike by tasks and by pairs."""
+    rng = np.random.default_rng(2)
+    v = vectors(spark, [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(90, 5)))] + [(99, [1.0, 0.0])])
+    q = vector_query(spark, *[x.tolist() for x in rng.normal(size=(9, 5))], [])
+    views = v.withColumns({"source_file": F.floor(F.col("drawer_id") / 4).cast("string"), "hall": F.concat(F.lit("L"), (F.col("drawer_id") % 4).cast("string"))})
+    weights = {"L0": 0.2, "L1": 0.5, "L2": 0.3}
+    scored = vector.search(v, q, 200).join(views.select("drawer_id", "source_file", "hall"), "drawer_id")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.source_file if "source_file" in df.columns else r.drawer_id, round(r.score, 6)) for r in df.collect())
+    want = rows(vector.search(v, q, 7)), *(rows(fusion.merged_views(scored, weights, mode, 6)) for mode in ("max", "sum"))
+    assert tuple(rows(fusion.session_search(views, q, weights, mode, 6)) for mode in ("max", "sum")) == want[1:]
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    assert (rows(vector.search(v, q, 7)), *(rows(fusion.session_search(views, q, weights, mode, 6)) for mode in ("max", "sum"))) == want
+
+
+def test_stored_index_gives_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(["running", "runs", "apples", "apple", "trying", "the", "sky"]) for _ in range(rng.randint(0, 6)))) for i in range(50)], "drawer_id long, content string")
+    q = asked(spark, "run apples", "sky sky", "", "none")
+    rows = lambda index: sorted((r.query_id, r["rank"], r.drawer_id, round(r.score, 9)) for r in lexical.bm25(index, q, 10).collect())
+    want = rows(lexical.postings(docs))
+    index = lexical.stored(lexical.postings(docs, corpus=True))
+    assert rows(index) == want and len(want) > 10
+    monkeypatch.setattr(lexical, "BROADCAST_TERMS", 0)
+    assert rows(index) == want
+
+
+def test_types_beyond_a_thousand(spark):
+    means = spark.range(1500).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("type"), F.array(F.cos(F.col("id") / 1000), F.sin(F.col("id") / 1000)).cast("array<float>").alias("vector"))
+    q = vector_query(spark, [math.cos(1.4), math.sin(1.4)], [math.cos(0.2), math.sin(0.2)])
+    assert {r.query_id: r.type for r in classify.nearest_anchor(q, means).collect()} == {0: "t1400", 1: "t200"}
+
+
 def test_codec_column(spark):
     v = vectors(spark, [(1, [1.5, 2.0]), (2, None)])
     back = v.select("drawer_id", vector.coded(vector.coded(F.col("vector")), True).alias("v")).collect()
@@ -131,8 +164,13 @@ def test_graph_index_recall(spark, tmp_path):
     for out, df in ((got, ann.search(index, q, 10)), (want, vector.search(v, q, 10))):
         for r in df.collect():
             out.setdefault(r.query_id, set()).add(r.drawer_id)
-    assert sum(len(got[k] & want[k]) for k in want) / 500 >= 0.85
+    assert sum(len(got[k] & want[k]) for k in want) / 500 >= 0.9
+    assert [r.bytes > 1000 * 64 * 4 for r in ann.listing(spark, {"one": str(tmp_path / "ann")}).collect()] == [True]
+    shards = ann.search(ann.build(v, 4), q, 10).collect()
+    assert sum(r.drawer_id in want[r.query_id] for r in shards) / 500 >= 0.9
     g = ann.Graph(64).fill(range(200), data[:200])
+    again = ann.Graph(64).fill(range(200), data[:200]).fill([3], -data[3:4])
+    assert 3 not in [i for i, _ in again.search(data[3], 5)] and again.search(-data[3], 1)[0][0] == 3
     back = ann.Graph.load(64, g.ids, g.vectors, g.dump())
     assert back.search(queries[0], 5) == g.search(queries[0], 5)
 

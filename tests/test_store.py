@@ -139,6 +139,55 @@ def test_memory(spark, tmp_path):
     assert "Kai" in t["kg_query"]({"entity": "Kai"}) and "drawers=3" in t["status"]({}) and "CRITICAL FACTS" in t["wake_up"]({})
 
 
+def test_blank_queries_and_lookups(spark, tmp_path):
+    m = Memory(spark, str(tmp_path / "store"), models.HashEmbedder(16))
+    m.add(spark.createDataFrame([("alpha beta", "w", "r")], "content string, wing string, room string"))
+    m.reindex()
+    for mode in ("bm25", "vector", "hybrid"):
+        assert m.search("  ", mode).count() == 0
+    one = m.search("alpha", "bm25").first().drawer_id
+    assert m.drawer(one).first().content == "alpha beta" and m.drawer(one + 1).count() == 0
+    assert "content=alpha beta" in tools(m)["get_drawer"]({"id": one})
+
+
+def test_a_failed_write_leaves_no_trace(spark, tmp_path, monkeypatch):
+    """Drawers whose postings fail don't count; the next run adds both."""
+    m = Memory(spark, str(tmp_path / "store"))
+    items = spark.createDataFrame([("alpha beta", "w", "r"), ("gamma", "w", "r")], "content string, wing string, room string")
+    whole = m.tables.write
+    monkeypatch.setattr(m.tables, "write", lambda name, *a: 1 / 0 if name == "postings" else whole(name, *a))
+    with pytest.raises(ZeroDivisionError):
+        m.add(items)
+    assert m.status().first().drawers == 0 and m.tables.read("postings").count() == 0
+    monkeypatch.undo()
+    assert m.add(items) == 2 and m.add(items) == 0 and m.search("gamma", "bm25").count() == 1
+
+
+def test_appends_write_what_is_new(spark, tmp_path, monkeypatch):
+    from larkspur.sources import tables
+
+    t = tables.Tables(spark, str(tmp_path / "t"))
+    row = lambda i: spark.createDataFrame([("a", i, 0.5)], tables.SCHEMAS["postings"])
+    t.append("postings", row(1))
+    first = t.state()[1]["postings"]
+    t.append("postings", row(2), "term")
+    assert t.state()[1]["postings"][:1] == first and sorted(r.drawer_id for r in t.read("postings").collect()) == [1, 2]
+    since, _ = t.state()
+    t.append("postings", row(3))
+    with pytest.raises(RuntimeError):
+        t.commit(since, {"postings": []})
+    monkeypatch.setattr(tables, "MOST_PARTS", 2)
+    t.append("postings", row(4))
+    assert len(t.state()[1]["postings"]) == 1 and t.read("postings").count() == 4
+
+
+def test_benchmark(spark, tmp_path):
+    from larkspur import benchmark
+
+    took = benchmark.run(spark, 60, 8, 3, str(tmp_path / "b"))
+    assert set(took) == {"insert", "index", "bm25", "scan", "graph_build", "graph", "hybrid"}
+
+
 def test_stream(spark, tmp_path):
     from larkspur.streaming import ingest
 
