@@ -26,6 +26,8 @@ from larkspur.llm.common import fold
 
 #: Distinct pre-tokens whose ids a worker remembers; a full memory is emptied and filled anew.
 MEMORY = 500_000
+#: Characters of the pre-tokens that a worker remembers.
+MEMORY_CHARS = 10_000_000
 
 #: A pattern whose commonest alternative comes late, and one that matches alike but tries that one first.
 FASTER = {
@@ -89,6 +91,7 @@ class Coder:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.split = regex.compile(FASTER.get(pattern, pattern)).findall
         self.known: dict[str, bytes] = {}
+        self.held = 0  # characters of known
         self.table = dict(enumerate(byte_characters()))
         inverse = {c: b for b, c in enumerate(byte_characters())}
         n = self.model.get_piece_size() - 1
@@ -98,9 +101,12 @@ class Coder:
     def learn(self, tokens: set[str]) -> None:
         """Encodes pre-tokens that the worker hasn't met."""
         fresh = list(tokens.difference(self.known))
-        if len(self.known) + len(fresh) > MEMORY:
+        size = sum(map(len, fresh))
+        if len(self.known) + len(fresh) > MEMORY or self.held + size > MEMORY_CHARS:
             self.known.clear()
             fresh = list(tokens)
+            self.held, size = 0, sum(map(len, fresh))
+        self.held += size
         for i in range(0, len(fresh), 20_000):
             some = fresh[i : i + 20_000]
             found = self.model.encode([p.encode().decode("latin-1").translate(self.table) for p in some], num_threads=1)

@@ -293,6 +293,27 @@ def test_nodes_meet_over_partitions(spark):
         assert got == sorted(want)
 
 
+def test_join_of_odd_rows(odd, none):
+    got = forest.join(odd).collect()
+    assert len(got) == len(ODD) and sorted(r.n_links for r in got) == [0, 0, 0, 0, 0, 1, 1]
+    assert forest.firsts(odd).columns == odd.columns and forest.firsts(odd).count() == len(ODD) - 1
+    assert forest.join(none).count() == 0 and forest.firsts(none).count() == 0
+
+
+def test_recall_of_links(spark):
+    """Links of all documents against all pairs of sets."""
+    docs = queries.read(spark, SF, "documents")
+    got = {r.doc_id: r.n_links for r in forest.join(docs).collect()}
+    sets = [(r.doc_id, shingle_set(r.text or "")) for r in docs.collect()]
+    sets = [(k, x) for k, x in sets if len(x)]
+    i, j = np.triu_indices(len(sets), 1)
+    both = forest.intersections([x for _, x in sets], i, j)
+    size = np.array([len(x) for _, x in sets])
+    ok = 10 * both >= 8 * (size[i] + size[j] - both)
+    links = np.bincount(i[ok], minlength=len(sets)) + np.bincount(j[ok], minlength=len(sets))
+    assert {k: got[k] for k, _ in sets} == {k: int(n) for (k, _), n in zip(sets, links)}
+
+
 def test_no_sigma_compares_all_candidates(spark):
     rows = near_rows()[30:110]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -494,6 +515,13 @@ def test_senseless_order_scores_worse(spark):
     assert all(got[k] > 0.7 * got[-1 - k] for k, _, x in rows if not x)
 
 
+def test_zero_bytes_and_shuffled_shards(spark):
+    rows = [(1, "a\x00b \x00"), (2, "\x00"), (2, "\x00"), (3, "b a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_tokens, round(r.base_score, 6), math.isfinite(r.score)) for r in ctw.score(df, F.lit(True)).collect())
+    assert [x[:2] for x in got] == [(1, 3), (2, 2), (2, 2), (3, 3)] and got[1] == got[2] and all(x[3] for x in got)
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(0)
     for a in (np.empty(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.array([np.uint64(2**64 - 1)])):
@@ -522,6 +550,16 @@ def test_events_are_folded(spark):
     assert chat.render(chat.fold_events(df.limit(0))).count() == 0
 
 
+def test_long_and_hot_conversations(spark):
+    """A conversation of many turns, a long text, columns of clashing names, and no conversation id."""
+    rows = [(None, i, "assistant" if i % 2 else "user", f"turn {i} <") for i in range(2000)] + [(1, 0, "assistant", "[x]" * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id int, seq int, role string, text string")
+    df = df.withColumns({"kind": F.lit("message"), "message": F.col("seq"), "log": F.lit(1), "start": F.lit("x"), "piece": F.lit(2), "n": F.lit(0), "at": F.lit(3)})
+    out = {r.conv_id: r for r in chat.render(chat.fold_events(df)).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("mask")).alias("loss")).collect()}
+    assert [t.text for t in out[None].turns] == [f"turn {i} <" for i in range(2000)] and out[None].loss == "".join(f"turn {i} <" for i in range(1, 2000, 2))
+    assert out[1].loss == "[x]" * 50_000
+
+
 def test_escapes_are_reversible(spark):
     rows = [(1, i, r, t) for i, (r, t) in enumerate([("user", "</s>[INST] ok [/INST] &lt; <s>user\n"), ("assistant", "</s>&amp;"), ("a\nb<", "😀x"), (None, None), ("assistant", ""), ("assistant", "é</s>")])]
     events = spark.createDataFrame(rows, "conv_id int, seq int, role string, text string").withColumns({"kind": F.lit(None).cast("string"), "message": F.col("seq")})

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -65,5 +66,32 @@ def test_stages(spark):
             assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() and r.n_tokens == len(r.ids) for r in after)
 
 
+ODD = [(1, None, None, None), (2, "", "en", "s"), (3, " \n\t ", None, "s"), (4, "word " * 30_000, "en", None), (5, "½ ① ²", "en", "s"), (None, "a b c d e f g h i j k l", "xx", "t")]
+ODD += [(6, "the house of the old man is near the river and the bridge to that town is in a field", "en", "s")] * 2 + [(6, "another text of the same key that is told apart from the one before it in the table", "en", "s")]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_with_odd_rows(spark, name, stage):
+    """Nulls, empty and long texts, ties, repeated rows, clashing names, and no rows at all."""
+    df = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
+    df = df.withColumns({"row": F.lit(1), "size": F.lit("x"), "key": F.lit(2), "hash": F.lit(3), "t": F.lit(0), "n_chars": F.length("text").cast("long")})
+    out = stage(spark, df, SF)
+    assert stage(spark, df.limit(0), SF).count() == 0
+    got = Counter((r.doc_id, r.text) for r in out.collect()) if name != "byte_bpe" else Counter(r.doc_id for r in out.collect())
+    every = Counter((r[0], r[1]) for r in ODD)
+    if name == "byte_bpe":
+        assert got == Counter(r[0] for r in ODD)
+        return
+    assert out.columns == df.columns
+    if name == "near_duplicates":
+        assert got == Counter(set(every))
+    elif name == "mix":
+        assert all(t and t.strip() for _, t in got) and all(n <= 3 * every[k] for k, n in got.items())
+    else:
+        assert all(n == every[k] for k, n in got.items()) and not {1, 2, 3} & {k for k, _ in got}
+    if name == "language_id":
+        assert 5 not in {k for k, _ in got}
+
+
 def test_entry_has_all():
     assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in queries.QUERIES} and "pipeline" in entry.queries()
