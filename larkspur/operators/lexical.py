@@ -85,6 +85,23 @@ def bm25(index: DataFrame | Index, queries: DataFrame, limit: int = 5, filtered:
     return top(scores, limit)
 
 
+def postings_by(docs: DataFrame, store: str) -> DataFrame:
+    """Rows (store, term, drawer_id, tf) of documents (store, drawer_id, content) of many stores."""
+    return postings(docs, corpus=True).join(docs.select("drawer_id", store), "drawer_id").select(store, "term", "drawer_id", "tf")
+
+
+def bm25_by(index: DataFrame, queries: DataFrame, store: str, limit: int = 5) -> DataFrame:
+    """bm25 of queries (query_id, query, store) each within its own store, whose N and df count there; all stores in one
+    plan."""
+    asked = query_terms(queries).join(queries.select("query_id", F.col(store).alias("s")), "query_id").withColumnRenamed("term", "t")
+    counts = index.groupBy(F.col(store).alias("c"), F.col("term").alias("d")).agg(F.count("*").alias("df"))
+    sizes = index.groupBy(F.col(store).alias("z")).agg(F.countDistinct("drawer_id").alias("total"))
+    weight = F.col("qtf") * F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
+    asked = asked.join(counts, (F.col("s") == F.col("c")) & (F.col("t") == F.col("d"))).join(sizes, F.col("s") == F.col("z")).select("query_id", "s", "t", weight.alias("w"))
+    scores = index.join(asked, (F.col(store) == F.col("s")) & (F.col("term") == F.col("t"))).groupBy("query_id", "drawer_id").agg(F.sum(F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("score"))
+    return top(scores, limit)
+
+
 def top(scores: DataFrame, limit: int, by: str = "drawer_id") -> DataFrame:
     """Ranks within each query and keeps the best; ties by id, on scores rounded to 12 places so that the order of
     sums doesn't decide."""

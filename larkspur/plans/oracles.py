@@ -167,6 +167,11 @@ SQL = {
     "bm25_passages": f"WITH {bm25(PASSAGES, 10)} SELECT query_id, drawer_id, round(score, 9) AS score, rank FROM lexical",
     "bm25_wing": f"WITH {bm25(ONE, 5, where='''p.drawer_id IN (SELECT doc_id FROM documents WHERE source = 'src4' AND lang = 'en')''')} SELECT query_id::BIGINT AS query_id, drawer_id, round(score, 9) AS score, rank FROM lexical",
     "bm25_scope": f"WITH {bm25(PASSAGES, 5, where='''p.drawer_id IN (SELECT doc_id FROM documents WHERE source IN ('src1', 'src7'))''')} SELECT query_id, drawer_id, round(score, 9) AS score, rank FROM lexical",
+    "bm25_by_wing": f"""WITH {terms(PASSAGES)}, post AS (SELECT source, id AS drawer_id, term, n / sum(n) OVER (PARTITION BY id) AS tf FROM terms JOIN documents ON doc_id = id WHERE kind = 'd'),
+        df AS (SELECT source, term, count(*) AS df FROM post GROUP BY ALL), total AS (SELECT source, count(DISTINCT drawer_id) AS total FROM post GROUP BY 1),
+        scores AS (SELECT q.id AS query_id, p.drawer_id, sum(q.n * greatest(ln((total - df + 0.5) / (df + 0.5)), 0) * tf * 2.5 / (tf + 1.5)) AS score
+            FROM terms q JOIN post p ON p.term = q.term AND p.source = 'src' || (q.id % 20) JOIN df ON df.term = p.term AND df.source = p.source JOIN total ON total.source = p.source WHERE q.kind = 'q' GROUP BY ALL)
+        SELECT query_id, drawer_id, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(scores.score, 12) DESC, drawer_id))::INT AS rank FROM scores QUALIFY rank <= 10""",
     "vector_search": f"WITH {near(10)} SELECT query_id, drawer_id, round(score, 9) AS score, rank FROM dense",
     "vector_search_wing": f"WITH {near(5, where='v.label < 3')} SELECT query_id, drawer_id, round(score, 9) AS score, rank FROM dense",
     "label_means": "WITH x AS (SELECT label, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT label, i::INT AS i, round(avg(x), 9) AS x FROM x GROUP BY 1, 2",

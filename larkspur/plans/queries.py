@@ -166,6 +166,12 @@ def bm25_scope(spark, sf_dir):
     return rounded(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 5, narrowed), "score")
 
 
+def bm25_by_wing(spark, sf_dir):
+    """All passages, each within one wing that is a store of its own."""
+    own = passages(spark, sf_dir).withColumn("wing", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
+    return rounded(lexical.bm25_by(lexical.postings_by(items(spark, sf_dir), "wing"), own, "wing", 10), "score")
+
+
 def vector_search(spark, sf_dir):
     return rounded(vector.search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10), "score")
 
@@ -552,6 +558,6 @@ status wing_breakdown tunnels tunnels_between pending_embeddings embedded_count
 label_means hybrid hybrid_auto hybrid_sweep hybrid_recency multiview merged_views_sum merged_views_max blended_views question_types anchor_types graph_entities
 graph_triples graph_outgoing graph_incoming graph_both graph_as_of_all graph_timeline graph_stats graph_invalidated graph_contradictions graph_conflicts summary
 wake_up session_views session_chunks transcripts message_lines wanted_files mining sizes recall_by_answer recall_by_source recall_scoped confusion accuracy
-best_weights hits_by_size lenient_and_strict evidence_hits index_build message_tree team_messages got_drawers ann_sizes ann_recall reranked expanded_queries coded_vectors
+bm25_by_wing best_weights hits_by_size lenient_and_strict evidence_hits index_build message_tree team_messages got_drawers ann_sizes ann_recall reranked expanded_queries coded_vectors
 prepared_anchors put_entities normal_answers first_bytes session_order expected_by_class""".split()
 QUERIES = {name: globals()[name] for name in NAMES}

@@ -188,6 +188,32 @@ def test_benchmark(spark, tmp_path):
     assert set(took) == {"insert", "index", "bm25", "scan", "graph_build", "graph", "hybrid"}
 
 
+def test_question_sets(spark, tmp_path):
+    """From the JSON files of the three sets to recall."""
+    from larkspur.plans import harness
+
+    told = lambda *lines: [{"role": r, "content": c} for r, c in lines]
+    haystack = {"s1": told(("user", "my parrot is called Zaphod")), "s2": told(("user", "tea harbour lights"), ("assistant", "noted")), "s3": told(("user", "we walked up the glacier"))}
+    question = lambda i, kind, q, a, ids: {"question_id": i, "question_type": kind, "question": q, "answer": a, "haystack_sessions": [haystack[x] for x in ("s1", "s2", "s3")], "haystack_session_ids": ["s1", "s2", "s3"], "answer_session_ids": ids}
+    rows = [question("q1", "a", "what is the parrot called", "Zaphod", ["s1"]), question("q2", "a", "glacier walked", ["the", "glacier"], ["s2"]), question("q3", "b", "unheard matters", 7, ["s3"])]
+    (tmp_path / "sessions.json").write_text(json.dumps(rows))
+    for scoped in (False, True):
+        got = {(r.measure, r.type): (r.n, round(r.r1, 2), round(r.r10, 2)) for r in harness.sessions(files.read_sessions(spark, str(tmp_path / "sessions.json")), scoped).collect()}
+        assert got == {("text", "a"): (2, 100.0, 100.0), ("text", "b"): (1, 0, 0), ("text", None): (3, 66.67, 66.67), ("session", "a"): (2, 50.0, 50.0), ("session", "b"): (1, 0, 0), ("session", None): (3, 33.33, 33.33)}
+
+    said = lambda k, *texts: [{"speaker": "Ann", "dia_id": f"D{k}:{i}", "text": t} for i, t in enumerate(texts)]
+    talk = {"session_1": said(1, "violin lessons", "rainy Monday", "other things"), "session_2": said(2, "new bicycle", "sore knees", "more"), "session_1_date_time": "May"}
+    qa = [{"question": "violin", "answer": 1, "evidence": ["D1:0"], "category": 1}, {"question": "bicycle knees", "answer": "x", "evidence": ["D1:1"], "category": 5}]
+    (tmp_path / "talk.json").write_text(json.dumps([{"sample_id": "t", "qa": qa, "conversation": talk}]))
+    got = {r.category: (r.n, r.r1) for r in harness.dialogues(files.read_dialogues(spark, str(tmp_path / "talk.json")), 1).collect()}
+    assert got == {1: (1, 100.0), 5: (1, 0.0), None: (2, 50.0)}
+
+    talks = [{"id": f"c{i}", "containsEvidence": i < 2, "messages": [{"speaker": "u", "text": t}]} for i, t in enumerate(["blue kayak", "green kayak", "soup recipe", "train times"])]
+    (tmp_path / "cases.json").write_text(json.dumps([{"evidenceItems": [{"question": q, "answer": "x", "category": "c"} for q in ("blue", "green", "soup")], "conversations": talks, "contextSize": 4}]))
+    got = {r.context_size: (r.n, r.hits, r.strict_hits) for r in harness.evidence_cases(files.read_evidence_cases(spark, str(tmp_path / "cases.json"))).collect()}
+    assert got == {4: (3, 2, 1), None: (3, 2, 1)}
+
+
 def test_stream(spark, tmp_path):
     from larkspur.streaming import ingest
 
