@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import fold
 
 #: Rows that are learned from, at most: in all, and of one language.
-SAMPLE, EACH = 4000, 1000
+SAMPLE, EACH, SPARE = 4000, 1000, 4
 BUCKETS = 1 << 16
 DIMENSION = 16
 EPOCHS, BATCH, RATE = 5, 32, 0.1
@@ -173,11 +173,16 @@ def _loss(z: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(df: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Trains on a sample of the rows that fulfil the condition and have a text and a language: of each language the
-    EACH rows of the least hashes, of these the first, second and so on of all languages until there are SAMPLE."""
+    """Trains on a sample of the rows that fulfil the condition and have a text and a language, rows that repeat a key,
+    text and language taken once: of each language the EACH rows of the least hashes, of these the first, second and so
+    on of all languages until there are SAMPLE. Before rows are ranked, hashes that are surely too large are left out:
+    about SPARE times EACH of a language stay."""
     digest = F.struct(F.xxhash64(F.col(key).cast("string"), F.lit("langid")).alias("a"), F.xxhash64(F.col(text)).alias("b"))
     rows = df.filter(learnable & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(digest.alias("h"), F.col(lang).cast("string").alias("l"), F.length(text).alias("n"), F.col(text).alias("t"))
-    turns = rows.select("h", "l", "n").withColumn("turn", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("turn") <= EACH)
+    sizes = rows.groupBy(F.col("l").alias("s")).agg(F.approx_count_distinct("h").alias("size"))
+    share = F.least(F.lit(1.0), SPARE * EACH / F.col("size"))
+    near = rows.select("h", "l", "n").join(sizes, F.col("l") == F.col("s")).filter((share >= 1) | (F.col("h.a") <= ((2 * share - 1) * float(1 << 63)).cast("long")))
+    turns = near.select("h", "l", "n").distinct().withColumn("turn", F.row_number().over(W.partitionBy("l").orderBy("h"))).filter(F.col("turn") <= EACH)
     chosen, total = [], 0
     for r in turns.orderBy("turn", "h", "l").limit(SAMPLE).collect():
         if total + r.n <= SAMPLE_CHARS:
@@ -185,11 +190,10 @@ def fit(df: DataFrame, learnable: Column, key: str = "doc_id", text: str = "text
             chosen.append((r.h.a, r.h.b, r.l))
     if not chosen:
         return None
-    wanted = F.broadcast(df.sparkSession.createDataFrame(chosen, "a long, b long, wanted string").groupBy("a", "b", "wanted").agg(F.count("*").alias("rows")))
+    wanted = F.broadcast(df.sparkSession.createDataFrame(chosen, "a long, b long, wanted string"))
     found = rows.join(wanted, (F.col("h.a") == F.col("a")) & (F.col("h.b") == F.col("b")) & (F.col("l") == F.col("wanted")))
-    # Of a text that repeats under one key, one row comes back for each task at most, and is repeated here.
-    found = found.groupBy("h", "l").agg(F.first("t").alias("t"), F.first("rows").alias("rows"))
-    sample = sorted((r.h.a, r.h.b, r.t, r.l) for r in found.collect() for _ in range(r.rows))
+    found = found.groupBy("h", "l").agg(F.first("t").alias("t"))
+    sample = sorted((r.h.a, r.h.b, r.t, r.l) for r in found.collect())
     return train([x[2] for x in sample], [x[3] for x in sample])
 
 
