@@ -239,6 +239,11 @@ SQL = {
         SELECT entity_id, name, 'buyer' AS type, '{{}}' AS properties FROM n UNION ALL SELECT entity_id, name, 'unknown', '{{}}' FROM entities WHERE entity_id NOT IN (SELECT entity_id FROM n)""",
     "normal_answers": "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'a b' WHEN 1 THEN item_id::VARCHAR ELSE 'the answer ' || item_id END AS answer FROM benchmark",
     "first_bytes": "SELECT doc_id, list_max(list_filter(list_transform(range(370, 1501), lambda k: octet_length(encode(left(text, k)))), lambda x: x <= 1500))::INT AS bytes, TRUE AS begins FROM documents",
+    "listed_sessions": "SELECT doc_id, trim(source) || '|' || trim(lang) AS sessions FROM documents",
+    "whole_sessions": f"WITH {TURNS}, {VIEW} SELECT conv_id, content FROM views WHERE hall = 'L0' AND content <> ''",
+    "rendered_results": f"""WITH {bm25(PASSAGES, 10)},
+        r AS (SELECT query_id, rank, score, source, lang, CASE WHEN octet_length(encode(text)) > 200 THEN left(text, list_max(list_filter(range(50, 201), lambda k: octet_length(encode(left(text, k))) <= 200))) || '...' ELSE text END AS snippet FROM lexical JOIN documents ON doc_id = drawer_id)
+        SELECT query_id, rank, printf('[%d] %s / %s  (score: %.3f)', rank, source, lang, score) || chr(10) || '    Source: ' || regexp_extract(source, '[^/]*$') || chr(10) || '    ' || translate(snippet, chr(10), ' ') AS line FROM r""",
     "session_order": "SELECT DISTINCT 'session_' || conv_id AS name, conv_id::INT AS number FROM conversations",
     "expected_by_class": f"{FIRST_OTHER}, c AS (SELECT predicted, actual, count(*) AS n FROM found GROUP BY ALL) SELECT sum(round(n * (predicted / 7.0))) AS expected, sum(n)::BIGINT AS n FROM c",
     "sizes": f"WITH d AS (SELECT doc_id, n_chars * n_chars AS n FROM documents) SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' ELSE {UNITS} END AS size FROM d",

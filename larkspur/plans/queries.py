@@ -457,6 +457,20 @@ def first_bytes(spark, sf_dir):
     return d.select("doc_id", F.octet_length(text.first_bytes(F.col("text"))).alias("bytes"), F.col("text").startswith(text.first_bytes(F.col("text"))).alias("begins"))
 
 
+def listed_sessions(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", text.session_ids(F.concat(F.lit(" ,"), F.col("source"), F.lit(" , "), F.col("lang"), F.lit(",,  "))).alias("s"))
+    return d.select("doc_id", F.array_join("s", "|").alias("sessions"))
+
+
+def whole_sessions(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("role").alias("speaker"), F.col("text").alias("content"))
+    return conversations.whole_sessions(turns)
+
+
+def rendered_results(spark, sf_dir):
+    return lexical.rendered(passage_results(spark, sf_dir))
+
+
 def session_order(spark, sf_dir):
     c = read(spark, sf_dir, "conversations").select(F.explode(F.array(F.concat(F.lit("session_"), F.col("conv_id").cast("string")), F.concat(F.lit("session_"), F.col("conv_id").cast("string"), F.lit("_date_time")))).alias("name")).distinct()
     return c.select("name", conversations.session_number(F.col("name")).alias("number")).filter("number is not null")
@@ -559,5 +573,5 @@ label_means hybrid hybrid_auto hybrid_sweep hybrid_recency multiview merged_view
 graph_triples graph_outgoing graph_incoming graph_both graph_as_of_all graph_timeline graph_stats graph_invalidated graph_contradictions graph_conflicts summary
 wake_up session_views session_chunks transcripts message_lines wanted_files mining sizes recall_by_answer recall_by_source recall_scoped confusion accuracy
 bm25_by_wing best_weights hits_by_size lenient_and_strict evidence_hits index_build message_tree team_messages got_drawers ann_sizes ann_recall reranked expanded_queries coded_vectors
-prepared_anchors put_entities normal_answers first_bytes session_order expected_by_class""".split()
+prepared_anchors put_entities normal_answers first_bytes listed_sessions whole_sessions rendered_results session_order expected_by_class""".split()
 QUERIES = {name: globals()[name] for name in NAMES}
