@@ -40,11 +40,13 @@ def normal_facts(facts: DataFrame) -> DataFrame:
 
 def new_triples(stored: DataFrame, facts: DataFrame) -> DataFrame:
     """The facts that become triples: not those that an open triple, stored or earlier among the facts, says already.
-    A fact that is closed from the start hides no later one."""
+    A fact that is closed from the start hides no later one. Of open ones the first is an aggregate, so a fact that is
+    said very often is a row a task."""
     same = ["subject", "predicate", "object"]
     rows = normal_facts(facts).join(stored.filter("valid_to is null").select(*same).distinct(), same, "left_anti")
-    earlier = F.max(F.col("valid_to").isNull()).over(W.partitionBy(*same).orderBy("seq").rowsBetween(W.unboundedPreceding, -1))
-    rows = rows.withColumn("_e", earlier).filter(~F.coalesce("_e", F.lit(False)))
+    first = rows.filter("valid_to is null").groupBy(*same).agg(F.min(F.struct("seq", "valid_from", "valid_to", "confidence")).alias("first"))
+    closed = rows.filter("valid_to is not null").join(first, same, "left").filter("first is null or seq < first.seq")
+    rows = first.select(*same, "first.*").unionByName(closed.drop("first"))
     key = F.concat_ws("\0", *same, F.col("seq").cast("string"))
     return rows.select(F.concat(F.lit("t_"), F.md5(key)).alias("triple_id"), *same, "valid_from", "valid_to", "confidence")
 
