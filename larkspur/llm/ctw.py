@@ -39,6 +39,8 @@ DEEP, PLAIN = 8, 4
 PIECE = 2_000_000
 #: The training bytes divided by this is the least count of a common gram.
 HOT_GRAMS = 1 << 19
+#: The training words divided by this is the least count of a common word.
+HOT_WORDS = 1 << 17
 HALF = np.log(0.5)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
@@ -343,7 +345,7 @@ def score(df: DataFrame, learn: Column, key: str = "doc_id", text: str = "text",
     trees = fit(sharded.count(rows, gram_ids, bits, every=True), bits)
     counts = sharded.count(rows, word_ids, bits)
     total, distinct = (x or 0 for x in counts.agg(F.sum("total"), F.sum("distinct")).first())
-    words = saved(counts.select("bucket", "ids", "counts").mapInArrow(_estimates(max(1, total // sharded.HOT)), "bucket long, ids binary, values binary, common array<binary>"), "estimates")
+    words = saved(counts.select("bucket", "ids", "counts").mapInArrow(_estimates(max(1, total // HOT_WORDS)), "bucket long, ids binary, values binary, common array<binary>"), "estimates")
     (ids, values), (gram_hot, gram_values) = commonest(words, "<f8"), commonest(trees, "<f4")
     ids, values = np.concatenate([ids, gram_hot]), np.concatenate([values, gram_values])
     order = np.argsort(ids)

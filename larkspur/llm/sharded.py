@@ -25,7 +25,7 @@ CHUNK = 8_000_000
 #: Words that a worker remembers.
 MEMORY = 500_000
 #: A total divided by HOT is the least count of a common id, so there are no more of them.
-HOT = 1 << 17
+HOT = 1 << 20
 #: Bits of the map of ids.
 MAP_BITS = 27
 SHARD_MB, LEAST_SHARDS = 16, 32

@@ -355,7 +355,7 @@ def test_pieces_of_a_long_text_are_its_grams(monkeypatch):
 @pytest.mark.parametrize("hot,shards", [(1 << 19, 1), (1, 8)])
 def test_context_tree_against_definition(spark, monkeypatch, hot, shards):
     monkeypatch.setattr(ctw, "HOT_GRAMS", hot)
-    monkeypatch.setattr(sharded, "HOT", 2 if hot == 1 else 1 << 17)
+    monkeypatch.setattr(ctw, "HOT_WORDS", 2 if hot == 1 else 1 << 17)
     monkeypatch.setattr(sharded, "LEAST_SHARDS", shards)
     learned, other = ["abra cadabra abra cadabra ab", "the cab"], "abra cab dab"
     rows = [(0, learned[0], True), (1, learned[1], True), (2, other, False)]
@@ -437,7 +437,7 @@ def test_shards_don_t_change_scores(odd, monkeypatch):
     rounded = lambda: sorted((str(r.doc_id), round(r.score, 3), round(r.base_score, 6), r.n_tokens, r.n_known) for r in ctw.score(odd, F.lit(True)).collect())
     want = rounded()
     monkeypatch.setattr(ctw, "HOT_GRAMS", 1)
-    monkeypatch.setattr(sharded, "HOT", 1)
+    monkeypatch.setattr(ctw, "HOT_WORDS", 1)
     monkeypatch.setattr(sharded, "LEAST_SHARDS", 4)
     monkeypatch.setattr(sharded, "CHUNK", 5)
     assert rounded() == want
@@ -528,6 +528,19 @@ def test_packed_arrays():
         assert (sharded.unpack_sorted(sharded.pack_sorted(a)) == a).all() and (sharded.unpack(sharded.pack(a), np.uint64) == a).all()
 
 
+def test_training_is_bounded(spark, monkeypatch):
+    """Beyond TRAINED characters an even share of the trusted rows is learned from; copies are drawn one by one."""
+    learned = []
+    whole = kneser_ney.fit
+    monkeypatch.setattr(kneser_ney, "fit", lambda rows, bits: learned.append(rows.filter("learn").agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]) or whole(rows, bits))
+    df = spark.createDataFrame([(i % 40, f"some words of number {i % 7}", "en") for i in range(4000)], "doc_id long, text string, lang string")
+    good = spark.range(40).toDF("doc_id")
+    for bound in (10_000_000, 20_000):
+        monkeypatch.setattr(kneser_ney, "TRAINED", bound)
+        assert kneser_ney.classify(df, good).filter("kept").count() == 4000
+    assert learned[0] > 50_000 and 12_000 < learned[1] < 28_000
+
+
 def test_quality_classifier_of_odd_tables(odd, none):
     trusted = odd.select("doc_id")
     assert kneser_ney.classify(odd, trusted).count() == len(ODD)
