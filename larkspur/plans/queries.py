@@ -15,6 +15,7 @@ from larkspur.operators import ann, classify, evaluate, fusion, graph, lexical,
 from larkspur.plans import layers
 from larkspur.session import ship
 from larkspur.sources import conversations, files
+from larkspur.sources.shared import spread
 
 ROUND = 9
 QUERY = "the attion ereding on anblewh thonre thstinnt ereding"
@@ -30,6 +31,11 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("drawer_id"), F.col("text").alias("content"), F.col("source").alias("wing"), F.col("lang").alias("room"), F.lit("facts").alias("hall"), F.col("source").alias("source_file"))
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items for work on their texts."""
+    return spread(items(spark, sf_dir), "drawer_id")
+
+
 def banded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored drawers, their rooms split by length, so that some rooms are in one wing only."""
     room = F.concat_ws("-", "room", F.floor(F.length("content") / 1500).cast("string"))
@@ -53,7 +59,7 @@ def one_query(spark: SparkSession) -> DataFrame:
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.postings(items(spark, sf_dir), corpus=True)
+    return lexical.postings(texts(spark, sf_dir), corpus=True)
 
 
 _indexes: dict[tuple[str, str], lexical.Index] = {}
@@ -76,7 +82,7 @@ def term_frequencies(spark, sf_dir):
 
 
 def vocabulary(spark, sf_dir):
-    words = items(spark, sf_dir).select(F.explode(text.words(F.col("content"))).alias("word")).distinct()
+    words = texts(spark, sf_dir).select(F.explode(text.words(F.col("content"))).alias("word")).distinct()
     return text.stemmed(words, "word", "stem")
 
 
@@ -87,7 +93,7 @@ def index_build(spark, sf_dir):
 
 
 def corpus_statistics(spark, sf_dir):
-    return rounded(lexical.statistics(items(spark, sf_dir)), "avg_doc_len")
+    return rounded(lexical.statistics(texts(spark, sf_dir)), "avg_doc_len")
 
 
 def stored_drawers(spark, sf_dir):
@@ -118,7 +124,7 @@ def room_names(spark, sf_dir):
 
 
 def detected_rooms(spark, sf_dir):
-    return store.detect_rooms(items(spark, sf_dir), "drawer_id", "content")
+    return store.detect_rooms(texts(spark, sf_dir), "drawer_id", "content")
 
 
 def status(spark, sf_dir):
@@ -169,7 +175,7 @@ def bm25_scope(spark, sf_dir):
 def bm25_by_wing(spark, sf_dir):
     """All passages, each within one wing that is a store of its own."""
     own = passages(spark, sf_dir).withColumn("wing", F.concat(F.lit("src"), (F.col("query_id") % 20).cast("string")))
-    return rounded(lexical.bm25_by(lexical.postings_by(items(spark, sf_dir), "wing"), own, "wing", 10), "score")
+    return rounded(lexical.bm25_by(lexical.postings_by(texts(spark, sf_dir), "wing"), own, "wing", 10), "score")
 
 
 def vector_search(spark, sf_dir):

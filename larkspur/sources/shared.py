@@ -29,6 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def spread(df: DataFrame, *by: str, mb: int = 16) -> DataFrame:
+    """A table of under mb MB a core, which may be one file of one row group and so one task, dealt to all cores by some
+    columns; a larger one stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, *by) if size < cores * mb * 1_000_000 else df
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back: lineage ends there, lost executors cost no rerun."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
