@@ -36,7 +36,7 @@ from larkspur.llm.sharded import END, pack, pack_sorted, unpack, unpack_sorted
 #: Bytes of the longest contexts, and of those that every place has.
 DEEP, PLAIN = 8, 4
 #: Bytes of text whose grams are made at once.
-PIECE = 2_000_000
+PIECE = 250_000
 #: The training bytes divided by this is the least count of a common gram.
 HOT_GRAMS = 1 << 19
 #: The training words divided by this is the least count of a common word.

@@ -9,6 +9,7 @@ rules out aren't asked for. Both only spare work: any id that isn't listed goes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -91,6 +92,56 @@ def slices(distinct: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
             yield int(bucket[i]), slice(int(i), int(j))
 
 
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
+class Listed:
+    """Common ids and their values in an open table: a look-up is about one random read, where a search is twenty."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray):
+        bits = max(4, (2 * len(ids)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.ids, self.values, self.probes = np.full(1 << bits, _NONE), np.zeros(1 << bits), 0
+        left = np.flatnonzero(ids != _NONE)
+        while len(left):
+            slot = (self._slots(ids[left]) + self.probes) & self.mask
+            free = np.flatnonzero(self.ids[slot] == _NONE)
+            slot, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.ids[slot], self.values[slot] = ids[left[placed]], values[left[placed]]
+            left = np.delete(left, placed)
+            self.probes += 1
+
+    def _slots(self, ids: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((ids ^ (ids >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether it is listed, the slot of its value) of each id."""
+        slot = self._slots(ids)
+        at = self.ids[slot]
+        hit = (at == ids) & (at != _NONE)
+        open_ = np.flatnonzero(~hit & (at != _NONE))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & self.mask
+            at = self.ids[slot[open_]]
+            hit[open_] = at == ids[open_]
+            open_ = open_[~hit[open_] & (at != _NONE)]
+        return hit, slot
+
+
+_listed: dict[str, Listed] = {}
+
+
+def listed(name: str, ids: np.ndarray, values: np.ndarray) -> Listed:
+    """One table a worker; the last few are kept."""
+    if name not in _listed:
+        while len(_listed) > 1:
+            _listed.pop(next(iter(_listed)))
+        _listed[name] = Listed(ids, values)
+    return _listed[name]
+
+
 def added(ids: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct ids and the sums of their values."""
     both = np.concatenate(ids) if ids else np.empty(0, np.uint64)
@@ -161,18 +212,18 @@ def sums(rows: DataFrame, head: Column, text: Column, ids_of: Ids, width: int, t
     kinds of ids the sum of the values, the number of ids that the table has, and their number.
 
     ids_of(texts) gives ids and their owners, a text's number times width, plus the kind, in pieces of bounded size.
-    table: rows (bucket, ids, values, type of the values), one or more a shard. hot: sorted ids and values.
+    table: rows (bucket, ids, values, type of the values), one or more a shard. hot: ids and values.
     Rows of one task are numbered in their order, so the input has to read alike if a task is run again.
     """
     spark = rows.sparkSession
-    shared = spark.sparkContext.broadcast((*hot, known))
+    shared = spark.sparkContext.broadcast((uuid.uuid4().hex, *hot, known))
     kind = rows.select(head.alias("head")).schema["head"].dataType
     packed = rows.select(head.alias("head"), text.alias("t"), F.spark_partition_id().alias("part"))
     request = f"bucket long, chunk long, n long, ids binary, counts binary, owners binary, heads array<{kind.simpleString()}>"
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, hot_values, flags = shared.value
-        number = None
+        name, hot_ids, hot_values, flags = shared.value
+        common, number = listed(name, hot_ids, hot_values), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -184,9 +235,8 @@ def sums(rows: DataFrame, head: Column, text: Column, ids_of: Ids, width: int, t
                 for ids, owner in ids_of(texts[i:j]):
                     size += np.bincount(owner, minlength=n)
                     if len(hot_ids):
-                        place = np.minimum(np.searchsorted(hot_ids, ids), len(hot_ids) - 1)
-                        hit = hot_ids[place] == ids
-                        total += np.bincount(owner[hit], hot_values[place[hit]], n)
+                        hit, slot = common.find(ids)
+                        total += np.bincount(owner[hit], common.values[slot[hit]], n)
                         found += np.bincount(owner[hit], minlength=n)
                         ids, owner = ids[~hit], owner[~hit]
                     if flags is not None:

@@ -522,6 +522,16 @@ def test_zero_bytes_and_shuffled_shards(spark):
     assert [x[:2] for x in got] == [(1, 3), (2, 2), (2, 2), (3, 3)] and got[1] == got[2] and all(x[3] for x in got)
 
 
+def test_listed_ids_are_found():
+    rng = np.random.default_rng(1)
+    ids = np.unique(np.concatenate([rng.integers(0, 1 << 63, 5000).astype(np.uint64), np.arange(300, dtype=np.uint64), np.arange(300, dtype=np.uint64) << np.uint64(56)]))
+    table = sharded.Listed(ids, np.arange(len(ids), dtype=float))
+    asked = np.concatenate([ids, ids + np.uint64(1), rng.integers(0, 1 << 63, 5000).astype(np.uint64), [np.uint64(2**64 - 1)]])
+    hit, slot = table.find(asked)
+    assert (hit == np.isin(asked, ids)).all() and (ids[table.values[slot[hit]].astype(int)] == asked[hit]).all()
+    assert not sharded.Listed(ids[:0], np.empty(0)).find(asked)[0].any()
+
+
 def test_packed_arrays():
     rng = np.random.default_rng(0)
     for a in (np.empty(0, np.uint64), np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64)), np.array([np.uint64(2**64 - 1)])):
