@@ -76,7 +76,7 @@ def references(trusted: DataFrame, text: str = "text", lang: str = "lang") -> Da
     top = words.withColumn("rank", rank).filter(F.col("rank") <= RANKS).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"))
     all_words = words.groupBy(F.col("lang").alias("l")).agg(F.sum("n").alias("all"))
     top = top.join(all_words, F.col("lang").eqNullSafe(F.col("l")))
-    top = top.select("l", F.transform("top", lambda x: x.word).alias("listed"), F.concat(F.transform("top", lambda x: x.n / F.col("all")), F.array(1 - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x.n) / F.col("all"))).alias("shares"))
+    top = top.select("l", F.transform("top", lambda x: x.word).alias("listed"), F.array_max(F.transform("top", lambda x: F.octet_length(x.word))).alias("longest"), F.concat(F.transform("top", lambda x: x.n / F.col("all")), F.array(1 - F.aggregate("top", F.lit(0).cast("long"), lambda s, x: s + x.n) / F.col("all"))).alias("shares"))
     return saved(sums.join(top, ~F.col("every") & F.col("lang").eqNullSafe(F.col("l")), "left").drop("l"), "references")
 
 
@@ -90,19 +90,18 @@ def measured(df: DataFrame, trusted: DataFrame | None = None, text: str = "text"
 
     general = F.array(*map(F.lit, CLASSES))
     if trusted is None:
-        out = out.withColumns({"classes": general, "listed": F.lit(None).cast("array<string>"), "shares": F.lit(None).cast("array<double>")})
+        out = out.withColumns({"classes": general, "listed": F.lit(None).cast("array<string>"), "longest": F.lit(0), "shares": F.lit(None).cast("array<double>")})
     else:
         known = references(trusted, text, lang)
         every = known.filter("every").select("classes").first()
         if every:
             general = F.array(*map(F.lit, every[0]))
-        known = known.filter("not every").select(F.col("lang").alias("l"), F.col("classes").alias("own"), "listed", "shares")
+        known = known.filter("not every").select(F.col("lang").alias("l"), F.col("classes").alias("own"), "listed", "longest", "shares")
         few = F.broadcast(known) if known.count() <= BROADCAST_LANGUAGES else known
         out = out.join(few, F.col("lang").eqNullSafe(F.col("l")), "left").drop("l").withColumn("classes", F.coalesce("own", general)).drop("own")
 
     dense = F.col("dense")
-    longest = F.array_max(F.transform("listed", lambda x: F.octet_length(x)))
-    short = F.when(F.col("listed").isNotNull(), F.transform(F.filter("words", lambda x: F.octet_length(x) <= longest), lambda x: F.lower(x)))
+    short = F.when(F.col("listed").isNotNull(), F.transform(F.filter("words", lambda x: F.octet_length(x) <= F.col("longest")), lambda x: F.lower(x)))
     out = out.select("*", short.alias("short"))
     out = out.select(
         "row", "chars", "classes", "listed", "shares", F.size("words").alias("n"), F.length(dense).alias("word_chars"),
