@@ -63,11 +63,13 @@ def shortened(threshold: float = THRESHOLD, target: float = RECALL) -> int:
 
 
 def signature(grams: np.ndarray) -> np.ndarray:
-    """TREES x DEEPEST MinHash values, upper 16 bits; big-endian, so that bytes sort as values do."""
+    """TREES x DEEPEST MinHash values as 16 bits; big-endian, so that bytes sort as values do. A least value is small, the
+    more so the longer the text, so its upper bits agree by chance; it is mixed before they are taken."""
     out = np.full(TREES * DEEPEST, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for i in range(0, len(grams), 4096):
             out = np.minimum(out, (grams[i : i + 4096, None] * _A + _B).min(0))
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return (out >> np.uint64(48)).astype(">u2")
 
 

@@ -314,6 +314,14 @@ def test_recall_of_links(spark):
     assert {k: got[k] for k, _ in sets} == {k: int(n) for (k, _), n in zip(sets, links)}
 
 
+def test_long_unrelated_texts_do_not_meet():
+    """The labels of unlike texts agree as seldom as 16 bits do by chance, however long the texts are."""
+    rng = np.random.default_rng(5)
+    labels = np.array([forest.signature(rng.integers(0, 1 << 63, 20_000).astype(np.uint64)) for _ in range(40)])
+    i, j = np.triu_indices(40, 1)
+    assert (labels[i] == labels[j]).mean() < 2e-4
+
+
 def test_no_sigma_compares_all_candidates(spark):
     rows = near_rows()[30:110]
     df = spark.createDataFrame(rows, "doc_id long, text string")
