@@ -42,6 +42,8 @@ TREES, DEEPEST = 16, 8
 #: Texts, and bytes of their sets, that a block holds on the average at most.
 BLOCK, BLOCK_BYTES = 1024, 16_000_000
 SIGMA = 6
+#: Pairs of texts that a worker compares at a time.
+STRIP = 4_000_000
 #: Broadcast the texts that are compared only if there are no more.
 BROADCAST_KEYS = 500_000
 
@@ -198,32 +200,43 @@ def groups(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _candidates(table: pa.Table, longest: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _prefixes(s: np.ndarray, depth: int) -> np.ndarray:
+    """The prefixes of labels (texts, TREES, DEEPEST) as numbers (TREES, texts, words of 64 bits)."""
+    out = s.transpose(1, 0, 2).copy()
+    out[..., depth:] = 0
+    return out.view(np.uint64)[..., : -(-depth // 4)]
+
+
+def _candidates(table: pa.Table, longest: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j) of the pairs that this group has to compare: one of them has a prefix this short, first met at this
-    level and in this tree, not ruled out."""
+    level and in this tree, not ruled out. In strips of bounded size; only pairs first met here have their signatures
+    compared."""
     depth, tree, a, b = (table[c][0].as_py() for c in ("depth", "tree", "a", "b"))
     short = table["short"].to_numpy()
     s = np.frombuffer(b"".join(table["labels"].to_pylist()), ">u2").astype(np.uint16).reshape(-1, TREES, DEEPEST)
     block = table["block"].to_numpy()
     left = np.flatnonzero(block == a)
     right = left if a == b else np.flatnonzero(block == b)
-    found = []
-    step = max(1, 4_000_000 // (max(1, len(right)) * TREES * DEEPEST))
+    here, deeper = _prefixes(s, depth), _prefixes(s, depth + 1) if depth < longest else None
+    s = s.reshape(len(s), -1)
+    same = lambda p, rows: (p[rows][:, None] == p[right][None]).all(-1) if p.shape[-1] > 1 else p[rows] == p[right].T
+    step = max(1, STRIP // max(1, len(right)))
     for k in range(0, len(left), step):
         rows = left[k : k + step]
-        same = s[rows][:, None] == s[right][None]
-        first = same[..., :depth].all(-1)
-        ok = (same.mean((-1, -2)) >= least) & first[..., tree] & ~first[..., :tree].any(-1)
-        ok &= short[rows][:, None] | short[right][None]
-        if depth < longest:
-            ok &= ~same[..., : depth + 1].all(-1).any(-1)
+        ok = (short[rows][:, None] | short[right][None]) & same(here[tree], rows)
+        for t in range(tree):
+            ok &= ~same(here[t], rows)
+        if deeper is not None:
+            for t in range(TREES):
+                ok &= ~same(deeper[t], rows)
         i, j = np.nonzero(ok)
         if a == b:
             i, j = i[k + i < j], j[k + i < j]
-        found.append((rows[i], right[j]))
-    if not found:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+        i, j = rows[i], right[j]
+        width = STRIP // s.shape[1]
+        agree = [(s[i[x : x + width]] == s[j[x : x + width]]).mean(1) >= least for x in range(0, len(i), width)]
+        if agree and (agree := np.concatenate(agree)).any():
+            yield i[agree], j[agree]
 
 
 def _needed(depth: int, least: float):
@@ -231,9 +244,11 @@ def _needed(depth: int, least: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 6):
-            i, j = _candidates(table, depth, least)
-            if len(i):
-                yield from table.take(np.unique(np.concatenate([i, j]))).to_batches()
+            part = np.zeros(table.num_rows, bool)
+            for i, j in _candidates(table, depth, least):
+                part[i] = part[j] = True
+            if part.any():
+                yield from table.take(np.flatnonzero(part)).to_batches()
 
     return run
 
@@ -241,53 +256,59 @@ def _needed(depth: int, least: float):
 def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of the sets at i and j: pair by pair, or if there are many pairs by products of
     incidence matrices over the elements that several sets have."""
-    if len(i) < 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j)], np.int64)
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    (left, i), (right, j) = (np.unique(x, return_inverse=True) for x in (i, j))
+    n = len(left) + len(right)
+    if len(i) < 4 * n:
+        return np.array([len(np.intersect1d(sets[left[a]], sets[right[b]], assume_unique=True)) for a, b in zip(i, j)], np.int64)
+    chosen = [sets[x] for x in (*left, *right)]
+    owner = np.repeat(np.arange(n), [len(x) for x in chosen])
+    values, place, counts = np.unique(np.concatenate(chosen), return_inverse=True, return_counts=True)
     number = np.cumsum(counts > 1) - 1
     shared = counts[place] > 1
     owner, place = owner[shared], number[place[shared]]
-    total = np.zeros((len(sets), len(sets)), np.float32)
-    width = max(1, 16_000_000 // len(sets))
+    total = np.zeros((len(left), len(right)), np.float32)
+    width = max(1, 16_000_000 // n)
     order = np.argsort(place, kind="stable")
     owner, place = owner[order], place[order]
     for at in range(0, int(place[-1]) + 1 if len(place) else 0, width):
         x, y = np.searchsorted(place, [at, at + width])
-        m = np.zeros((len(sets), width), np.float32)
+        m = np.zeros((n, min(width, int(place[y - 1]) + 1 - at)), np.float32)
         m[owner[x:y], place[x:y] - at] = 1
-        total += m @ m.T
+        total += m[: len(left)] @ m[len(left) :].T
     return total[i, j].astype(np.int64)
 
 
+def _joined(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The places' roots after these links too; each root is the root of itself."""
+    while True:
+        a, b = root[i], root[j]
+        if (a == b).all():
+            return root
+        up = np.arange(len(root))
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+
+
 def _verify(depth: int, least: float, threshold: float):
     """Rows (rep, root of its part of the group's forest, links: copies of the texts that it is linked to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 6):
-            i, j = _candidates(table, depth, least)
-            if not len(i):
-                continue
             sets = [np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()]
             size = np.array([len(x) for x in sets])
-            both = intersections(sets, i, j)
-            ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
             copies, rep = table["copies"].to_numpy(), table["rep"].to_numpy()
-            links = np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
-            root = rep.copy()
-            while True:
-                low = np.minimum(root[i], root[j])
-                new = root.copy()
-                np.minimum.at(new, i, low)
-                np.minimum.at(new, j, low)
-                if (new == root).all():
-                    break
-                root = new
+            links, root = np.zeros(len(rep)), np.arange(len(rep))
+            for i, j in _candidates(table, depth, least):
+                both = intersections(sets, i, j)
+                ok = both >= threshold * (size[i] + size[j] - both) - 1e-9
+                i, j = i[ok], j[ok]
+                links += np.bincount(i, copies[j], len(rep)) + np.bincount(j, copies[i], len(rep))
+                root = _joined(root, i, j)
             kept = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[kept]), pa.array(root[kept]), pa.array(links[kept].astype(np.int64))], names=["rep", "root", "links"])
+            if len(kept):
+                yield pa.RecordBatch.from_arrays([pa.array(rep[kept]), pa.array(rep[root[kept]]), pa.array(links[kept].astype(np.int64))], names=["rep", "root", "links"])
 
     return run
 

@@ -4,11 +4,13 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -322,6 +324,33 @@ def test_long_unrelated_texts_do_not_meet():
     assert (labels[i] == labels[j]).mean() < 2e-4
 
 
+@pytest.mark.parametrize(("level", "tree", "strip"), [(3, 6, 4_000_000), (2, 1, 5000), (1, 0, 700), (5, 3, 4_000_000)])
+def test_candidates_against_all_values(monkeypatch, level, tree, strip):
+    """The pairs first met in a tree, as told by comparing all values of all pairs, for much less work than that."""
+    rng = np.random.default_rng(6)
+    monkeypatch.setattr(forest, "STRIP", strip)
+    n, longest, least = 900, max(3, level), 0.45
+    base = rng.integers(0, 1 << 16, (forest.TREES, forest.DEEPEST))
+    s = np.where(rng.random((n, *base.shape)) < 0.72, base, rng.integers(0, 1 << 16, (n, *base.shape))).astype(">u2")
+    block, short = rng.integers(0, 2, n), rng.random(n) < 0.5
+    for a, b in ((0, 1), (1, 1)):
+        one = {"depth": [level] * n, "tree": [tree] * n, "a": [a] * n, "b": [b] * n, "block": block, "short": short, "labels": [x.tobytes() for x in s]}
+        table = pa.table(one)
+        began = time.process_time()
+        got = {(int(x), int(y)) for i, j in forest._candidates(table, longest, least) for x, y in zip(i, j)}
+        took, began = time.process_time() - began, time.process_time()
+        want = set()
+        for x in np.flatnonzero(block == a):
+            same = s[x].astype(np.uint16) == s[block == b].astype(np.uint16)
+            first = same[..., :level].all(-1)
+            ok = (same.mean((-1, -2)) >= least) & first[:, tree] & ~first[:, :tree].any(-1) & (short[x] | short[block == b])
+            if level < longest:
+                ok &= ~same[..., : level + 1].all(-1).any(-1)
+            want |= {(int(x), int(y)) for y in np.flatnonzero(block == b)[ok] if a != b or x < y}
+        assert got == want and want
+        assert strip < 4_000_000 or took < 0.5 * (time.process_time() - began)
+
+
 def test_no_sigma_compares_all_candidates(spark):
     rows = near_rows()[30:110]
     df = spark.createDataFrame(rows, "doc_id long, text string")
