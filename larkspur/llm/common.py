@@ -8,6 +8,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import discarded as discarded
+from larkspur.sources.shared import released as released
 from larkspur.sources.shared import saved as saved
 
 #: Characters that one in-memory step of a Python worker handles at most; a longer text is a step of its own.

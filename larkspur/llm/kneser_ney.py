@@ -10,9 +10,9 @@ table goes to the driver but 1 / HOT of the commonest entries and a bitmap of fi
 
 A document's perplexity per word, the end included, is held against MARGIN times the QUANTILE of trusted documents of
 its language (of all languages, where one has fewer than LEAST of them). One trusted document in FOLDS isn't trained
-on; the quantiles are those of these. As a classifier it is fitted on a bounded sample of its labelled rows: on all
-trusted texts up to TRAINED characters, beyond that on an even share of the rows of about that size. All documents are
-scored, and all held-out ones make the quantiles.
+on; the quantiles are those of these. It is trained on all other trusted texts (TRAINED, if it is set, bounds their
+characters), all documents are scored, and all held-out ones make the quantiles. Tables and shuffles that were needed
+for the fit only are deleted before the documents are scored.
 
 Defined cases: a null or empty text is scored as its end alone; a null language is a language of its own; words that
 hold zero bytes are words as others; without trusted texts every word has probability 1 and all documents are kept;
@@ -30,12 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import sharded
-from larkspur.llm.common import fold, saved
+from larkspur.llm.common import discarded, fold, released, saved
 from larkspur.llm.sharded import BEGIN, END, pack, pack_sorted, slices, unpack, unpack_sorted
 
 QUANTILE, MARGIN, LEAST, FOLDS = 0.99, 1.1, 30, 5
-#: Characters of trusted texts that are trained on, about, at most.
-TRAINED = 100_000_000
+#: Characters of trusted texts that are trained on, about, at most: an even share of their rows; None: all.
+TRAINED: int | None = None
 BROADCAST_KEYS = 500_000
 #: Pairs that a task holds before it sends them.
 HELD = 3_000_000
@@ -173,6 +173,7 @@ def fit(rows: DataFrame, bits: int) -> Model:
     """The model of the texts of rows (t, learn) where learn holds."""
     pairs = rows.select("t", "learn").mapInArrow(_pairs(bits), PAIRS).groupBy("bucket").applyInArrow(_shard, PAIRS + ", total long, tally array<long>")
     pairs = saved(pairs, "pairs")
+    released(rows.sparkSession)
     followers = pairs.select("bucket", "words").mapInArrow(_followers(bits), "bucket long, asker long, words binary, n binary")
     continued = followers.groupBy("bucket").applyInArrow(_continuations, "bucket long, about long, words binary, n binary, total long, distinct long, tally array<long>")
     continued = saved(continued, "continuations")
@@ -213,7 +214,11 @@ def fit(rows: DataFrame, bits: int) -> Model:
 
     answers = continued.select("bucket", "about", "words", "n")
     table = pairs.select(*(c.split()[0] for c in PAIRS.split(", "))).groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(values, "bucket long, ids binary, values binary, common array<binary>")
-    return Model(saved(table, "kneser-ney"), float(np.log10(unknown)), bits)
+    table = saved(table, "kneser-ney")
+    discarded(pairs, continued)
+    del pairs, followers, continued, answers
+    released(rows.sparkSession)
+    return Model(table, float(np.log10(unknown)), bits)
 
 
 def ids_of(bits: int):
@@ -237,14 +242,16 @@ def classify(df: DataFrame, trusted: DataFrame, key: str = "doc_id", text: str =
     the keys of trusted rows."""
     ids = saved(trusted.select(F.col(trusted.columns[0]).cast("long").alias("id")).filter("id is not null").distinct().withColumn("good", F.lit(True)), "trusted")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_KEYS else ids
-    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30)
+    draw = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) / float(1 << 30) if TRAINED else F.lit(0.0)
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("t"), draw.alias("draw")).join(ids, F.col("key") == F.col("id"), "left")
     held = F.pmod(F.xxhash64("key"), F.lit(FOLDS)) == 0
     rows = rows.select("key", "lang", F.coalesce("good", F.lit(False)).alias("trusted"), "t", "draw")
     bits = sharded.shard_bits(df)
     learn = F.coalesce(F.col("trusted") & ~held, F.lit(False))
-    size = rows.filter(learn).agg(F.sum(F.length("t"))).first()[0] or 0
-    model = fit(rows.select("t", (learn & (F.col("draw") < F.lit(TRAINED / max(size, 1)))).alias("learn")), bits)
+    if TRAINED:
+        size = rows.filter(learn).agg(F.sum(F.length("t"))).first()[0] or 0
+        learn &= F.col("draw") < F.lit(TRAINED / max(size, 1))
+    model = fit(rows.select("t", learn.alias("learn")), bits)
     found = scored(rows, F.struct("key", "lang", "trusted"), model)
     found = saved(found.select("head.*", "n_words", F.pow(F.lit(10.0), -F.col("logp") / F.col("n_words")).alias("perplexity")), "perplexity")
     sure = found.filter(F.col("trusted") & held)

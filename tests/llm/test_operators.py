@@ -588,6 +588,33 @@ def test_training_is_bounded(spark, monkeypatch):
     assert learned[0] > 50_000 and 12_000 < learned[1] < 28_000
 
 
+def test_all_trusted_texts_are_trained_on(spark, monkeypatch):
+    """160 million characters; a fifth is held out."""
+
+    class Seen(Exception):
+        pass
+
+    def fit(rows, bits):
+        raise Seen(rows.filter("learn").count())
+
+    monkeypatch.setattr(kneser_ney, "fit", fit)
+    df = spark.range(4000, numPartitions=8).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 8000).alias("text"), F.lit("en").alias("lang"))
+    with pytest.raises(Seen) as seen:
+        kneser_ney.classify(df, df.select("doc_id"))
+    assert seen.value.args[0] == df.filter(F.pmod(F.xxhash64("doc_id"), F.lit(kneser_ney.FOLDS)) != 0).count()
+
+
+def test_tables_of_the_fit_are_deleted(spark):
+    df = spark.createDataFrame([("a b c", True)], "t string, learn boolean")
+    pairs = kneser_ney.saved(df, "pairs")
+    kneser_ney.discarded(pairs, kneser_ney.saved(df.limit(0), "none"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark.conf.get("spark.checkpoint.dir"))
+    names = [x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/*"))]
+    model = kneser_ney.fit(df, 0)
+    after = [x.getPath().getName() for x in path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(spark._jvm.org.apache.hadoop.fs.Path(path, "*/*"))]
+    assert [x.split("-")[0] for x in after if x not in names] == ["kneser"] and model.table.count() == 1
+
+
 def test_quality_classifier_of_odd_tables(odd, none):
     trusted = odd.select("doc_id")
     assert kneser_ney.classify(odd, trusted).count() == len(ODD)
