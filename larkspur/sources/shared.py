@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,4 +59,5 @@ def released(spark: SparkSession) -> None:
     """Has Spark delete the shuffle files of plans that are no longer held; else they stay until the driver happens to
     collect its garbage."""
     gc.collect()
+    time.sleep(1.5)  # the JVM's side of a dropped object is let go by a thread that looks once a second
     spark._jvm.System.gc()
