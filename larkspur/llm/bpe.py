@@ -22,7 +22,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold
+from larkspur.llm.common import fold, remembers
 
 #: Distinct pre-tokens whose ids a worker remembers; a full memory is emptied and filled anew.
 MEMORY = 500_000
@@ -147,6 +147,7 @@ def encode(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: st
     last = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("bpe", _CODERS.clear)
         c = coder(model.value, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1).to_pylist()

@@ -31,9 +31,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold, saved
+from larkspur.llm.common import fold, remembers, saved, small_batches
 from larkspur.llm.components import components
-from larkspur.llm.shingles import shingle_set
+from larkspur.llm.shingles import forget, shingle_set
 
 #: The recall of pairs at the threshold, and the missed links that may be expected of one text.
 THRESHOLD, RECALL = 0.8, 0.9999
@@ -76,6 +76,7 @@ def signature(grams: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembers("words", forget)
     for batch in batches:
         texts = batch.column(2).to_pylist()
         for i, j in fold(texts, lambda t: len(t or "")):
@@ -243,6 +244,7 @@ def _needed(depth: int, least: float):
     """Keeps the rows of each group that take part in a pair to compare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("pairs", lambda: None)
         for table in groups(batches, 6):
             part = np.zeros(table.num_rows, bool)
             for i, j in _candidates(table, depth, least):
@@ -295,6 +297,7 @@ def _verify(depth: int, least: float, threshold: float):
     """Rows (rep, root of its part of the group's forest, links: copies of the texts that it is linked to)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("pairs", lambda: None)
         for table in groups(batches, 6):
             sets = [np.frombuffer(x, "<u8") for x in table["grams"].to_pylist()]
             size = np.array([len(x) for x in sets])
@@ -314,6 +317,7 @@ def _verify(depth: int, least: float, threshold: float):
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remembers("words", forget)
     for batch in batches:
         texts = batch.column(1).to_pylist()
         for i, j in fold(texts, lambda t: len(t or "")):
@@ -388,7 +392,8 @@ def members(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: f
 def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, target: float = RECALL, sigma: float | None = SIGMA) -> DataFrame:
     """Rows (key long, class_id long, n_links long), one for each input row: the least key of the row's connected
     component, and the number of other rows whose sets have a similarity of the threshold or more."""
-    rows = saved(members(df, key, text, threshold, target, sigma), "members")
+    with small_batches(df.sparkSession):
+        rows = saved(members(df, key, text, threshold, target, sigma), "members")
     least = rows.filter("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("key").alias("class_id"))
     out = rows.join(least, F.col("component") == F.col("c"), "left")
     return out.select(F.col("key").alias(key), F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), "n_links")
@@ -397,7 +402,8 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: floa
 def firsts(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One row of each class, with its columns: of the least key (nulls last), then of the least other columns. Rows
     without words are all kept."""
-    rows = saved(members(df, key, text, **how), "members")
+    with small_batches(df.sparkSession):
+        rows = saved(members(df, key, text, **how), "members")
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key").alias("k"), F.col("hash").alias("h"))
     chosen = rows.filter("component is not null").groupBy("component").agg(F.min(order).alias("least")).select(F.col("least.k").alias("k"), F.col("least.h").alias("h"))
     worded = F.coalesce(F.col("row").getField(text), F.lit("")).rlike("[^\\x20\\x09-\\x0D]")

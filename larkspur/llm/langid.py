@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fold
+from larkspur.llm.common import fold, remembers
 
 #: Rows that are learned from, at most: in all, and of one language.
 SAMPLE, EACH, SPARE = 4000, 1000, 4
@@ -202,6 +202,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembers("langid", lambda: None)
         m = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -11,6 +11,10 @@ _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
 _known: dict[bytes, int] = {}
 
 
+def forget() -> None:
+    _known.clear()
+
+
 def hashed_words(text: str) -> np.ndarray:
     """64-bit hashes of the words between white space, A-Z lower-cased."""
     words = text.encode("utf-8", "replace").lower().split()

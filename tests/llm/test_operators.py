@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, chat, components, ctw, divergence, forest, kneser_ney, langid, license_scan, mixing, queries, sharded, vafile
+from larkspur.llm import bpe, chat, common, components, ctw, divergence, forest, kneser_ney, langid, license_scan, mixing, queries, sharded, shingles, vafile
 from larkspur.llm.shingles import shingle_set
 
 SF = "/root/testdata/sf0.001"
@@ -357,6 +357,29 @@ def test_no_sigma_compares_all_candidates(spark):
     assert sorted(forest.join(df, sigma=None).collect()) == sorted(forest.join(df).collect())
 
 
+def test_workers_get_bounded_batches(spark, monkeypatch):
+    """However many rows: Spark's own bound is 10,000 rows or 64 MB."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 50_000)
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    most = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"]) for b in batches)
+    texts = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("word "), 200), F.col("id").cast("string")).alias("text"))
+    with common.small_batches(spark):
+        assert max(r.n for r in texts.mapInArrow(most, "n long").collect()) < 100
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert forest.join(texts).count() == 400 and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_a_worker_forgets_other_operators_words():
+    """A worker that has encoded keeps no pre-tokens while it compares texts, and the other way round."""
+    model = bpe.serialise_model(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    common.remembers("bpe", bpe._CODERS.clear)
+    bpe.coder(model, public_tokenizers.PATTERN).learn({"some", " words"})
+    signed = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["some words here"])], names=["key", "hash", "t"])
+    assert len(list(forest._sign(iter([signed])))) == 1 and not bpe._CODERS and shingles._known
+    list(forest._needed(3, 0.0)(iter([])))
+    assert not shingles._known
+
+
 def test_prefixes_shorten_until_the_recall():
     depth = forest.shortened(0.8, 0.99)
     assert forest.expected_recall(depth) >= 0.99 > forest.expected_recall(depth + 1)
