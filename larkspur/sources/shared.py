@@ -9,6 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Has Spark delete a plan's shuffle files at its end; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _marked: set[str] = set()
 
 
@@ -40,10 +43,17 @@ def spread(df: DataFrame, *by: str, mb: int = 16) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors cost no rerun."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Writes a table to the shared folder and reads it back: lineage ends there, lost executors cost no rerun. So the
+    shuffles of its plan, which no other plan reads, are deleted as soon as it is written."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discarded(*tables: DataFrame) -> None:

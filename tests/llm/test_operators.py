@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, chat, common, components, ctw, divergence, forest, kneser_ney, langid, license_scan, mixing, queries, sharded, shingles, vafile
 from larkspur.llm.shingles import shingle_set
+from larkspur.sources import shared
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -638,6 +639,20 @@ def test_tables_of_the_fit_are_deleted(spark):
     assert [x.split("-")[0] for x in after if x not in names] == ["kneser"] and model.table.count() == 1
 
 
+def test_shuffles_of_a_saved_table_are_deleted(spark):
+    """At once, while the plan is still held; the setting is as before."""
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split()
+    before, was = {x for x in files() if "shuffle_" in x}, spark.conf.get(shared.CLEANUP)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    table = common.saved(df, "sevens")
+    for _ in range(50):
+        if not (left := {x for x in files() if "shuffle_" in x} - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(shared.CLEANUP) == was
+    assert table.count() == 7 and df.count() == 7
+
+
 def test_quality_classifier_of_odd_tables(odd, none):
     trusted = odd.select("doc_id")
     assert kneser_ney.classify(odd, trusted).count() == len(ODD)
