@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import fold
 
 #: The base phrases: words, label.
-BASE = {"the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
 #: Further notices that name a licence.
 NOTICES = {
@@ -28,7 +28,7 @@ NOTICES = {
     "gnu general public license version 2": "gpl-2", "gnu general public license version 3": "gpl-3", "gnu gpl v3": "gpl-3",
     "gnu lesser general public license": "lgpl", "gnu affero general public license": "agpl-3", "mozilla public license": "mpl-2",
     "eclipse public license": "epl-2", "cc by sa": "cc-by-sa", "cc by nd": "cc-by-nd", "cc0": "cc0", "public domain dedication": "cc0",
-    "mit licensed": "mit", "isc license": "isc", "boost software license": "bsl-1", "all rights reserved": "reserved",
+    "the mit license": "mit", "mit licensed": "mit", "isc license": "isc", "boost software license": "bsl-1", "all rights reserved": "reserved",
 }
 
 #: Identifiers of tags, lower-cased and without -only, -or-later and +: label.

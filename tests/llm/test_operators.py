@@ -61,6 +61,16 @@ def test_license_places(spark, docs, texts):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
 
 
+@pytest.mark.parametrize("text,want", [
+    ("Used UNDER the-MIT license", ("mit", [(1, "mit")])), ("Used by the MIT license", ("", [])), ("CC by NC", ("cc-by-nc", [(0, "cc-by-nc")])),
+    ("under the mit license\x00under the MIT License", ("mit", [(0, "mit"), (4, "mit")])), ("x apache license, version 2.0", ("apache-2", [(1, "apache-2")])),
+])
+def test_licence_phrases_of_the_contract(text, want):
+    r = license_scan.scan_text(text, license_scan.automaton())
+    assert (r["base_labels"], r["places"]) == want
+    assert ("mit" in r["labels"].split(",")) == ("mit" in text.lower())  # the shorter notice stays a label of the method
+
+
 @pytest.mark.parametrize("text,rpn", [
     ("MIT OR Apache-2.0 AND GPL-2.0-only", "MIT Apache-2.0 GPL-2.0-only and or"), ("(MIT OR Apache-2.0) AND ISC", "MIT Apache-2.0 or ISC and"),
     ("GPL-2.0-only WITH Classpath-exception-2.0 OR MIT */", "GPL-2.0-only Classpath-exception-2.0 with MIT or"), ("MIT OR", "MIT"), ("((", ""), ("(MIT AND (ISC", "MIT ISC and"), ("", ""), ("AND MIT", ""),
