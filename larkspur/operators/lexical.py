@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import corpus_term_counts, first_bytes, term_counts, term_frequencies
+from larkspur.functions.text import first_bytes, term_counts, term_frequencies, words
 from larkspur.sources.shared import saved
 
 #: Terms of queries that are broadcast, and terms that a scan is filtered by, at most.
@@ -29,7 +29,7 @@ class Index:
 
 
 def postings(docs: DataFrame, key: str = "drawer_id", text: str = "content", corpus: bool = False) -> DataFrame:
-    """Rows (term, drawer_id, tf): the index. corpus: stem the vocabulary once, which writes tables."""
+    """Rows (term, drawer_id, tf): the index. corpus: count each document's terms where it is, which writes a table."""
     return term_frequencies(docs, key, text, corpus).select("term", F.col(key).alias("drawer_id"), "tf")
 
 
@@ -45,7 +45,7 @@ def stored(index: DataFrame) -> Index:
 
 def statistics(docs: DataFrame, key: str = "drawer_id", text: str = "content") -> DataFrame:
     """One row (total_docs, avg_doc_len) over the documents that have terms."""
-    sizes = corpus_term_counts(docs, key, text).groupBy(key).agg(F.sum("n").alias("n"))
+    sizes = docs.select(key, F.size(words(F.col(text))).alias("n")).groupBy(key).agg(F.sum("n").alias("n")).filter("n > 0")  # a word is a term
     return sizes.agg(F.count("*").alias("total_docs"), F.avg("n").alias("avg_doc_len"))
 
 

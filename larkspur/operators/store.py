@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.functions.text import corpus_term_counts
+from larkspur.functions.text import document_terms
 
 DRAWER = "drawer_id long, content string, content_hash string, wing string, room string, hall string, source_file string, source_type string"
 
@@ -48,9 +48,8 @@ def add_names(stored: DataFrame, names: DataFrame, keys: list[str]) -> DataFrame
 
 def detect_rooms(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows (key, room): the two most frequent stems joined by a hyphen, ties by stem; without terms `general`."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(F.desc("n"), "term"))
-    top = corpus_term_counts(df, key, text).withColumn("rank", rank).filter("rank <= 2")
-    names = top.groupBy(F.col(key).alias("_k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x.term), "-").alias("room"))
+    ranked = F.struct((-F.col("n")).alias("n"), "term")
+    names = document_terms(df, key, text, best=2).groupBy(F.col(key).alias("_k")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(ranked)), lambda x: x.term), "-").alias("room"))
     return df.select(key).join(names, F.col(key) == F.col("_k"), "left").select(key, F.coalesce("room", F.lit("general")).alias("room"))
 
 
