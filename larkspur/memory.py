@@ -113,7 +113,7 @@ class Memory:
             found = lexical.bm25(index, asked, limit, narrowed)
         if recency:
             found = fusion.recency(found, recency)
-        return lexical.hydrated(found, stored).orderBy("rank")
+        return lexical.hydrated(found, stored, limit <= lexical.BROADCAST_TERMS).orderBy("rank")
 
     # Facts.
 

@@ -22,7 +22,7 @@ BROADCAST_TERMS, LISTED_TERMS = 200_000, 500
 
 @dataclass
 class Index:
-    """A stored index: rows (term, drawer_id, tf, df) sorted by term, and the number of documents in it."""
+    """A stored index: rows (term, drawer_id, tf), and the number of documents in it."""
 
     postings: DataFrame
     total: int
@@ -34,12 +34,9 @@ def postings(docs: DataFrame, key: str = "drawer_id", text: str = "content", cor
 
 
 def stored(index: DataFrame) -> Index:
-    """Writes postings with their terms' df, ranged and sorted by term, so that a query skips the row groups of other
-    terms, and counts the documents once."""
-    rows = saved(index, "postings")
-    counts = rows.groupBy(F.col("term").alias("t")).agg(F.count("*").alias("df"))
-    rows = rows.join(counts, F.col("term") == F.col("t")).select("term", "drawer_id", "tf", "df")
-    rows = saved(rows.repartitionByRange("term").sortWithinPartitions("term", "drawer_id"), "index")
+    """Writes postings and counts the documents once. A corpus' postings come in runs of documents that are sorted by
+    term, so a query skips the pages of other terms; they aren't dealt or sorted anew."""
+    rows = saved(index, "index")
     return Index(rows, rows.select("drawer_id").distinct().count())
 
 
@@ -57,48 +54,49 @@ def query_terms(queries: DataFrame, key: str = "query_id", text: str = "query")
 def bm25(index: DataFrame | Index, queries: DataFrame, limit: int = 5, filtered: DataFrame | None = None) -> DataFrame:
     """Rows (query_id, drawer_id, score, rank from 1) of the best documents of each query, ties by id.
 
-    The queries' terms go to the postings: as a filter of the scan and by broadcast if there are few, else by a join.
-    Of an index that isn't stored, df and N are counted here. filtered: a table of drawer_id that narrows what is
-    found, but not N and df.
+    The queries' terms go to the postings: as a filter of the scan and by broadcast if there are few, else by a join. df
+    is counted of these terms only, and N too of an index that isn't stored. filtered: a table of drawer_id that narrows
+    what is found, but not N and df.
     """
     limit = limit if limit > 0 else 5
     asked = query_terms(queries).withColumnRenamed("term", "t")
+    few = False
     if isinstance(index, Index):
-        asked = saved(asked, "asked")
-        n = asked.count()
-        rows = index.postings
-        if n <= BROADCAST_TERMS:
+        rows, asked = index.postings, saved(asked, "asked")
+        if few := asked.count() <= BROADCAST_TERMS:
             terms = asked.select("t").distinct().limit(LISTED_TERMS + 1).collect()
             if len(terms) <= LISTED_TERMS:
                 rows = rows.filter(F.col("term").isin([r.t for r in terms]))
-            asked = F.broadcast(asked)
         total = F.lit(index.total)
     else:
-        counts = index.join(asked.select("t").distinct(), F.col("term") == F.col("t"), "left_semi").groupBy(F.col("term").alias("d")).agg(F.count("*").alias("df"))
-        counts = counts.crossJoin(index.agg(F.countDistinct("drawer_id").alias("total")))  # one row
-        rows, total = index.join(counts, F.col("term") == F.col("d")), F.col("total")
-    if filtered is not None:
-        rows = rows.join(filtered.select("drawer_id"), "drawer_id", "left_semi")
+        rows, total = index, F.col("total")
+        asked = asked.crossJoin(index.agg(F.countDistinct("drawer_id").alias("total")))  # one row
+    sent = F.broadcast if few else lambda df: df
+    counts = rows.select("term").join(sent(asked.select("t").distinct()), F.col("term") == F.col("t"), "left_semi").groupBy(F.col("term").alias("d")).agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    weighed = rows.select("term", "drawer_id", (idf * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("w"))
-    scores = weighed.join(asked, F.col("term") == F.col("t")).groupBy("query_id", "drawer_id").agg(F.sum(F.col("qtf") * F.col("w")).alias("score"))
-    return top(scores, limit)
+    asked = asked.join(counts, F.col("t") == F.col("d")).select("query_id", "t", (F.col("qtf") * idf).alias("w"))
+    found = rows.join(sent(asked), F.col("term") == F.col("t")).select("query_id", "drawer_id", (F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("s"))
+    if filtered is not None:
+        found = found.join(filtered.select("drawer_id"), "drawer_id", "left_semi")
+    return top(found.groupBy("query_id", "drawer_id").agg(F.sum("s").alias("score")), limit)
 
 
 def postings_by(docs: DataFrame, store: str) -> DataFrame:
-    """Rows (store, term, drawer_id, tf) of documents (store, drawer_id, content) of many stores."""
-    return postings(docs, corpus=True).join(docs.select("drawer_id", store), "drawer_id").select(store, "term", "drawer_id", "tf")
+    """A stored table of rows (store, term, drawer_id, tf) of documents (store, drawer_id, content) of many stores."""
+    return saved(term_frequencies(docs, "drawer_id", "content", True, (store,)).select(store, "term", "drawer_id", "tf"), "postings")
 
 
 def bm25_by(index: DataFrame, queries: DataFrame, store: str, limit: int = 5) -> DataFrame:
     """bm25 of queries (query_id, query, store) each within its own store, whose N and df count there; all stores in one
-    plan."""
-    asked = query_terms(queries).join(queries.select("query_id", F.col(store).alias("s")), "query_id").withColumnRenamed("term", "t")
-    counts = index.groupBy(F.col(store).alias("c"), F.col("term").alias("d")).agg(F.count("*").alias("df"))
+    plan. df is counted of the stores' queries' terms only."""
+    asked = saved(query_terms(queries).join(queries.select("query_id", F.col(store).alias("s")), "query_id").withColumnRenamed("term", "t"), "asked")
+    sent = F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
+    same = (F.col(store) == F.col("s")) & (F.col("term") == F.col("t"))
+    counts = index.select(store, "term").join(sent(asked.select("s", "t").distinct()), same, "left_semi").groupBy(F.col(store).alias("c"), F.col("term").alias("d")).agg(F.count("*").alias("df"))
     sizes = index.groupBy(F.col(store).alias("z")).agg(F.countDistinct("drawer_id").alias("total"))
     weight = F.col("qtf") * F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     asked = asked.join(counts, (F.col("s") == F.col("c")) & (F.col("t") == F.col("d"))).join(sizes, F.col("s") == F.col("z")).select("query_id", "s", "t", weight.alias("w"))
-    scores = index.join(asked, (F.col(store) == F.col("s")) & (F.col("term") == F.col("t"))).groupBy("query_id", "drawer_id").agg(F.sum(F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("score"))
+    scores = index.join(sent(asked), same).groupBy("query_id", "drawer_id").agg(F.sum(F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("score"))
     return top(scores, limit)
 
 
@@ -121,10 +119,13 @@ def scope(stored: DataFrame, wing: str | None = None, room: str | None = None, s
     return out.select("drawer_id") if out is not stored else None
 
 
-def hydrated(ranked: DataFrame, stored: DataFrame) -> DataFrame:
-    """Adds the drawers' columns to ranked rows only."""
+def hydrated(ranked: DataFrame, stored: DataFrame, few: bool = False) -> DataFrame:
+    """Adds the drawers' columns to ranked rows only. few: the ranked rows are known to be few, so that their ids go to
+    the drawers and contents of others aren't moved."""
     columns = [c for c in ("content", "wing", "room", "hall", "source_file") if c in stored.columns]
-    return ranked.join(stored.select("drawer_id", *columns), "drawer_id", "left")
+    ids = ranked.select("drawer_id").distinct()
+    kept = stored.select("drawer_id", *columns).join(F.broadcast(ids) if few else ids, "drawer_id", "left_semi")
+    return ranked.join(kept, "drawer_id", "left")
 
 
 def rendered(results: DataFrame) -> DataFrame:

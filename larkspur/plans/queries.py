@@ -15,7 +15,7 @@ from larkspur.operators import ann, classify, evaluate, fusion, graph, lexical,
 from larkspur.plans import layers
 from larkspur.session import ship
 from larkspur.sources import conversations, files
-from larkspur.sources.shared import spread
+from larkspur.sources.shared import saved, spread
 
 ROUND = 9
 QUERY = "the attion ereding on anblewh thonre thstinnt ereding"
@@ -510,7 +510,8 @@ def sizes(spark, sf_dir):
 
 
 def passage_results(spark, sf_dir):
-    return lexical.hydrated(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 10), items(spark, sf_dir))
+    ranked = saved(lexical.bm25(stored_index(spark, sf_dir), passages(spark, sf_dir), 10), "ranked")
+    return lexical.hydrated(ranked, items(spark, sf_dir), ranked.count() <= lexical.BROADCAST_TERMS)
 
 
 def recall_by_answer(spark, sf_dir):

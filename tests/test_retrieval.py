@@ -209,3 +209,22 @@ def test_evaluation(spark):
 
 def test_text_module_keeps_the_word_list_whole():
     assert len(text.STOPWORDS) == len(set(text.STOPWORDS)) == 96
+
+
+def test_stores_of_their_own(spark):
+    """Documents of several stores: N and df count within each."""
+    rows = [(i, "abc"[i % 3], " ".join(w for k, w in enumerate(("apple", "fig", "plum", "date", "kiwi")) if (i * 7 + k) % (k + 2) == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "drawer_id long, store string, content string")
+    q = spark.createDataFrame([(0, "apple figs", "a"), (1, "plum kiwi plum", "b"), (2, "date", "c"), (3, "date", "none")], "query_id long, query string, store string")
+    shape = lambda df: sorted((r.query_id, r["rank"], r.drawer_id, round(r.score, 9)) for r in df.collect())
+    want = []
+    for s in "abc":
+        want += shape(lexical.bm25(lexical.postings(docs.filter(F.col("store") == s)), q.filter(F.col("store") == s), 4))
+    assert shape(lexical.bm25_by(lexical.postings_by(docs, "store"), q, "store", 4)) == sorted(want) and len(want) > 8
+
+
+def test_results_are_hydrated_without_moving_other_contents(spark, stored):
+    found = spark.createDataFrame([(0, 1, 2.0, 1), (0, 9, 1.0, 2), (1, 1, 0.5, 1)], "query_id long, drawer_id long, score double, rank int")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.content, r.wing) for r in df.collect())
+    assert rows(lexical.hydrated(found, stored, True)) == rows(lexical.hydrated(found, stored)) == [(0, 1, DRAWERS[0][1], "a"), (0, 2, None, None), (1, 1, DRAWERS[0][1], "a")]
+    assert "BroadcastHashJoin [drawer_id" in lexical.hydrated(found, stored, True)._jdf.queryExecution().sparkPlan().toString()
