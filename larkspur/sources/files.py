@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from larkspur.operators import store
 from larkspur.sources.conversations import extension
+from larkspur.sources.shared import saved
 
 # The extensions of text files, and the limits of a file that is taken in.
 EXTENSIONS = ".go .py .js .ts .md .txt .yaml .yml .json .toml .rs .java .c .h .cpp .rb .php .sh .css .html .sql .xml .csv .log .env .cfg .ini .conf .jsonl".split()
@@ -27,11 +28,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def mined(files: DataFrame, wing: str, stored: DataFrame) -> DataFrame:
-    """New drawers of files (path, content): the room is detected, the path is the source. Ids follow the paths."""
-    files = files.withColumn("id", F.xxhash64("path"))
-    rooms = store.detect_rooms(files, "id", "content").withColumnRenamed("id", "i")
-    items = files.join(rooms, F.col("id") == F.col("i")).select(F.col("id").alias("drawer_id"), "content", F.lit(wing).alias("wing"), "room", F.lit("facts").alias("hall"), F.col("path").alias("source_file"), F.lit("file").alias("source_type"))
-    return store.add_drawers(stored, items)
+    """New drawers of files (path, content): the room is detected, the path is the source. Ids follow the paths. Rooms
+    are those of the new drawers' own contents, so files of one path, of which each may be new, don't meet in pairs."""
+    items = files.select(F.xxhash64("path").alias("drawer_id"), "content", F.lit(wing).alias("wing"), F.lit("facts").alias("hall"), F.col("path").alias("source_file"), F.lit("file").alias("source_type"))
+    new = saved(store.add_drawers(stored, items).withColumn("_row", F.monotonically_increasing_id()), "mined")
+    return new.join(store.detect_rooms(new, "_row", "content"), "_row").drop("_row")
 
 
 def mining_report(files: DataFrame, new: DataFrame) -> DataFrame:

@@ -223,3 +223,14 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("content string, wing string, room string").json(str(source))
     ingest.into(stream, m, str(tmp_path / "cp")).awaitTermination(120)
     assert m.status().first().drawers == 1
+
+
+def test_files_of_one_path_are_taken_in_one_by_one(spark):
+    """Each new file has the room of its own content, whatever other files share its path, and pairs aren't made."""
+    from larkspur.sources import files
+
+    rows = [("a.md", "auth auth login login"), ("a.md", "disk disk cache cache"), ("a.md", "disk disk cache cache"), ("b.md", "auth auth login login"), ("a.md", "old"), ("c.md", None)]
+    stored = store.drawers(spark.createDataFrame([(1, "old", "w", "r", "facts", "a.md")], ITEM))
+    new = files.mined(spark.createDataFrame(rows, "path string, content string"), "docs", stored)
+    assert sorted((r.source_file, r.room) for r in new.collect()) == [("a.md", "auth-login"), ("a.md", "cache-disk"), ("b.md", "auth-login"), ("c.md", "general")]
+    assert files.mining_report(spark.createDataFrame(rows, "path string, content string"), new).first().asDict() == {"processed": 6, "created": 4, "duplicates": 2}
