@@ -97,21 +97,19 @@ def session_search(views: DataFrame, queries: DataFrame, weights: dict[str, floa
     table = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     rows = views.filter("vector is not null and source_file is not null").select("source_file", F.coalesce(F.element_at(table, F.col("hall")), F.lit(0.0)).alias("weight"), "vector")
     rows = rows.repartition("source_file").sortWithinPartitions("source_file")
-    joint = np.maximum if mode == "max" else np.add
+    cells, joint = vector.CELLS, np.maximum if mode == "max" else np.add
 
     def scan(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, block = shared.value
-            best = vector.Best(names, limit)
+            block, best = vector.matrix(block), vector.Best(names, limit)
 
             def add(sessions: list[str], scores: np.ndarray) -> None:
                 if len(sessions) and names:
                     best.add(np.array(sessions), np.where(scores > 0, scores, np.nan) if mode == "max" else scores)
 
             open_session, figures = None, None
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
+            for batch in vector.pieces(batches, len(names), cells):
                 sessions = batch.column(0).to_pylist()
                 scores = vector.cosines(block, vector.arrays(batch.column(2))) * batch.column(1).to_numpy()
                 starts = [0, *(i for i in range(1, len(sessions)) if sessions[i] != sessions[i - 1])]

@@ -18,6 +18,9 @@ from larkspur.sources.shared import saved
 #: A query table goes to all tasks only up to so many rows; more are dealt in blocks of that many.
 QUERY_BLOCK = 2000
 
+#: Scores that a task computes at a time: queries times rows.
+CELLS = 1_000_000
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -50,9 +53,9 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 5, filtered: Dat
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, block = shared.value
-            best = Best(names, limit)
-            for batch in batches:
-                if batch.num_rows and names:
+            block, best = matrix(block), Best(names, limit)
+            for batch in pieces(batches, len(names), CELLS):
+                if names:
                     best.add(batch.column(0).to_numpy(), cosines(block, arrays(batch.column(1))))
             yield from best.rows(pa.from_numpy_dtype(np.int64), "drawer_id")
 
@@ -67,13 +70,30 @@ def search(vectors: DataFrame, queries: DataFrame, limit: int = 5, filtered: Dat
         for batch in batches:
             for held, asked in zip(*(batch.column(c) for c in (0, 1))):
                 held, asked = held.as_py(), asked.as_py()
-                best = Best([q["query_id"] for q in asked], limit)
-                best.add(np.array([r["drawer_id"] for r in held], np.int64), cosines([q["query_vector"] for q in asked], [r["vector"] for r in held]))
+                best, block = Best([q["query_id"] for q in asked], limit), matrix([q["query_vector"] for q in asked])
+                for i, j in steps(len(held), len(asked), CELLS):
+                    best.add(np.array([r["drawer_id"] for r in held[i:j]], np.int64), cosines(block, [r["vector"] for r in held[i:j]]))
                 yield from best.rows(pa.int64(), "drawer_id")
 
     return top(pairs.mapInArrow(both, schema), limit)
 
 
+def steps(rows: int, queries: int, cells: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose scores for all queries are so many cells at most, but one row at least."""
+    size = max(1, cells // max(1, queries))
+    return ((i, min(i + size, rows)) for i in range(0, rows, size))
+
+
+def pieces(batches: Iterator[pa.RecordBatch], queries: int, cells: int) -> Iterator[pa.RecordBatch]:
+    """Batches in steps, so that a task's memory doesn't grow with the number of queries."""
+    return (batch.slice(i, j - i) for batch in batches for i, j in steps(batch.num_rows, queries, cells))
+
+
+def matrix(queries: list) -> list[np.ndarray]:
+    """Vectors of queries as arrays, once for all steps."""
+    return [np.array(q, float) for q in queries]
+
+
 def arrays(column: pa.Array) -> list | np.ndarray:
     """A column of lists as a matrix if they are of one length and hold no null, else as a list."""
     sizes = pc.list_value_length(column).to_numpy()
@@ -90,21 +110,22 @@ class Best:
         self.queries, self.limit = queries, limit
         self.names: list[np.ndarray | None] = [None] * len(queries)
         self.scores = [np.empty(0)] * len(queries)
+        self.least = np.full(len(queries), -np.inf)  # what a score has to reach
 
     def add(self, names: np.ndarray, scores: np.ndarray) -> None:
         """scores: queries x names; a score of nan counts as none."""
         near = np.round(scores, 12)
-        for q in range(len(self.queries)):
-            least = self.scores[q][-1] if len(self.scores[q]) == self.limit else -np.inf
-            some = np.flatnonzero(near[q] >= np.round(least, 12))
+        for q in np.flatnonzero((near >= self.least[:, None]).any(axis=1)):
+            some = np.flatnonzero(near[q] >= self.least[q])
             if len(some) > 4 * self.limit:
                 bound = np.partition(near[q][some], len(some) - self.limit)[len(some) - self.limit]
                 some = some[near[q][some] >= bound]
-            if len(some):
-                both = np.concatenate([self.scores[q], scores[q][some]])
-                all_names = names[some] if self.names[q] is None else np.concatenate([self.names[q], names[some]])
-                order = np.lexsort((all_names, -np.round(both, 12)))[: self.limit]
-                self.scores[q], self.names[q] = both[order], all_names[order]
+            both = np.concatenate([self.scores[q], scores[q][some]])
+            all_names = names[some] if self.names[q] is None else np.concatenate([self.names[q], names[some]])
+            order = np.lexsort((all_names, -np.round(both, 12)))[: self.limit]
+            self.scores[q], self.names[q] = both[order], all_names[order]
+            if len(order) == self.limit:
+                self.least[q] = np.round(both[order[-1]], 12)
 
     def rows(self, kind: pa.DataType, name: str) -> Iterator[pa.RecordBatch]:
         if sum(map(len, self.scores)):

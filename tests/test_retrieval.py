@@ -228,3 +228,26 @@ def test_results_are_hydrated_without_moving_other_contents(spark, stored):
     rows = lambda df: sorted((r.query_id, r["rank"], r.content, r.wing) for r in df.collect())
     assert rows(lexical.hydrated(found, stored, True)) == rows(lexical.hydrated(found, stored)) == [(0, 1, DRAWERS[0][1], "a"), (0, 2, None, None), (1, 1, DRAWERS[0][1], "a")]
     assert "BroadcastHashJoin [drawer_id" in lexical.hydrated(found, stored, True)._jdf.queryExecution().sparkPlan().toString()
+
+
+@pytest.mark.parametrize("cells", [1, 12, 1000])
+def test_scores_are_computed_in_bounded_steps(spark, monkeypatch, cells):
+    """The steps' size doesn't decide, and no step scores more than its bound."""
+    rng = np.random.default_rng(8)
+    v = vectors(spark, [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 3)).round(1))] + [(99, [1.0])])
+    q = vector_query(spark, *[x.tolist() for x in rng.normal(size=(4, 3))])
+    views = v.withColumns({"source_file": F.floor(F.col("drawer_id") / 4).cast("string"), "hall": F.concat(F.lit("L"), (F.col("drawer_id") % 4).cast("string"))})
+    rows = lambda df: sorted((r.query_id, r["rank"], r[1], round(r.score, 9)) for r in df.collect())
+    both = lambda: [rows(vector.search(v, q, 7)), *(rows(fusion.session_search(views, q, {"L0": 0.2, "L1": 0.5}, m, 6)) for m in ("max", "sum"))]
+    want = both()
+    whole = vector.cosines
+
+    def bounded(queries, some):
+        assert len(queries) * len(some) <= max(cells, len(queries))
+        return whole(queries, some)
+
+    monkeypatch.setattr(vector, "CELLS", cells)
+    monkeypatch.setattr(vector, "cosines", bounded)
+    assert both() == want
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
+    assert both() == want
