@@ -17,13 +17,20 @@ from pyspark.sql import functions as F
 from larkspur.operators.lexical import top
 
 LINKS, BEAM_BUILD, BEAM = 16, 200, 64
-SHARD, QUERY_BLOCK = 20_000, 2000
+SHARD, QUERY_BLOCK = 20_000, 2000  # a graph has at most about SHARD nodes
+SMALL = 1000  # nodes that BEAM is wide enough for
 GRAPH = "shard long, dim int, ids array<long>, vectors array<float>, links binary"
 
 
 GONE = -(1 << 63)
 
 
+def wide(nodes: int) -> int:
+    """The width of a search that keeps its recall in a graph of so many nodes: a beam of one width finds fewer of the
+    nearest the larger the graph."""
+    return math.ceil(BEAM * math.sqrt(max(1.0, nodes / SMALL)))
+
+
 class Graph:
     """Layered proximity graph over unit vectors."""
 
@@ -90,8 +97,9 @@ class Graph:
                             heapq.heappop(best)
         return sorted((-d, n) for d, n in best)
 
-    def search(self, q: np.ndarray, k: int, beam: int = BEAM) -> list[tuple[int, float]]:
+    def search(self, q: np.ndarray, k: int, beam: int | None = None) -> list[tuple[int, float]]:
         """(id, distance) of about the k nearest."""
+        beam = wide(len(self.ids)) if beam is None else beam
         norm = np.linalg.norm(q)
         if self.entry < 0 or len(q) != self.dim or not norm:
             return []
@@ -128,9 +136,10 @@ class Graph:
 
 
 def build(vectors: DataFrame, shards: int | None = None) -> DataFrame:
-    """The index of vectors (drawer_id, vector): a row a shard and length."""
+    """The index of vectors (drawer_id, vector): a row a shard and length; of so many shards at least, more if their
+    graphs would have over SHARD nodes."""
     rows = vectors.filter("vector is not null").select("drawer_id", "vector", F.size("vector").alias("dim")).filter("dim > 0")
-    n = shards or max(1, -(-rows.count() // SHARD))
+    n = max(shards or 1, -(-rows.count() // SHARD))
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("drawer_id").drop_duplicates("drawer_id", keep="last")
@@ -140,37 +149,33 @@ def build(vectors: DataFrame, shards: int | None = None) -> DataFrame:
     return rows.groupBy(F.pmod(F.xxhash64("drawer_id"), F.lit(n)).alias("shard"), "dim").applyInPandas(run, GRAPH)
 
 
-def search(index: DataFrame, queries: DataFrame, limit: int = 5, beam: int = BEAM) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, limit: int = 5, beam: int | None = None) -> DataFrame:
     """Rows (query_id, drawer_id, score: the cosine with the unit vector that the index holds, rank) for queries
-    (query_id, query_vector). Blocks of QUERY_BLOCK queries go to every shard; each block is a scan of the index."""
+    (query_id, query_vector). Blocks of QUERY_BLOCK queries go to every shard; the index is scanned once, so an index that
+    isn't stored is built once."""
     limit = limit if limit > 0 else 5
     asked = queries.filter(F.size("query_vector") > 0).select("query_id", "query_vector")
     kind = queries.schema["query_id"].dataType.simpleString()
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-
-    def scan(shared):
-        def run(batches):
-            for part in batches:
-                for row in part.itertuples():
-                    g = Graph.load(row.dim, list(row.ids), np.array(row.vectors).reshape(-1, row.dim), row.links)
-                    place = {x: i for i, x in enumerate(g.ids)}
+    blocks, shared = max(1, -(-asked.count() // QUERY_BLOCK)), []
+    for k in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
+        shared.append(queries.sparkSession.sparkContext.broadcast(([r.query_id for r in block], [r.query_vector for r in block])))
+
+    def run(batches):
+        for part in batches:
+            for row in part.itertuples():
+                g = Graph.load(row.dim, list(row.ids), np.array(row.vectors).reshape(-1, row.dim), row.links)
+                place = {x: i for i, x in enumerate(g.ids)}
+                for block in shared:
                     found = []
-                    for name, q in zip(*shared.value):
+                    for name, q in zip(*block.value):
                         near = [i for i, _ in g.search(np.array(q), limit, beam)]
                         if near:
                             scores = g.vectors[[place[i] for i in near]].astype(float) @ (np.array(q, float) / np.linalg.norm(q))
                             found += zip([name] * len(near), near, scores.tolist())
                     yield pd.DataFrame(found, columns=["query_id", "drawer_id", "score"])
 
-        return run
-
-    out = None
-    for k in range(blocks):
-        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect()
-        shared = queries.sparkSession.sparkContext.broadcast(([r.query_id for r in block], [r.query_vector for r in block]))
-        part = index.mapInPandas(scan(shared), f"query_id {kind}, drawer_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    return top(out, limit)
+    return top(index.mapInPandas(run, f"query_id {kind}, drawer_id long, score double"), limit)
 
 
 def listing(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

@@ -411,7 +411,7 @@ def ann_sizes(spark, sf_dir):
 
 
 def ann_recall(spark, sf_dir):
-    """Whether the graph search over four shards finds 0.9 of the ten nearest, over all queries."""
+    """Whether the graph search over four shards, or more of a large table, finds 0.9 of the ten nearest, over all queries."""
     found = ann.search(ann_index(spark, sf_dir), vector_queries(spark, sf_dir), 10).select("query_id", "drawer_id", F.lit(1).alias("hit"))
     both = vector.search(vectors(spark, sf_dir), vector_queries(spark, sf_dir), 10).join(found, ["query_id", "drawer_id"], "left")
     return both.agg(F.countDistinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("reached"))

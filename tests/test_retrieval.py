@@ -251,3 +251,23 @@ def test_scores_are_computed_in_bounded_steps(spark, monkeypatch, cells):
     assert both() == want
     monkeypatch.setattr(vector, "QUERY_BLOCK", 2)
     assert both() == want
+
+
+def test_recall_holds_in_larger_graphs(spark, monkeypatch):
+    """A beam of one width finds too few in a larger graph; and a graph's size is bounded, whatever number of shards is asked for."""
+    rng = np.random.default_rng(4)
+    data, queries = rng.normal(size=(4000, 64)), rng.normal(size=(40, 64))
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    monkeypatch.setattr(ann, "BEAM_BUILD", 60)  # spares time
+    g = ann.Graph(64).fill(range(4000), data)
+    share = lambda beam: sum(len({i for i, _ in g.search(q, 10, beam)} & set(np.argsort(-(unit @ q), kind="stable")[:10].tolist())) for q in queries) / 400
+    assert share(64) < 0.95 <= share(None)
+    monkeypatch.setattr(ann, "SHARD", 100)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    v, q = vectors(spark, [(i, x.tolist()) for i, x in enumerate(data[:450])]), vector_query(spark, *[x.tolist() for x in queries[:8]])
+    index = ann.build(v, 4)
+    assert index.count() == 5 and ann.size(index).first()["size"] == 450
+    found = ann.search(index, q, 10)
+    want = {(r.query_id, r.drawer_id) for r in vector.search(v, q, 10).collect()}
+    assert len({(r.query_id, r.drawer_id) for r in found.collect()} & want) >= 0.9 * len(want)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsIn") == 1
