@@ -19,6 +19,9 @@ from larkspur.sources.shared import saved
 #: Terms of queries that are broadcast, and terms that a scan is filtered by, at most.
 BROADCAST_TERMS, LISTED_TERMS = 200_000, 500
 
+#: Pairs of queries and documents that a task scores if all documents match, and tasks at most.
+PAIRS, TASKS = 500_000, 2000
+
 
 @dataclass
 class Index:
@@ -55,15 +58,17 @@ def bm25(index: DataFrame | Index, queries: DataFrame, limit: int = 5, filtered:
     """Rows (query_id, drawer_id, score, rank from 1) of the best documents of each query, ties by id.
 
     The queries' terms go to the postings: as a filter of the scan and by broadcast if there are few, else by a join. df
-    is counted of these terms only, and N too of an index that isn't stored. filtered: a table of drawer_id that narrows
-    what is found, but not N and df.
+    is counted of these terms only, and N too of an index that isn't stored. Their postings are dealt by document, as many
+    to a task as bounds its pairs with queries, before they meet the queries, so that only each task's best pairs move.
+    filtered: a table of drawer_id that narrows what is found, but not N and df.
     """
     limit = limit if limit > 0 else 5
     asked = query_terms(queries).withColumnRenamed("term", "t")
     few = False
     if isinstance(index, Index):
         rows, asked = index.postings, saved(asked, "asked")
-        if few := asked.count() <= BROADCAST_TERMS:
+        n, each = asked.agg(F.count("*"), F.countDistinct("query_id")).first()
+        if few := n <= BROADCAST_TERMS:
             terms = asked.select("t").distinct().limit(LISTED_TERMS + 1).collect()
             if len(terms) <= LISTED_TERMS:
                 rows = rows.filter(F.col("term").isin([r.t for r in terms]))
@@ -75,6 +80,9 @@ def bm25(index: DataFrame | Index, queries: DataFrame, limit: int = 5, filtered:
     counts = rows.select("term").join(sent(asked.select("t").distinct()), F.col("term") == F.col("t"), "left_semi").groupBy(F.col("term").alias("d")).agg(F.count("*").alias("df"))
     idf = F.greatest(F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
     asked = asked.join(counts, F.col("t") == F.col("d")).select("query_id", "t", (F.col("qtf") * idf).alias("w"))
+    if few:
+        wanted = rows.join(sent(asked.select("t").distinct()), F.col("term") == F.col("t"), "left_semi")
+        rows = wanted.repartition(min(TASKS, 1 + index.total * each // PAIRS), "drawer_id")
     found = rows.join(sent(asked), F.col("term") == F.col("t")).select("query_id", "drawer_id", (F.col("w") * F.col("tf") * 2.5 / (F.col("tf") + 1.5)).alias("s"))
     if filtered is not None:
         found = found.join(filtered.select("drawer_id"), "drawer_id", "left_semi")

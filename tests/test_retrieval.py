@@ -271,3 +271,18 @@ def test_recall_holds_in_larger_graphs(spark, monkeypatch):
     want = {(r.query_id, r.drawer_id) for r in vector.search(v, q, 10).collect()}
     assert len({(r.query_id, r.drawer_id) for r in found.collect()} & want) >= 0.9 * len(want)
     assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsIn") == 1
+
+
+def test_pairs_are_dealt_by_document(spark, monkeypatch):
+    """Tasks of few pairs find the same, and pairs of queries and documents don't move before each task's best are known."""
+    docs = spark.createDataFrame([(i, " ".join(w for k, w in enumerate(("apple", "fig", "plum", "date")) if (i + k) % (k + 2) == 0)) for i in range(80)], "drawer_id long, content string")
+    index, q = lexical.stored(lexical.postings(docs, corpus=True)), asked(spark, "apple fig", "plum date plum", "fig")
+    rows = lambda df: sorted((r.query_id, r["rank"], r.drawer_id, round(r.score, 9)) for r in df.collect())
+    want, narrowed = rows(lexical.bm25(index, q, 5)), docs.filter("drawer_id % 3 = 0")
+    fewer = rows(lexical.bm25(lexical.postings(docs), q, 5, narrowed))
+    monkeypatch.setattr(lexical, "PAIRS", 20)
+    found = lexical.bm25(index, q, 5)
+    assert rows(found) == want == rows(lexical.bm25(lexical.postings(docs), q, 5)) and rows(lexical.bm25(index, q, 5, narrowed)) == fewer
+    plan = lexical.bm25(index, q, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(query_id" in plan and not [x for x in plan.splitlines() if "hashpartitioning(query_id" in x and "drawer_id" in x]
+    assert "REPARTITION_BY_NUM" in plan
